@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import lookalike, mixing, tokens
+from auditlake.llm import canonical, lookalike, mixing, tokens
 from auditlake.session import table
 
 
+TYPED = ["priority", "escalation_status", "threat_type"]
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_values(table(spark, d, "dataset_capability_rich"), table(spark, d, "reference_items"), TYPED)
+
+
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.unmatched_report(table(spark, d, "dataset_capability_rich"), table(spark, d, "reference_items"), TYPED)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -33,5 +44,5 @@ def p10_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_classes(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_mixture, p9_shares, p10_found, p10_texts, p10_classes)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_unmatched, p8_ids, p9_mixture, p9_shares, p10_found, p10_texts, p10_classes)}
 ORACLE: dict[str, str] = {}

@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import canonical, lookalike, mixing, tokens
+from auditlake.llm import canonical, lookalike, mixing, neardup, tokens
 from auditlake.session import table
 
 
+def _notes(spark: SparkSession, d: str) -> neardup.NearDuplicates:
+    return neardup.NearDuplicates({
+        "dataset_capability_rich": (table(spark, d, "dataset_capability_rich"), "investigation_notes"),
+        "dataset_operational_pattern_renamed": (table(spark, d, "dataset_operational_pattern_renamed"), "analyst_findings"),
+    })
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _notes(spark, d).row_pairs()
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _notes(spark, d).groups()
+
+
 TYPED = ["priority", "escalation_status", "threat_type"]
 
 
@@ -44,5 +59,5 @@ def p10_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_classes(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_unmatched, p8_ids, p9_mixture, p9_shares, p10_found, p10_texts, p10_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_unmatched, p8_ids, p9_mixture, p9_shares, p10_found, p10_texts, p10_classes)}
 ORACLE: dict[str, str] = {}

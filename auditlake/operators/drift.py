@@ -11,7 +11,8 @@ Shuffles: one on (file, field) with map-side folding of fixed-size summaries, so
 file of any size moves as one row per task and field; all later steps work on one
 row per (file, field).
 
-Defined results: unreadable or null records have no fields; a field that is null in
+Defined results: files without a stream or number are in no stream; unreadable or null
+records have no fields; a field that is null in
 every record exists with no type and is never `retyped`; a stream's first file has no
 changes; a missing file number compares with the closest file before it.
 """
@@ -21,7 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.session import ensure_checkpoint_dir
+
 SKETCH_WORDS = 4
+NEAR_MAGNITUDE = 0.25  # numbers are alike within this distance of their ranges, in powers of ten
 
 
 def open_records(rows: DataFrame) -> DataFrame:
@@ -107,7 +111,7 @@ def likeness(a: str, b: str) -> Column:
     return (
         F.when(A("type").isNull() | B("type").isNull(), 0.0)
         .when(same_type & (A("kind") == "label") & (B("kind") == "label"), F.coalesce(overlap, F.lit(0.0)))
-        .when(same_type & (A("type") == "number"), F.when(_family(A("kind")) == _family(B("kind")), F.greatest(F.lit(0.0), 1 - F.abs(middle(A) - middle(B)))).otherwise(0.0))
+        .when(same_type & (A("type") == "number"), F.when((_family(A("kind")) == _family(B("kind"))) & (F.abs(middle(A) - middle(B)) <= NEAR_MAGNITUDE), 1 - F.abs(middle(A) - middle(B))).otherwise(0.0))
         .when(same_type & (A("kind") == B("kind")), 1.0)
         .otherwise(0.0)
     )
@@ -116,12 +120,14 @@ def likeness(a: str, b: str) -> Column:
 def successive(files: DataFrame) -> DataFrame:
     """(file_id, prev_id): each file with the one before it in its stream."""
     w = Window.partitionBy("stream_id").orderBy("seq_no", "file_id")
-    return files.select("file_id", "stream_id", "seq_no", F.lag("file_id").over(w).alias("prev_id")).where("prev_id IS NOT NULL").select("file_id", "prev_id")
+    f = files.where("file_id IS NOT NULL AND stream_id IS NOT NULL AND seq_no IS NOT NULL")
+    return f.select("file_id", "stream_id", "seq_no", F.lag("file_id").over(w).alias("prev_id")).where("prev_id IS NOT NULL").select("file_id", "prev_id")
 
 
 def changes(files: DataFrame, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(file_id, change, old_name, new_name) for every difference between successive files."""
-    s = field_summaries(rows)
+    ensure_checkpoint_dir(rows.sparkSession)
+    s = field_summaries(rows).checkpoint()  # one row per file and field; the steps below all start from it
     attrs = [c for c in s.columns if c not in ("file_id", "name")]
     pre = lambda df, p: df.select("file_id", *[F.col(c).alias(f"{p}_{c}") for c in ["name", *attrs]])
     pairs = successive(files)
@@ -163,7 +169,7 @@ def canonical_names(files: DataFrame, rows: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("stream_id").orderBy("seq_no", "file_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ren = changes(files, rows).where("change = 'renamed'").groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("new_name", "old_name"))).alias("m"))
-    chain = files.select("file_id", "stream_id", "seq_no").join(ren, "file_id", "left").withColumn("chain", F.collect_list(F.coalesce("m", F.create_map().cast("map<string,string>"))).over(w))
+    chain = files.select("file_id", "stream_id", "seq_no").join(ren, "file_id", "left").withColumn("chain", F.collect_list("m").over(w))
     names = field_summaries(rows).select("file_id", "name").join(chain.select("file_id", "chain"), "file_id")
     return names.select("file_id", "name", F.expr("aggregate(reverse(chain), name, (n, m) -> coalesce(try_element_at(m, n), n))").alias("field"))
 

@@ -43,7 +43,7 @@ _CLOCK = r"(?P<h>99?):(?P<mi>99)(?::(?P<s>99)(?:[.,](?P<f>9{1,12}))?)?"
 _OFF = r"(?P<o>[+-]99(?::?99)?)"
 _GRAMMAR = [
     ("ymd", re.compile(rf"(?P<y>9999)-(?P<mo>99)-(?P<d>99)(?:[Tt ]{_CLOCK} ?(?:(?P<z>[Zz])|{_OFF}(?:\[[\w/+\-]+\])?|(?P<ab>[A-Za-z]{{2,5}}))?)?")),
-    ("ymd", re.compile(r"(?P<y>9999)(?P<mo>99)(?P<d>99)[Tt](?P<h>99)(?P<mi>99)(?P<s>99)(?P<z>[Zz])?")),
+    ("ymd", re.compile(r"(?P<y>9999)(?P<mo>99)(?P<d>99)[Tt](?P<h>99)(?P<mi>99)(?P<s>99)?(?P<z>[Zz])?")),
     ("slash", re.compile(rf"(?P<a>99?)/(?P<b>99?)/(?P<y>9999)(?:,? {_CLOCK}(?: ?(?P<ap>[AaPp][Mm]))?)?")),
     ("dmy", re.compile(rf"(?P<d>99?)\.(?P<mo>99?)\.(?P<y>9999)(?:,? {_CLOCK}(?: ?(?P<ap>[AaPp][Mm]))?)?")),
     ("named", re.compile(rf"(?:(?P<wd>[A-Za-z]{{3,9}}), )?(?P<d>99?) (?P<mn>[A-Za-z]{{3,9}}) (?P<y>9999)(?:,? {_CLOCK}(?: ?(?P<ap>[AaPp][Mm]))?(?: (?:(?P<z>[Zz])|{_OFF}|(?P<ab>[A-Za-z]{{2,5}})))?)?")),
@@ -156,7 +156,7 @@ def parse_values(values: pd.Series, zones: pd.Series, orders: pd.Series, hours_a
     n = len(values)
     seconds, micros, status = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, UNREADABLE, np.int8)
     text = values.fillna("").astype(str).str.strip()
-    zone_arr, order_arr = zones.to_numpy(object), orders.to_numpy(object)
+    zone_arr, order_arr = zones.fillna("").to_numpy(object), orders.to_numpy(object)
     layouts = text.map(lambda s: s.translate(_DIGITS) if s.isascii() else "")
     for layout, idx in layouts.groupby(layouts, sort=False).indices.items():
         found = read_layout(layout) if layout else None

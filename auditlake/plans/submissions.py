@@ -72,3 +72,30 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_columns, p3_found, p3_outcomes, p4_found, p4_schema, p4_table, p6_found, p6_loaded, p7_found, p7_report)}
+
+# DuckDB counterparts, on whole tables.
+_P2 = r"""WITH c AS (SELECT feed_id, CAST(load_no AS BIGINT) AS load_no, 'host' AS column_name, host AS v FROM dataset_capability_rich UNION ALL SELECT feed_id, load_no, 'closed_by', closed_by FROM dataset_capability_rich UNION ALL SELECT feed_id, load_no, 'telemetry_available', telemetry_available FROM dataset_capability_rich),
+x AS (SELECT feed_id, load_no, column_name, CASE WHEN lower(regexp_replace(v, '^\s+|\s+$', '', 'g')) IN ('','n/a','-','--','none','null','nan') THEN NULL ELSE v END AS v FROM c WHERE feed_id IS NOT NULL AND load_no IS NOT NULL),
+s AS (SELECT feed_id, load_no, column_name, count(*) AS n, count(v) AS p, count(DISTINCT v) AS d, count(*) FILTER (WHERE v IS NOT NULL AND NOT CASE column_name WHEN 'host' THEN regexp_full_match(v, '[A-Z]{2,4}-[0-9]{2}') WHEN 'closed_by' THEN regexp_full_match(v, '[a-z]+\.[a-z]') ELSE v IN ('True','False') END) AS o FROM x GROUP BY ALL),
+j AS (SELECT a.*, b.n AS bn, b.p AS bp, b.d AS bd, b.o AS bo FROM s a JOIN s b ON a.feed_id = b.feed_id AND a.column_name = b.column_name AND a.load_no = b.load_no + 1),
+k AS (SELECT feed_id, load_no, column_name, v, count(*) AS n FROM x WHERE v IS NOT NULL GROUP BY ALL),
+m AS (SELECT coalesce(a.feed_id, b.feed_id) AS feed_id, coalesce(a.load_no, b.load_no + 1) AS load_no, coalesce(a.column_name, b.column_name) AS column_name, coalesce(a.n, 0) AS n, coalesce(b.n, 0) AS q FROM k a FULL JOIN k b ON a.feed_id = b.feed_id AND a.column_name = b.column_name AND a.v = b.v AND a.load_no = b.load_no + 1)
+SELECT feed_id, load_no, column_name, 'null_rate' AS change FROM j WHERE 100 * abs((n - p) * bn - (bn - bp) * n) >= 15 * n * bn
+UNION ALL SELECT feed_id, load_no, column_name, 'pattern' FROM j WHERE p > 0 AND bp > 0 AND 100 * abs(o * bp - bo * p) >= 15 * p * bp
+UNION ALL SELECT feed_id, load_no, column_name, 'distinct' FROM j WHERE p > 0 AND bp > 0 AND (2 * d < bd OR d > 2 * bd)
+UNION ALL SELECT DISTINCT j.feed_id, j.load_no, j.column_name, 'shares' FROM j JOIN m ON j.feed_id = m.feed_id AND j.load_no = m.load_no AND j.column_name = m.column_name WHERE j.p > 0 AND j.bp > 0 AND 100 * abs(m.n * j.bp - m.q * j.p) >= 25 * j.p * j.bp"""
+_P7 = r"""WITH r AS (SELECT 'dataset_multi_cse' AS table_name, row_id, period, alert_id, received_at FROM dataset_multi_cse UNION ALL SELECT 'case_context', row_id, period, alert_id, received_at FROM case_context),
+k AS (SELECT table_name, row_id, period, upper(regexp_replace(alert_id, '^\s+|\s+$', '', 'g')) AS key, coalesce(received_at, TIMESTAMP '9999-12-31 23:59:59') AS t FROM r WHERE alert_id IS NOT NULL AND lower(regexp_replace(alert_id, '^\s+|\s+$', '', 'g')) NOT IN ('','n/a','-','--','none','null','nan')),
+a AS (SELECT upper(regexp_replace(alert_id, '^\s+|\s+$', '', 'g')) AS key, coalesce(loaded_at, TIMESTAMP '0001-01-01 00:00:00') AS l, coalesce(deleted_at, TIMESTAMP '9999-12-31 23:59:59') AS x FROM alert_context WHERE alert_id IS NOT NULL),
+g AS (SELECT k.table_name, k.row_id, k.period, k.t, count(a.key) AS n, count(*) FILTER (WHERE a.l <= k.t) AS here, count(*) FILTER (WHERE a.l <= k.t AND a.x > k.t) AS alive FROM k LEFT JOIN a USING (key) GROUP BY ALL),
+o AS (SELECT table_name, row_id, period, CASE WHEN n = 0 THEN 'missing' WHEN here = 0 THEN 'late' WHEN alive = 0 THEN 'deleted' END AS reason FROM g)"""
+_P6 = r"""WITH b AS (SELECT line_id, regexp_replace(raw_line, '\r\z', '') AS s FROM test_lines WHERE line_no <> 1),
+q AS (SELECT line_id, s, regexp_replace(s, '"[^"]*"', chr(1), 'g') AS k FROM b),
+t AS (SELECT *, contains(k, '"') OR regexp_matches(k, '[^,\x01]\x01|\x01[^,\x01]') AS bad, len(string_split(k, ',')) AS n FROM q),
+f AS (SELECT *, regexp_extract_all(s || ',', '((?:"[^"]*")+|[^",]*),', 1) AS f FROM t WHERE NOT bad AND n = 9),
+v AS (SELECT line_id, trim(CASE WHEN starts_with(f[1], '"') THEN replace(substr(f[1], 2, len(f[1]) - 2), '""', '"') ELSE f[1] END, ' ') AS a, trim(CASE WHEN starts_with(f[5], '"') THEN replace(substr(f[5], 2, len(f[5]) - 2), '""', '"') ELSE f[5] END, ' ') AS c FROM f)
+SELECT line_id, CASE WHEN bad THEN 'quoting' ELSE 'column_count' END AS reason FROM t WHERE bad OR n <> 9
+UNION ALL SELECT line_id, CASE WHEN NOT regexp_full_match(a, 'TST-[0-9]{9}') THEN 'alert_id' ELSE 'closed_time' END FROM v WHERE NOT regexp_full_match(a, 'TST-[0-9]{9}') OR NOT (c = '' OR coalesce(CASE WHEN regexp_full_match(c, '[0-9]+') THEN TRY_CAST(c AS HUGEINT) BETWEEN 0 AND 525600 END, false))"""
+
+_P7_REPORT = _P7 + " SELECT o.table_name, o.period, reason, count(*) AS orphans, any_value(c.n) AS checked_references FROM o JOIN (SELECT table_name, period, count(*) AS n FROM k GROUP BY ALL) c ON c.table_name = o.table_name AND c.period IS NOT DISTINCT FROM o.period WHERE reason IS NOT NULL GROUP BY ALL"
+ORACLE = {"p2_found": _P2, "p6_found": _P6, "p7_found": _P7 + " SELECT table_name, row_id, reason FROM o WHERE reason IS NOT NULL", "p7_report": _P7_REPORT}

@@ -31,7 +31,7 @@ def register(kind: str, loader: Callable[..., DataFrame]) -> None:
 def head(path: str, size: int = HEAD) -> bytes:
     p = Path(path)
     if p.is_dir():
-        p = next(iter(sorted(x for x in p.rglob("*") if x.is_file() and not x.name.startswith(("_", "."))))) 
+        p = next(iter(sorted(x for x in p.rglob("*") if x.is_file() and not x.name.startswith(("_", ".")))))
     with open(p, "rb") as f:
         return f.read(size)
 
@@ -73,8 +73,16 @@ def separator(path: str) -> str:
 def read_csv(spark: SparkSession, path: str, raw: bool = False, sep: str | None = None, malformed: str = "PERMISSIVE") -> DataFrame:
     """Delimited text with a header; `raw` keeps every column as text."""
     e = encoding(path)
-    r = spark.read.option("header", True).option("sep", sep or separator(path)).option("encoding", "windows-1252" if e == "cp1252" else e).option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", malformed)
-    return r.option("inferSchema", not raw).csv(path)
+    r = spark.read.option("header", True).option("sep", sep or separator(path)).option("encoding", "utf-8" if e == "utf-8" else "ISO-8859-1").option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", malformed)
+    df = r.option("inferSchema", not raw).csv(path)
+    return _from_latin(df) if e == "cp1252" else df
+
+
+def _from_latin(df: DataFrame) -> DataFrame:
+    """cp1252 texts that were read as latin-1: the 0x80-0x9F range means other characters."""
+    pairs = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+    old, new = "".join(k for k, v in pairs.items() if v), "".join(pairs.values())
+    return df.select(*[(F.translate(f"`{n}`", old, new) if t == "string" else F.col(f"`{n}`")).alias(n.translate(str.maketrans(old, new))) for n, t in df.dtypes])
 
 
 def read_ndjson(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:

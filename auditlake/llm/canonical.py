@@ -36,26 +36,34 @@ MARKING_BEFORE = ["suspected", "possible", "possibly", "poss", "probable", "prob
 MARKING_AFTER = ["confirmed", "unconfirmed", "tbc", "suspected"]
 
 
+def _translation() -> tuple[str, str]:
+    wide = {chr(0xFEE0 + i): chr(i) for i in range(0x21, 0x7F)}
+    pairs = {k: v for k, v in {**PROTOTYPES, **wide}.items() if len(v) == 1}
+    return "".join(pairs), "".join(pairs.values())
+
+
+DRAWN_LIKE, DRAWN_AS = _translation()
+BEFORE = r"^(?:(?:" + "|".join(MARKING_BEFORE) + r")\b[\s.:=\-]*|\p{L}+\s*[:=]\s*|#?\s*[0-9]+[.):]?\s+)"
+AFTER = r"(?:[\s\-,(\[]*\b(?:" + "|".join(MARKING_AFTER) + r")\b[)\].!?\s]*|\s*[(\[]\s*\p{L}+\s*[)\]]|\s+-\s+\p{L}+|(?:\s+#?|\s*#)\s*[0-9]+)$"
+
+
 def plain(c: Column) -> Column:
     """Small letters with look-alikes as their prototypes and invisible characters removed."""
-    wide = [chr(0xFF00 + i) for i in range(1, 95)]
-    pairs = {**PROTOTYPES, **{w: chr(0x20 + i) for i, w in enumerate(wide, 1)}, " ": " ", "　": " "}
-    pairs = {k: v for k, v in pairs.items() if len(v) == 1}
-    return F.lower(F.translate(F.regexp_replace(c, r"\p{Cf}", ""), "".join(pairs), "".join(pairs.values())))
+    return F.lower(F.translate(F.regexp_replace(c, r"\p{Cf}", ""), DRAWN_LIKE, DRAWN_AS))
+
+
+def _words(c: Column) -> Column:
+    return F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def words(c: Column) -> Column:
     """Runs of letters and digits of a value."""
-    return F.filter(F.split(plain(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return _words(plain(c))
 
 
 def unmarked(c: Column) -> Column:
     """Words of a value without one marking word or number before or after them."""
-    p = F.trim(plain(c))
-    before = r"^(?:(?:" + "|".join(MARKING_BEFORE) + r")\b[\s.:=\-]*|[\p{L}]+\s*[:=]\s*|#?\s*[0-9]+[.):]?\s+)(?=.*\p{L})"
-    after = r"(?<=[\p{L}\p{N}].{0,3})(?:[\s\-,(\[]*\b(?:" + "|".join(MARKING_AFTER) + r")\b[)\].!?\s]*|\s*[(\[]\s*[\p{L}]+\s*[)\]]|\s+-\s+[\p{L}]+|(?:\s+#?|\s*#)\s*[0-9]+)$"
-    cut = F.regexp_replace(F.regexp_replace(p, before, ""), after, "")
-    return F.filter(F.split(cut, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return _words(F.regexp_replace(F.regexp_replace(F.trim(plain(c)), BEFORE, ""), AFTER, ""))
 
 
 def reference_names(items: DataFrame) -> DataFrame:

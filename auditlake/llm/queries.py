@@ -60,4 +60,30 @@ def p10_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_unmatched, p8_ids, p9_mixture, p9_shares, p10_found, p10_texts, p10_classes)}
-ORACLE: dict[str, str] = {}
+
+# DuckDB counterparts, on whole tables: exact, by other means than the operators.
+_P1 = r"""WITH n AS (SELECT 'dataset_capability_rich' AS table_name, row_id, list_distinct(regexp_extract_all(lower(investigation_notes), '[a-z0-9]+')) AS w FROM dataset_capability_rich WHERE investigation_notes IS NOT NULL UNION ALL SELECT 'dataset_operational_pattern_renamed', row_id, list_distinct(regexp_extract_all(lower(analyst_findings), '[a-z0-9]+')) FROM dataset_operational_pattern_renamed WHERE analyst_findings IS NOT NULL),
+m AS (SELECT *, len(w) AS k FROM n WHERE len(w) >= 8), x AS (SELECT table_name, row_id, k, unnest(w) AS t FROM m), f AS (SELECT table_name, t, count(*) AS df FROM x GROUP BY ALL),
+r AS (SELECT x.*, row_number() OVER (PARTITION BY table_name, row_id ORDER BY df, t) AS pos FROM x JOIN f USING (table_name, t)),
+p AS (SELECT table_name, row_id, k, t FROM r WHERE pos <= k - ceil(0.7 * k) + 1),
+c AS (SELECT DISTINCT a.table_name, a.row_id AS ia, b.row_id AS ib FROM p a JOIN p b ON a.table_name = b.table_name AND a.t = b.t AND a.row_id < b.row_id AND 10 * b.k >= 7 * a.k AND 10 * a.k >= 7 * b.k),
+s AS (SELECT c.table_name, ia, ib, len(list_intersect(a.w, b.w)) AS o, a.k AS ka, b.k AS kb FROM c JOIN m a ON a.table_name = c.table_name AND a.row_id = ia JOIN m b ON b.table_name = c.table_name AND b.row_id = ib)
+SELECT table_name, ia AS row_id_a, ib AS row_id_b FROM s WHERE 10 * o >= 7 * (ka + kb - o)"""
+
+_ABSENT = r"lower(regexp_replace(v, '^\s+|\s+$', '', 'g')) IN ('','n/a','-','--','none','null','nan')"
+_PLAIN = rf"lower(translate(regexp_replace(v, '\p{{Cf}}', '', 'g'), '{canonical.DRAWN_LIKE.replace("'", "''")}', '{canonical.DRAWN_AS.replace("'", "''")}'))"
+_SPLIT = r"list_filter(regexp_split_to_array({}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+_P5 = rf"""WITH c AS (""" + " UNION ALL ".join(f"SELECT row_id, '{t}' AS column_name, {t} AS v FROM dataset_capability_rich" for t in TYPED) + rf"""),
+r AS (SELECT * FROM c WHERE row_id IS NOT NULL AND v IS NOT NULL AND NOT ({_ABSENT}) AND NOT EXISTS (SELECT 1 FROM reference_items i WHERE i.list_name = c.column_name AND i.label = c.v)),
+d AS (SELECT DISTINCT column_name, v FROM r), p AS (SELECT column_name, v, {_PLAIN} AS p FROM d),
+x AS (SELECT column_name, v, 0 AS cut, {_SPLIT.format("p")} AS ws FROM p UNION ALL SELECT column_name, v, 1, {_SPLIT.format(f"regexp_replace(regexp_replace(trim(p), '{canonical.BEFORE}', ''), '{canonical.AFTER}', '')")} FROM p),
+n AS (SELECT DISTINCT column_name, item_id, {_SPLIT.format(_PLAIN)} AS ws FROM (SELECT list_name AS column_name, item_id, label AS v FROM reference_items UNION ALL SELECT list_name, item_id, unnest(string_split(other_names, '|')) FROM reference_items)),
+e AS (SELECT x.column_name, v, item_id, 0 AS slips, cut FROM x JOIN n ON x.column_name = n.column_name AND len(x.ws) > 0 AND (list_sort(x.ws) = list_sort(n.ws) OR array_to_string(x.ws, '') = array_to_string(n.ws, ''))),
+vw AS (SELECT column_name, v, cut, len(ws) AS k, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM x), nw AS (SELECT column_name, item_id, ws, len(ws) AS k, unnest(ws) AS t, generate_subscripts(ws, 1) AS j FROM n),
+h AS (SELECT vw.column_name, v, cut, item_id, ws, vw.k, i, j, CASE WHEN w = t THEN 0 ELSE damerau_levenshtein(w, t) END AS s FROM vw JOIN nw ON vw.column_name = nw.column_name AND vw.k = nw.k AND (w = t OR (len(t) >= 5 AND abs(len(w) - len(t)) <= 2 AND damerau_levenshtein(w, t) <= 2))),
+hi AS (SELECT column_name, v, cut, item_id, ws, k, i, min(s) AS s FROM h GROUP BY ALL), hj AS (SELECT column_name, v, cut, item_id, ws, k, j, min(s) AS s FROM h GROUP BY ALL),
+a AS (SELECT column_name, v, cut, item_id, ws, k, sum(s) AS s FROM hi GROUP BY ALL HAVING count(*) = k AND sum(s) <= 2), b AS (SELECT column_name, v, cut, item_id, ws, k, sum(s) AS s FROM hj GROUP BY ALL HAVING count(*) = k AND sum(s) <= 2),
+f AS (SELECT column_name, v, item_id, greatest(a.s, b.s) AS slips, cut FROM a JOIN b USING (column_name, v, cut, item_id, ws)),
+m AS (SELECT column_name, v, item_id, row_number() OVER (PARTITION BY column_name, v ORDER BY slips, cut, item_id) AS o FROM (SELECT * FROM e UNION ALL SELECT * FROM f))
+SELECT row_id, r.column_name, coalesce(item_id, 'none') AS item_id FROM r LEFT JOIN m ON m.column_name = r.column_name AND m.v = r.v AND m.o = 1"""
+ORACLE = {"p1_found": _P1, "p5_found": _P5}

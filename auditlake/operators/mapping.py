@@ -10,6 +10,8 @@ import re
 from collections import defaultdict
 from dataclasses import dataclass, field, replace
 
+from auditlake.operators.concepts import PATHS
+
 MAPPED, LOW_CONFIDENCE, AMBIGUOUS, UNMAPPED, INVALID = "MAPPED", "LOW_CONFIDENCE", "AMBIGUOUS", "UNMAPPED", "INVALID"
 LEAST, SURE, MARGIN = 0.45, 0.60, 0.10
 
@@ -25,20 +27,38 @@ class Pattern:
     kind: str = "text"
 
 
-# Concepts, where they go, and what names and values they have.
+# What names and values each concept has; where it goes is in the concept table.
 PATTERNS = [
-    Pattern("ALERT_ID", "alert_context.alert_id", ("alert_id", "alert"), ("time", "name", "level", "urgency", "severity"), ("identifier",), (r"^[A-Z]{2,5}-\d+",), "identifier"),
-    Pattern("SECURITY_SEVERITY", "alert_context.severity", ("severity", "priority", "urgency", "risk_rating", "alert_level"), (), ("categorical",), (r"(?i)^(critical|high|medium|low)$",), "categorical"),
-    Pattern("ASSET_IDENTIFIER", "asset_context.asset_id", ("host", "asset", "hostname", "server", "system"), ("criticality", "type", "security"), ("identifier",), (r"^[A-Z]{2,5}-\d+$",), "identifier"),
-    Pattern("ASSET_CRITICALITY", "asset_context.criticality", ("criticality", "business_impact"), (), ("categorical",), (r"(?i)^(critical|high|medium|low)$",), "categorical"),
-    Pattern("ESCALATION_STATUS", "response_context.escalation_status", ("escalation", "escalated", "referral"), (), ("categorical",), (r"(?i)escalated",), "categorical"),
-    Pattern("THREAT_CATEGORY", "classification_context.threat_type", ("threat", "attack", "category"), (), ("categorical",), (), "categorical"),
-    Pattern("INVESTIGATION_EVIDENCE", "investigation_context.notes", ("notes", "findings", "remarks", "investigation"), ("time",), (), (r"\w+ \w+ \w+ \w+",), "text"),
-    Pattern("EVENT_TIMESTAMP", "alert_context.timestamp", ("created", "timestamp", "triggered", "raised", "_at"), ("closed", "_by", "load"), (), (r"^\d{4}-\d\d-\d\d", r"^\d\d/\d\d/\d{4}"), "timestamp"),
-    Pattern("RESOLUTION_TIME", "response_context.resolution_time", ("closed_time", "close", "resolution", "duration"), ("_by",), (), (r"^\d+$",), "timestamp"),
-    Pattern("USER_IDENTIFIER", "response_context.actor", ("_by", "analyst_id", "user", "actor"), (), (), (r"^[a-z]+\.[a-z]$",), "identifier"),
-    Pattern("EXPECTED_TELEMETRY", "monitoring_context.telemetry", ("telemetry", "monitoring"), (), (), (r"(?i)^(true|false|yes|no)$",), "categorical"),
-    Pattern("SECURITY_LABEL", "classification_context.label", ("label", "classification"), (), ("categorical",), (), "categorical"),
+    Pattern(c, PATHS[c], *rest)
+    for c, *rest in [
+        ("ALERT_ID", ("alert_id", "alert"), ("time", "name", "level", "urgency", "severity", "case"), ("identifier",), (r"^[A-Z]{2,5}-\d+",), "identifier"),
+        ("SECURITY_SEVERITY", ("severity", "priority", "urgency", "risk_rating", "alert_level"), (), ("categorical",), (r"(?i)^(critical|high|medium|low)$",), "categorical"),
+        ("ASSET_IDENTIFIER", ("host", "asset", "hostname", "server", "system"), ("criticality", "type", "security", "source"), ("identifier",), (r"^[A-Z]{2,5}-\d+$",), "identifier"),
+        ("ASSET_CRITICALITY", ("criticality", "business_impact"), (), ("categorical",), (r"(?i)^(critical|high|medium|low)$",), "categorical"),
+        ("ESCALATION_STATUS", ("escalation_status", "escalated", "referral"), (), ("categorical",), (r"(?i)escalated",), "categorical"),
+        ("THREAT_CATEGORY", ("threat", "attack", "category"), (), ("categorical",), (), "categorical"),
+        ("INVESTIGATION_EVIDENCE", ("notes", "findings", "remarks", "investigation"), ("time",), (), (r"\w+ \w+ \w+ \w+",), "text"),
+        ("EVENT_TIMESTAMP", ("created", "timestamp", "triggered", "raised", "_ts"), ("closed", "_by", "load"), (), (r"^\d{4}-\d\d-\d\d", r"^\d\d/\d\d/\d{4}"), "timestamp"),
+        ("RESOLUTION_TIME", ("closed_time", "close_time", "resolution", "duration"), ("_by",), (), (r"^\d+$",), "timestamp"),
+        ("USER_IDENTIFIER", ("_by", "user", "actor"), (), (), (r"^[a-z]+\.[a-z]$",), "identifier"),
+        ("EXPECTED_TELEMETRY", ("telemetry", "monitoring"), (), (), (r"(?i)^(true|false|yes|no)$",), "categorical"),
+        ("SECURITY_LABEL", ("label", "classification"), (), ("categorical",), (), "categorical"),
+        ("EVENT_ID", ("event_id",), ("case",), ("identifier",), (r"^EV-\d+",), "identifier"),
+        ("ALERT_NAME", ("alert_name",), (), ("categorical",), (), "categorical"),
+        ("SOURCE_SYSTEM", ("source_system",), (), ("categorical",), (), "categorical"),
+        ("CASE_ID", ("case_id", "case_number"), (), ("identifier",), (r"^CASE-\d+",), "identifier"),
+        ("CASE_ALERT_ID", ("case_alert",), (), ("identifier",), (), "identifier"),
+        ("ACKNOWLEDGED_AT", ("acknowledged", "ack_time"), (), (), (r"^\d{4}-\d\d-\d\d",), "timestamp"),
+        ("CLOSED_AT", ("closed_at",), ("_by",), (), (r"^\d{4}-\d\d-\d\d",), "timestamp"),
+        ("ANALYST_ID", ("analyst_id",), (), ("identifier",), (r"^ANL-\d+",), "identifier"),
+        ("ESCALATION_LEVEL", ("escalation_level", "tier"), (), ("categorical",), (r"^L\d$",), "categorical"),
+        ("CLOSURE_DISPOSITION", ("disposition",), (), ("categorical",), (), "categorical"),
+        ("WORKFLOW_CASE_ID", ("event_case",), (), ("identifier",), (), "identifier"),
+        ("WORKFLOW_EVENT_AT", ("event_at",), (), (), (r"^\d{4}-\d\d-\d\d",), "timestamp"),
+        ("WORKFLOW_EVENT_TYPE", ("event_type",), (), ("categorical",), (), "categorical"),
+        ("ASSET_TYPE", ("asset_type",), (), ("categorical",), (), "categorical"),
+        ("NETWORK_ZONE", ("network_zone", "zone"), (), ("categorical",), (), "categorical"),
+    ]
 ]
 ROLES = {  # fixed values: anchor concept and supporting concepts of each dataset role, ties in this order
     "WORKFLOW": ("WORKFLOW_CASE_ID", ("WORKFLOW_EVENT_TYPE", "WORKFLOW_EVENT_AT", "WORKFLOW_ACTOR")),

@@ -91,3 +91,16 @@ def test_flagged_incidence_counts_records_once(spark):
     s = spark.createDataFrame([("e", "p", 4)], "entity string, period string, records bigint")
     f = spark.createDataFrame([("e", "p", 1), ("e", "p", 1), ("e", "p", 2)], "entity string, period string, row_ordinal bigint")
     assert metrics.flagged_incidence(s, f, "m").select(F.col("rate")).first()[0] == 0.5
+
+
+def test_concepts(spark):
+    from auditlake.operators import concepts
+
+    assert concepts.required_for("ALERTS") == ["SECURITY_SEVERITY", "ALERT_ID", "TRIGGERED_AT"] and concepts.required_for("UNKNOWN") == []
+    assert concepts.missing_required("ALERTS", ["ALERT_ID", "EVENT_TIMESTAMP"]) == ["SECURITY_SEVERITY"]
+    assert "ASSET_TYPE" in concepts.for_pipeline("WORKFLOW")
+    df = spark.createDataFrame([(1, "HIGH", None)], "k int, SECURITY_SEVERITY string, ESCALATION_STATUS string")
+    got = {r.feature: (r.available, r.missing) for r in concepts.feature_availability(df, "k", ["SECURITY_SEVERITY", "ESCALATION_STATUS"]).collect()}
+    assert got["SEVERITY_RISK"] == (True, "") and got["ESCALATION_GAP"] == (False, "ESCALATION_STATUS") and got["FAST_CLOSURE_RISK"] == (False, "EVENT_TIMESTAMP,RESOLUTION_TIME")
+    assert concepts.concept_frame(spark).count() == len(concepts.CONCEPTS)
+    assert concepts.context(["SECURITY_SEVERITY", "RESOLUTION_TIME", "ASSET_IDENTIFIER"]) == {"alert_management": 1.0, "investigation": 0.0, "assets": 0.5, "network": 0.0}

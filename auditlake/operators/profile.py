@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,19 @@ def appearance_samples(df: DataFrame, column: str, order: str, limit: int = 10)
     return v.orderBy("first_row", "value").limit(limit)
 
 
+def all_samples(df: DataFrame, columns: list[str], order: str, limit: int = 10, salts: int = 64) -> DataFrame:
+    """(column_name, samples): first `limit` distinct values of every column, in order of appearance, in one pass.
+
+    Distinct values meet per (column, value); the smallest positions are picked per salt
+    first, so no task holds a whole column and the last step sees salts x limit rows a column.
+    """
+    cells = df.select(F.col(order).alias("_o"), F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.when(~is_scan_null(c), F.col(c).cast("string")).alias("value")) for c in columns])).alias("c"))
+    first = cells.select("_o", "c.*").where("value IS NOT NULL").groupBy("column_name", "value").agg(F.min("_o").alias("o")).withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(salts)))
+    near = first.withColumn("r", F.row_number().over(Window.partitionBy("column_name", "salt").orderBy("o", "value"))).where(F.col("r") <= limit)
+    last = near.withColumn("r", F.row_number().over(Window.partitionBy("column_name").orderBy("o", "value"))).where(F.col("r") <= limit)
+    return last.groupBy("column_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x.value).alias("samples"))
+
+
 def duplicate_values(df: DataFrame, column: str) -> DataFrame:
     """(value, n) of values that occur more than once."""
     return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).where("n > 1")
@@ -93,8 +106,9 @@ def category(name: str, numeric: bool, unique: int, rows: int, samples: list[str
 
 def profile_rows(df: DataFrame, order: str, sample_size: int = 10) -> list[dict]:
     """Profile as driver-side rows (one per column) for mapping decisions: inventory, samples, category."""
+    samples = {r.column_name: r.samples for r in all_samples(df, df.columns, order, sample_size).collect()}
     out = []
     for r in inventory(df).collect():
-        samples = [str(x.value) for x in appearance_samples(df, r.column_name, order, sample_size).collect()]
-        out.append({**r.asDict(), "samples": samples, "category": category(r.column_name, r.kind == "numeric", r.unique_values, r.total_rows, samples)})
+        own = samples.get(r.column_name, [])
+        out.append({**r.asDict(), "samples": own, "category": category(r.column_name, r.kind == "numeric", r.unique_values, r.total_rows, own)})
     return out

@@ -176,6 +176,7 @@ def test_filters_and_profiles(spark):
     empty = {r.column_name: r for r in profile.inventory(df.limit(0)).collect()}
     assert (empty["x"].total_rows, empty["x"].mean, empty["x"].std) == (0, None, None)
     assert [r.value for r in profile.appearance_samples(df, "s", "id").collect()] == ["a_b", "a%b"]
+    assert {r.column_name: r.samples for r in profile.all_samples(df, ["s", "x"], "id", 1).collect()} == {"s": ["a_b"], "x": ["2.0"]}
     t = profile.top_with_truncation(df, "s", 1).first()
     assert (t["values"], t.truncated) == (["a_b"], False)
     assert profile.dataset_profile(profile.inventory(df)).first().missing_percent == 18.75

@@ -38,3 +38,30 @@ def metrics(engine: DataFrame, reviewer: DataFrame) -> DataFrame:
 def untraceable(findings: DataFrame, records: DataFrame) -> DataFrame:
     """Findings whose cited row is not a record of their scope."""
     return findings.join(records.select("entity", "period", "row_ordinal"), ["entity", "period", "row_ordinal"], "left_anti")
+
+
+def wrong_arithmetic(measures: DataFrame) -> DataFrame:
+    """Absence measures whose own figures do not add up."""
+    ok = (F.col("with_evidence") + F.col("without_evidence") == F.col("triggered")) & (F.col("coverage").eqNullSafe(F.when(F.col("triggered") > 0, F.round(F.col("with_evidence") / F.col("triggered"), 4))))
+    return measures.where(~ok)
+
+
+def unsupported_values(claims: DataFrame, records: DataFrame, concept: str) -> DataFrame:
+    """Claims (entity, period, row_ordinal, value) whose cited row does not carry the value."""
+    from auditlake.columns import norm_value
+
+    r = records.select("entity", "period", "row_ordinal", norm_value(concept).alias("have"))
+    j = claims.join(r, ["entity", "period", "row_ordinal"], "left")
+    return j.where(~norm_value("value").eqNullSafe(F.col("have"))).drop("have")
+
+
+def review_template(cases: DataFrame, families: list[str]) -> DataFrame:
+    """One blank line per (scope, family) for a reviewer to fill."""
+    return cases.select("entity", "period", F.explode(F.array(*map(F.lit, families))).alias("family"), F.lit(None).cast("string").alias("indicator"), F.lit(None).cast("string").alias("note"))
+
+
+def reviewer_labels(filled: DataFrame) -> DataFrame:
+    """Filled template as labels; a list of indicators gives one label each."""
+    from auditlake.functions.texts import listed
+
+    return filled.where("indicator IS NOT NULL").select("entity", "period", "family", F.explode(listed(F.col("indicator"))).alias("indicator"))

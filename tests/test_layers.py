@@ -232,3 +232,27 @@ def test_canonical_projection(spark):
     ds = mapping.decide([row("host", "identifier", "DB-1"), row("investigation_notes", "categorical", "some words of a note")])
     r = mapping.canonical(df, ds).collect()
     assert (r[0].asset_context.asset_id, r[0].investigation_context.available, r[1].investigation_context.available) == ("DB-1", True, False)
+
+
+def test_texts(spark):
+    from auditlake.functions import texts
+
+    df = spark.createDataFrame([(1, "a,b  c", -7.6), (12, None, -0.1), (23, "", -4.0)], "n int, s string, p double")
+    r = df.select(texts.ordinal(F.col("n")).alias("o"), texts.listed(F.col("s")).alias("l"), texts.probability_phrase(F.col("p")).alias("p"), texts.template("{n} of {s}", df.columns).alias("t")).collect()
+    assert [x.o for x in r] == ["1st", "12th", "23rd"] and [x.l for x in r] == [["A", "B", "C"], None, []]
+    assert [x.p for x in r] == ["about 1 in 10^7", "0.7943", "about 1 in 10^4"] and r[1].t == "12 of -"
+    with pytest.raises(ValueError):
+        texts.template("{nope}", df.columns)
+    assert texts.fingerprint({"b": 1, "a": 2}) == texts.fingerprint({"a": 2, "b": 1})
+
+
+def test_claims(spark):
+    recs_ = spark.createDataFrame([("e", "p", 1, "high")], "entity string, period string, row_ordinal int, severity string")
+    claims = spark.createDataFrame([("e", "p", 1, "HIGH"), ("e", "p", 1, "LOW"), ("e", "p", 2, "HIGH")], "entity string, period string, row_ordinal int, value string")
+    assert agreement.unsupported_values(claims, recs_, "severity").count() == 2
+    assert agreement.untraceable(claims, recs_).count() == 1
+    m = spark.createDataFrame([(4, 3, 1, 0.75), (4, 3, 2, 0.75), (0, 0, 0, None)], "triggered int, with_evidence int, without_evidence int, coverage double")
+    assert agreement.wrong_arithmetic(m).count() == 1
+    t = agreement.review_template(recs_, ["f", "g"])
+    assert t.count() == 2 and agreement.reviewer_labels(t).count() == 0
+    assert agreement.reviewer_labels(t.withColumn("indicator", F.lit("X, y"))).count() == 4

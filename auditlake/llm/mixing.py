@@ -60,7 +60,7 @@ def pfair(quota: dict[str, int], block: int) -> list[tuple[str, int, int]]:
 class Mixture:
     """A mixture plan over documents: sizes, quotas, schedule, and the frames made from them."""
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, block: int = 4096, max_slots: int = 20_000, buckets: int = 64, vocabulary: str = VOCABULARY) -> None:
+    def __init__(self, docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, block: int = 4096, max_slots: int = 20_000, buckets: int = 256, vocabulary: str = VOCABULARY) -> None:
         spark = docs.sparkSession
         ensure_checkpoint_dir(spark)
         t = targets.where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.max("target_share").alias("share"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1))).alias("cap"))

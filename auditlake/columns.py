@@ -16,7 +16,7 @@ EVIDENCE_NA = ["", "NAN", "N/A", "NA", "NONE", "NULL", "NIL", "-", "--", "UNKNOW
 POPULATED_NA = ["", "nan", "nat", "none", "null"]
 SUBMITTED_NA = ["", "n/a", "-", "--", "none", "null", "nan"]
 
-BLANK = r"^\s+|\s+$"
+WHITE = " \t\n\x0b\f\r"
 
 
 def as_col(c: Column | str) -> Column:
@@ -25,7 +25,7 @@ def as_col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(as_col(c).cast("string"), BLANK, "")
+    return F.btrim(as_col(c).cast("string"), F.lit(WHITE))
 
 
 def is_blank(c: Column | str) -> Column:

@@ -104,11 +104,29 @@ def category(name: str, numeric: bool, unique: int, rows: int, samples: list[str
     return "identifier" if spread and size >= 6 and not any(s.lower() in COMMON_LABELS for s in samples) else "categorical"
 
 
-def profile_rows(df: DataFrame, order: str, sample_size: int = 10) -> list[dict]:
-    """Profile as driver-side rows (one per column) for mapping decisions: inventory, samples, category."""
-    samples = {r.column_name: r.samples for r in all_samples(df, df.columns, order, sample_size).collect()}
+def first_samples(df: DataFrame, order: str, limit: int = 10, head: int = 1000) -> dict[str, list[str]]:
+    """First distinct values of every column: from the first records where they suffice, else from one full pass.
+
+    A column that shows `limit` values among the first `head` records needs no more; only
+    the others, which repeat few values, are counted over all records.
+    """
+    cols = list(df.columns)
+    start = df.orderBy(order).limit(head)
+    found = {r.column_name: r.samples for r in all_samples(start, cols, order, limit).collect()}
+    rest = [c for c in cols if len(found.get(c, [])) < limit]
+    if rest and df.limit(head + 1).count() > head:
+        found |= {r.column_name: r.samples for r in all_samples(df, rest, order, limit).collect()}
+    return found
+
+
+def profile_rows(df: DataFrame, order: str, sample_size: int = 10, approximate: bool = True) -> list[dict]:
+    """Profile as driver-side rows (one per column) for mapping decisions: inventory, samples, category.
+
+    Mapping needs distinct counts only as a share of the records, so they are approximate by default.
+    """
+    samples = first_samples(df, order, sample_size)
     out = []
-    for r in inventory(df).collect():
+    for r in inventory(df, approximate=approximate).collect():
         own = samples.get(r.column_name, [])
         out.append({**r.asDict(), "samples": own, "category": category(r.column_name, r.kind == "numeric", r.unique_values, r.total_rows, own)})
     return out

@@ -42,13 +42,19 @@ def orphan_events(events: DataFrame, case_ids: DataFrame) -> DataFrame:
 
 def summary(alerts: DataFrame, cases: DataFrame, alert_col: str = "alert_id", case_col: str = "case_id", link_col: str = "alert_id") -> DataFrame:
     """(fact, n): distinct alerts and cases, linked, orphan and unmatched, rows with a case but no alert key."""
-    a = keys(alerts, alert_col, "alert_id")
+    a = keys(alerts, alert_col, "alert_id").withColumn("known", F.lit(True))
     links = case_links(cases, case_col, link_col)
-    no_key = cases.where(norm_id(case_col).isNotNull() & norm_id(link_col).isNull())
-    facts = [("alerts", a), ("cases", keys(cases, case_col, "case_id")), ("linked_cases", linked_cases(links, a)), ("orphan_cases", orphan_cases(links, a)), ("unmatched_alerts", unmatched_alerts(links, a)), ("rows_without_alert_key", no_key)]
+    # One outer join serves linked, orphan and unmatched: alerts without a case meet as the null case.
+    met = links.join(a, "alert_id", "full_outer").groupBy("case_id").agg(F.max("known").alias("known"), F.count("*").alias("n"))
+    named = F.col("case_id").isNotNull()
+    joined = met.agg(F.count_if(named & F.col("known")).alias("linked_cases"), F.count_if(named & F.col("known").isNull()).alias("orphan_cases"), F.coalesce(F.sum(F.when(~named, F.col("n"))), F.lit(0)).alias("unmatched_alerts"))
+    rows = cases.select(norm_id(case_col).alias("c"), norm_id(link_col).alias("l")).groupBy("c").agg(F.count_if(F.col("c").isNotNull() & F.col("l").isNull()).alias("n"))
+    own = rows.agg(F.count("c").alias("cases"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows_without_alert_key"))
+    parts = [a.agg(F.count("*").alias("alerts")), own, joined]
     out = None
-    for name, df in facts:
-        r = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("fact"), "n")
+    for p in parts:
+        cells = F.array(*[F.struct(F.lit(c).alias("fact"), F.col(c).cast("bigint").alias("n")) for c in p.columns])
+        r = p.select(F.explode(cells).alias("c")).select("c.*")
         out = r if out is None else out.unionByName(r)
     return out
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from auditlake.columns import has_evidence, norm_id
 from auditlake.functions import dates, vocabulary
 from auditlake.operators import profile, relations
+from auditlake.session import ensure_checkpoint_dir
 
 
 def _issue(df: DataFrame, code: str, level: str, field: str) -> DataFrame:
@@ -40,7 +41,8 @@ def invalid_timestamps(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def issues(alerts: DataFrame, cases: DataFrame) -> DataFrame:
     """All issues of an alert and a case table."""
-    facts = relations.summary(alerts, cases)
+    ensure_checkpoint_dir(alerts.sparkSession)
+    facts = relations.summary(alerts, cases).checkpoint()  # six rows, read three times
     pick = lambda fact, code, level, field: _issue(facts.where(F.col("fact") == fact), code, level, field)
     conflict = profile.case_conflicts(cases, "alert_id").agg(F.count("*").alias("n"))
     unknown = unknown_values(alerts, "severity", "severity").agg(F.count("*").alias("n"))

@@ -37,6 +37,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("on a cluster, name a shared folder in spark.checkpoint.dir")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "auditlake-checkpoints"))
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from auditlake.columns import is_submitted_absent
 from auditlake.llm.lookalike import PROTOTYPES
+from auditlake.session import ensure_checkpoint_dir
 
 SLIPS, EDITS, LEAST_LETTERS = 2, 4, 5
 SEGMENTS = EDITS + 1
@@ -142,8 +143,10 @@ def meanings(values: DataFrame, items: DataFrame) -> DataFrame:
 def map_values(df: DataFrame, items: DataFrame, columns: list[str]) -> DataFrame:
     """(row_id, column_name, item_id): the entry each typed value means, `none` for the unmatched."""
     cells = typed_values(df, items, columns)
-    distinct = cells.groupBy("column_name", "value").agg(F.count("*").alias("n")).select("column_name", "value")
-    found = meanings(distinct, items)
+    ensure_checkpoint_dir(df.sparkSession)
+    # Distinct values and their meanings are stored: each is read several times below.
+    distinct = cells.groupBy("column_name", "value").agg(F.count("*").alias("n")).select("column_name", "value").checkpoint()
+    found = meanings(distinct, items).checkpoint()
     unmatched = distinct.join(found, ["column_name", "value"], "left_anti").withColumn("item_id", F.lit("none"))
     return cells.join(found.unionByName(unmatched), ["column_name", "value"]).select("row_id", "column_name", "item_id")
 

@@ -8,9 +8,10 @@ schedule has at most `max_slots` slots whatever the data: the block size grows w
 total instead. It is built on the driver from one size per source and joins back by
 broadcast (at most `max_slots` rows plus one per source).
 
-Total: by default the largest size at which no source with documents falls short of its
-share with its documents repeated at most max_repeats times. With `total_tokens` set, a
-source that cannot fill its share is used up and its shortfall reported.
+Total: `total_tokens` is a number, or `ALL` for the tokens of all documents given, those
+of unlisted sources included; a source that cannot fill its share is used up to its cap
+and its shortfall reported. Without it the total is the largest at which no source with
+documents falls short with its documents repeated at most max_repeats times.
 
 Documents inside a source are ordered by a hash of their id. Their token positions come
 from a two-level prefix sum over hash buckets, so a source that holds a third of all
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from auditlake.llm.tokens import VOCABULARY, token_counts
 from auditlake.session import ensure_checkpoint_dir
 
+ALL = "all"
+
 
 def pfair(quota: dict[str, int], block: int) -> list[tuple[str, int, int]]:
     """(source, block number, slot): earliest deadline first over released blocks."""
@@ -60,15 +63,16 @@ def pfair(quota: dict[str, int], block: int) -> list[tuple[str, int, int]]:
 class Mixture:
     """A mixture plan over documents: sizes, quotas, schedule, and the frames made from them."""
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, block: int = 4096, max_slots: int = 20_000, buckets: int = 256, vocabulary: str = VOCABULARY) -> None:
+    def __init__(self, docs: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, block: int = 4096, max_slots: int = 20_000, buckets: int = 256, vocabulary: str = VOCABULARY) -> None:
         spark = docs.sparkSession
         ensure_checkpoint_dir(spark)
         t = targets.where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.max("target_share").alias("share"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1))).alias("cap"))
         self.targets = {r.source: (float(r.share), int(r.cap)) for r in t.collect()}  # the target list is a small fixed table
-        listed = docs.where(F.col("source").isin(list(self.targets)))
-        sized = token_counts(listed, vocabulary).where("n_tokens > 0")
+        listed = F.col("source").isin(list(self.targets))
+        sized = token_counts(docs if total_tokens == ALL else docs.where(listed), vocabulary).where("n_tokens > 0")
         order = F.xxhash64(F.col("doc_id"), F.lit("order"))
-        self.sized = sized.select("doc_id", "source", "n_tokens", order.alias("o"), F.pmod(F.shiftright(order, 40), F.lit(buckets)).cast("int").alias("bucket")).checkpoint()
+        counted = sized.select("doc_id", "source", "n_tokens", order.alias("o"), F.pmod(F.shiftright(order, 40), F.lit(buckets)).cast("int").alias("bucket")).checkpoint()
+        self.sized = counted.where(listed)
         per_bucket = self.sized.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"))
         self.sizes: dict[str, int] = {s: 0 for s in self.targets}
         offsets = []
@@ -77,7 +81,9 @@ class Mixture:
             self.sizes[r.source] += int(r.n)
         self.offsets = spark.createDataFrame(offsets, "source string, bucket int, before bigint")
         room = {s: self.sizes[s] * cap for s, (_, cap) in self.targets.items()}
-        if total_tokens is None:
+        if total_tokens == ALL:
+            total_tokens = int(counted.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0)
+        elif total_tokens is None:
             total_tokens = min((int(room[s] / share) for s, (share, _) in self.targets.items() if room[s]), default=0)
         self.total = total_tokens
         self.quota = {s: min(room[s], int(share * total_tokens)) for s, (share, _) in self.targets.items()}

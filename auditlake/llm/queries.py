@@ -39,12 +39,16 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
 
+def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), total_tokens=mixing.ALL)
+
+
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).rows()
+    return _mixture(spark, d).rows()
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares()
+    return _mixture(spark, d).shares()
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.llm import canonical, lookalike, mixing, neardup, tokens
+from auditlake.llm import canonical, lookalike, mixing, neardup, queries, tokens
 
 NOTE = "row_id bigint, note string, cls string, band string"
 WORDS = [f"{a}{b}{c}" for a in ("kra", "vil", "mon", "tes") for b in ("do", "ri", "sa", "lu", "pe") for c in ("x", "th", "n", "m", "k")]
@@ -213,6 +213,20 @@ def test_shares_caps_and_shortfalls(spark):
     assert e.rows().count() == 0 and {r.actual_tokens for r in e.shares().collect()} == {0}
 
 
+def test_registered_mixture_is_of_all_tokens(spark, tmp_path):
+    docs = [(i, "big", "word " * 50) for i in range(40)] + [(100, "scarce", "word " * 50), (200, "other", "word " * 50), (201, None, "word " * 50)]
+    spark.createDataFrame(docs, "doc_id bigint, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("big", 0.7, 1), ("scarce", 0.2, 2), ("none", 0.1, 3)], "source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mix_targets.parquet"))
+    s = {r.source: r for r in queries.p9_shares(spark, str(tmp_path)).collect()}
+    n = s["scarce"].source_tokens
+    total = 43 * n
+    assert {k: r.target_tokens for k, r in s.items()} == {"big": int(0.7 * total), "scarce": int(0.2 * total), "none": int(0.1 * total)}
+    assert s["scarce"].actual_tokens == 2 * n and s["scarce"].shortfall_tokens == int(0.2 * total) - 2 * n
+    assert s["big"].shortfall_tokens == 0 and s["none"].shortfall_tokens == s["none"].target_tokens
+    rows = queries.p9_mixture(spark, str(tmp_path)).collect()
+    assert sorted(r.repeat_no for r in rows if r.source == "scarce") == [1, 2] and {r.source for r in rows} == {"big", "scarce"}
+
+
 # --- look-alikes -----------------------------------------------------------------------
 
 

@@ -16,7 +16,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_profile(spark: SparkSession, d: str) -> DataFrame:
-    return quality.mask_report(table(spark, d, "dataset_capability_rich"), WATCHED)
+    t = table(spark, d, "dataset_capability_rich")
+    return quality.mask_report(t, [c for c in t.columns if c not in ("feed_id", "load_no")])
 
 
 def p2_columns(spark: SparkSession, d: str) -> DataFrame:

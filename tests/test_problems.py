@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditlake.operators import drift, orphans, parsing, quality, timestamps
+from auditlake.plans import submissions
 
 # --- problem 2 -------------------------------------------------------------------------
 
@@ -67,6 +68,18 @@ def test_wide_profile_has_every_column(spark):
     assert {r.column_name for r in quality.wide_profile(df).collect()} == set(df.columns) - {"feed_id", "load_no"}
 
 
+def test_profile_covers_every_column(spark, tmp_path):
+    rows = [(1, load, f"{v}", "x") for load, vs in enumerate([[10, 9, 100] * 40 + ["x-1"], ["a-1", "b-2", "c-3"] * 40], 1) for v in vs]
+    df = spark.createDataFrame(rows, "feed_id bigint, load_no int, priority string, host string")
+    df.write.parquet(str(tmp_path / "dataset_capability_rich.parquet"))
+    r = {(x.load_no, x.column_name): x for x in submissions.p2_profile(spark, str(tmp_path)).collect()}
+    assert set(r) == {(load, c) for load in (1, 2) for c in ("priority", "host")}
+    assert [(m.m, m.n) for m in r[1, "priority"].rare_masks] == [("a-9", 1)]
+    assert r[1, "priority"].changes == [] and r[2, "priority"].changes == ["pattern", "shares"] and r[2, "host"].changes == []
+    w = {x.load_no: x for x in quality.wide_profile(df.where("priority <> 'x-1'")).collect() if x.column_name == "priority"}
+    assert (w[1].n_distinct, w[1].min_value, w[1].max_value) == (3, "9", "100") and w[2].max_value == "c-3"
+
+
 # --- problem 3 -------------------------------------------------------------------------
 
 

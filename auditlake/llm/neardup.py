@@ -20,8 +20,13 @@ for the Jaccard similarity, pairs clearly below the threshold are dropped, and t
 is verified on the word sets themselves.
 
 Recall is that of the bands: at `BANDS` = 24 and `ROWS` = 3 a pair whose weighted
-similarity is s is missed with probability (1 - s^3)^24, 4e-5 at 0.7 and 4 % at 0.5;
-edits to a few words of a note leave s near the plain similarity or above it.
+similarity is s is missed with probability (1 - s^3)^24, 4e-5 at 0.7 and 4 % at 0.5.
+Edits that hit the rare words of a note put s far below the plain similarity, down to
+almost 0 where nearly all words are common (a large family, stock phrases). Classes with
+at most `MOSTLY` of their words at full weight therefore take a second, unweighted pass
+of the same bands against all classes a pair with them can have (at most `PARTNER`),
+where s is the plain similarity. Pairs of classes above `MOSTLY` rest on the weighted
+bands alone.
 
 Defined results: null notes and notes with fewer than `least` words belong to nothing;
 notes with equal word sets are pairs and one class; extra columns are ignored; an empty
@@ -44,6 +49,8 @@ BASE, Q = 1.0 + 2.0**-16, 2**21
 RATE = 20.0
 COMMON, COMMON_LEAST = 1000, 200
 LEVELS = 5  # weights 1, 1/4, 1/16, 1/64, 1/256
+# Shares of full-weight words: of a class in the second pass, and of any class that has a plain similarity of 0.7 to one.
+MOSTLY, PARTNER = 0.2, 0.45
 COUNTERS, COUNTER_ROWS = 1 << 16, 2
 ESTIMATE_REGISTERS, ESTIMATE_SIGMAS = 128, 5.0
 
@@ -150,9 +157,13 @@ def common_levels(survey: DataFrame) -> np.ndarray:
     return levels
 
 
+def _levels_of(words: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return np.minimum.reduce([levels[r * COUNTERS + _counter(words, r)] for r in range(COUNTER_ROWS)])
+
+
 def band_keys(words: np.ndarray, at: np.ndarray, levels: np.ndarray, salt: np.ndarray) -> np.ndarray:
     """(sets, BANDS) 48-bit band keys of word sets; `salt` keeps tables apart."""
-    level = np.minimum.reduce([levels[r * COUNTERS + _counter(words, r)] for r in range(COUNTER_ROWS)])
+    level = _levels_of(words, levels)
     owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
     smallest = np.full((len(at) - 1, BANDS * ROWS), np.inf)
     for one in range(LEVELS):
@@ -182,6 +193,26 @@ def _band_mapper(shared):
     return run
 
 
+def _plain_band_mapper(shared, most: float, names: tuple[str, str] = ("cls", "band")):
+    """Unweighted band keys of the classes with at most `most` of their words at full weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = shared.value
+        plain = np.zeros_like(levels)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            words, at = _flat(b.column(2))
+            size = np.diff(at)
+            keep = np.add.reduceat((_levels_of(words, levels) == 0).astype(np.int64), at[:-1]) <= most * size
+            if not keep.any():
+                continue
+            keys = band_keys(words[np.repeat(keep, size)], np.r_[0, np.cumsum(size[keep])], plain, b.column(1).to_numpy()[keep].astype(np.uint64) * KEY_MULTIPLIERS[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy()[keep], BANDS)), pa.array(keys.ravel())], list(names))
+
+    return run
+
+
 def estimate_jaccard(ka: np.ndarray, kb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Joint maximum-likelihood Jaccard of register pairs with known set sizes.
 
@@ -258,7 +289,13 @@ class NearDuplicates:
         # One row per word set. All three uses below read the same shuffle, partitioned by cls.
         classes = self.notes.groupBy("cls").agg(F.max("tbl").alias("tbl"), F.max("ws").alias("ws"))
         bands = classes.mapInArrow(_band_mapper(shared), "cls bigint, band bigint")
-        cand = bands.alias("a").join(bands.alias("b"), F.col("a.band") == F.col("b.band")).where("a.cls < b.cls").select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
+        cand = bands.alias("a").join(bands.alias("b"), F.col("a.band") == F.col("b.band")).where("a.cls < b.cls").select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b"))
+        # Read from the notes without a shuffle, since most tables have no such class and the second pass is then empty.
+        mostly = self.notes.select("cls", "tbl", "ws").mapInArrow(_plain_band_mapper(shared, MOSTLY), "cls bigint, band bigint").distinct().checkpoint()
+        if not mostly.isEmpty():
+            partners = classes.mapInArrow(_plain_band_mapper(shared, PARTNER, ("other", "band")), "other bigint, band bigint")
+            cand = cand.unionByName(mostly.join(partners, "band").where("cls <> other").select(F.least("cls", "other").alias("cls_a"), F.greatest("cls", "other").alias("cls_b")))
+        cand = cand.distinct()
         side = lambda x: classes.select(F.col("cls").alias(f"cls_{x}"), F.col("tbl").alias(f"t{x}"), F.col("ws").alias(f"w{x}"))
         both = cand.join(side("a"), "cls_a").join(side("b"), "cls_b").where("ta = tb")
         checked = both.select("cls_a", "cls_b", "wa", "wb").mapInArrow(_verifier(self.threshold), "cls_a bigint, cls_b bigint, jaccard double, estimate double")

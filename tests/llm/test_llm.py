@@ -58,6 +58,14 @@ def test_tables_stay_apart_and_empty_tables(spark):
     assert e.row_pairs().count() == 0 and e.groups().count() == 0
 
 
+def test_family_that_makes_its_own_words_common(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "COMMON_LEAST", 5)  # 400 notes are 80 times the limit: the family's words weigh 1/256
+    texts = [" ".join([*WORDS[: i % 20], f"own{i}", *WORDS[i % 20 + 1 : 20]]) for i in range(400)]
+    n = similar(spark, texts)
+    assert {(r.row_id_a, r.row_id_b) for r in n.row_pairs().collect()} == brute(texts)
+    assert {r.group_id for r in n.groups().collect()} == {0}
+
+
 def test_joint_estimate_is_close():
     rng = np.random.default_rng(1)
     for shared in (10, 60, 90):

@@ -5,7 +5,7 @@ summary is kept: JSON type and a description of what the values are (kind, and f
 labels a 252-bit value sketch). Types fold through a promotion lattice into the
 union schema; successive files of a stream are compared field by field into an
 ordered change log (renamed, removed, added, retyped); every record is cast to the
-union schema.
+union schema of its family over the canonical field names.
 
 Shuffles: one on (file, field) with map-side folding of fixed-size summaries, so a
 file of any size moves as one row per task and field; all later steps work on one
@@ -165,19 +165,41 @@ def canonical_names(files: DataFrame, rows: DataFrame) -> DataFrame:
     """(file_id, name, field): the name each field had when it first appeared in its stream.
 
     Renames are followed file by file: a stream holds few files, and the log is one row
-    per rename, so names fold over `seq_no` inside a stream.
+    per rename, so names fold over `seq_no` inside a stream. Where a file holds two fields
+    that lead to the same name, the one that came in later is `name~seq_no` in its stream.
     """
     w = Window.partitionBy("stream_id").orderBy("seq_no", "file_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ren = changes(files, rows).where("change = 'renamed'").groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("new_name", "old_name"))).alias("m"))
-    chain = files.select("file_id", "stream_id", "seq_no").join(ren, "file_id", "left").withColumn("chain", F.collect_list("m").over(w))
-    names = field_summaries(rows).select("file_id", "name").join(chain.select("file_id", "chain"), "file_id")
-    return names.select("file_id", "name", F.expr("aggregate(reverse(chain), name, (n, m) -> coalesce(try_element_at(m, n), n))").alias("field"))
+    log = changes(files, rows).where("change IN ('renamed', 'added')").groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("new_name", "old_name"))).alias("m"))
+    log = log.join(files.select("file_id", "seq_no"), "file_id").select("file_id", F.struct("seq_no", "m").alias("step"))
+    chain = files.select("file_id", "stream_id", "seq_no").join(log, "file_id", "left").withColumn("chain", F.collect_list("step").over(w))
+    names = field_summaries(rows).select("file_id", "name").join(chain.select("file_id", "stream_id", "chain"), "file_id")
+    # Walk back: '' marks the file where a name was added; the latest such file is where this field came in.
+    walk = """aggregate(reverse(chain), named_struct('f', name, 'born', cast(0 AS bigint)), (s, x) -> CASE
+        WHEN try_element_at(x.m, s.f) IS NULL THEN s
+        WHEN try_element_at(x.m, s.f) = '' THEN named_struct('f', s.f, 'born', CASE WHEN s.born = 0 THEN cast(x.seq_no AS bigint) ELSE s.born END)
+        ELSE named_struct('f', try_element_at(x.m, s.f), 'born', s.born) END)"""
+    led = names.withColumn("o", F.expr(walk)).select("file_id", "stream_id", "name", F.col("o.f").alias("f"), F.col("o.born").alias("born"))
+    clash = led.groupBy("stream_id", "file_id", "f").agg(F.count("*").alias("n")).where("n > 1").select("stream_id", "f").distinct().withColumn("clash", F.lit(True))
+    first = led.groupBy("stream_id", "f").agg(F.min("born").alias("first")).join(clash, ["stream_id", "f"])
+    own = F.when(F.col("clash") & (F.col("born") > F.col("first")), F.concat("f", F.lit("~"), F.col("born").cast("string"))).otherwise(F.col("f"))
+    return led.join(first, ["stream_id", "f"], "left").select("file_id", "name", own.alias("field"))
 
 
 def consistent_table(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """All records in one schema: (file_id, record_no, fields map<string,string>) under canonical names."""
-    names = canonical_names(files, rows)
-    c = open_records(rows).select("file_id", "record_no", "name", F.expr("CASE WHEN schema_of_variant(v) = 'VOID' THEN NULL WHEN schema_of_variant(v) = 'STRING' THEN try_variant_get(v, '$', 'string') ELSE to_json(v) END").alias("value"))
-    c = c.join(names, ["file_id", "name"])
-    cells_ = c.groupBy("file_id", "record_no", "field").agg(F.max("value").alias("value"))
-    return cells_.groupBy("file_id", "record_no").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"))
+    """Every record in its family's union schema: (file_id, record_no, fields map<string,variant>) under canonical names.
+
+    Types join as in `union_schema`, over the values themselves: numbers, booleans and
+    containers keep their type where all values of the field have it, else become text.
+    Fields a record lacks, and all fields of an unreadable record, are null.
+    """
+    family = files.select("file_id", F.coalesce("family", F.lit("")).alias("family"))
+    c = open_records(rows).withColumn("t", json_type(F.schema_of_variant("v"))).select("file_id", "record_no", "name", "t", F.to_json("v").alias("json"))
+    c = c.join(canonical_names(files, rows), ["file_id", "name"], "left").join(family, "file_id", "left").withColumn("field", F.coalesce("field", "name")).fillna("", ["family"])
+    types = c.groupBy("family", "field").agg(F.when(F.min("t") == F.max("t"), F.min("t")).otherwise("string").alias("union_type"))
+    text = F.expr("to_json(cast(json AS variant))")
+    value = F.when(F.col("t").isNull(), None).when((F.col("union_type") == "string") & (F.col("t") != "string"), text).otherwise(F.col("json"))
+    cells_ = c.join(types, ["family", "field"]).select("file_id", "record_no", "field", value.alias("value"))
+    opened = cells_.groupBy("file_id", "record_no").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("m"))
+    schema = types.groupBy("family").agg(F.array_sort(F.collect_list("field")).alias("all_fields"))
+    out = rows.select("file_id", "record_no").join(family, "file_id", "left").fillna("", ["family"]).join(schema, "family", "left").join(opened, ["file_id", "record_no"], "left")
+    return out.select("file_id", "record_no", F.expr("map_from_arrays(coalesce(all_fields, array()), transform(coalesce(all_fields, array()), f -> parse_json(try_element_at(m, f))))").alias("fields"))

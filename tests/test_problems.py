@@ -218,6 +218,17 @@ def test_consistent_table_uses_first_names(spark):
     assert {x.name for x in drift.union_schema(f, r).collect()} == {"severity", "host", "notes", "created", "zone", "asset", "Asset"}
 
 
+def test_consistent_table_keeps_types_fields_and_records(spark):
+    host = lambda i: f"WEB-{i:02d}"
+    f, r = stream(spark, rec(2, mins=5), rec(2, mins=6, host=None, asset=host), [*rec(2, mins=7, host=lambda i: {"k": i}, asset=host), {}])
+    t = drift.consistent_table(f, r).select("file_id", "record_no", F.to_json("fields", {"ignoreNullFields": "false"}).alias("j")).collect()
+    got = {(x.file_id, x.record_no): json.loads(x.j) for x in t}
+    assert len(t) == len(got) == 7 and {type(v["mins"]) for v in got.values() if v["mins"] is not None} == {int}
+    assert sum(all(v is None for v in x.values()) for x in got.values()) == 1
+    last = [x for (i, _), x in got.items() if i == 3 and x["mins"]]
+    assert all(x["host"].startswith("WEB-") and set(x["host~3"]) == {"k"} for x in last) and len(last) == 2
+
+
 def test_drift_of_empty_tables(spark):
     f, r = stream(spark, rec())
     assert drift.changes(f.limit(0), r.limit(0)).count() == 0

@@ -47,10 +47,9 @@ def norm_id(c: Column | str) -> Column:
 
 
 def vocab_key(c: Column | str) -> Column:
-    """N4: upper-case vocabulary token with separators unified; NULL if absent or unknown."""
-    t = strip(c)
-    k = F.upper(F.regexp_replace(t, r"[\s\-]+", "_"))
-    return F.when(F.lower(t).isin([*ID_NA, "unknown"]), None).otherwise(k)
+    """N4: trimmed vocabulary word in small letters; NULL if absent or unknown."""
+    k = F.lower(strip(c))
+    return F.when(~k.isin([*ID_NA, "unknown"]), k)
 
 
 def has_evidence(c: Column | str) -> Column:

@@ -2,40 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.columns import as_col, lookup, vocab_key
 
-# Accepted spellings of each canonical token.
+# Accepted spellings of each canonical token, compared in small letters after trimming.
 SEVERITY = {
-    "CRITICAL": ["CRITICAL", "CRIT", "P1", "SEV1", "SEV_1", "SEVERE", "EMERGENCY", "1"],
-    "HIGH": ["HIGH", "HI", "P2", "SEV2", "SEV_2", "MAJOR", "URGENT", "2"],
-    "MEDIUM": ["MEDIUM", "MED", "MODERATE", "P3", "SEV3", "SEV_3", "3"],
-    "LOW": ["LOW", "MINOR", "P4", "SEV4", "SEV_4", "4"],
+    "CRITICAL": ["critical", "crit", "sev1", "sev-1", "sev 1", "p1", "s1"],
+    "HIGH": ["high", "sev2", "sev-2", "sev 2", "p2", "s2"],
+    "MEDIUM": ["medium", "med", "moderate", "sev3", "sev-3", "sev 3", "p3", "s3"],
+    "LOW": ["low", "sev4", "sev-4", "sev 4", "p4", "s4", "info", "informational"],
 }
 ESCALATION = {
-    "ESCALATED": ["ESCALATED", "YES", "TRUE", "Y", "L2", "L3"],
-    "NOT_ESCALATED": ["NOT_ESCALATED", "NO", "FALSE", "N", "NONE", "L1"],
-    "PENDING": ["PENDING", "REQUESTED", "AWAITING"],
+    "ESCALATED": ["escalated", "yes", "y", "true", "escalate"],
+    "NOT_ESCALATED": ["not_escalated", "not escalated", "no", "n", "false", "none"],
+    "PENDING": ["pending", "requested"],
 }
 DISPOSITION = {
-    "CLOSED": ["CLOSED", "RESOLVED", "DONE", "COMPLETED", "FIXED"],
-    "FALSE_POSITIVE": ["FALSE_POSITIVE", "FP", "BENIGN", "NOT_AN_ISSUE"],
-    "DUPLICATE": ["DUPLICATE", "DUP", "MERGED"],
-    "WONT_FIX": ["WONT_FIX", "ACCEPTED_RISK", "RISK_ACCEPTED", "IGNORED"],
-    "OPEN": ["OPEN", "IN_PROGRESS", "REOPENED", "NEW"],
+    "CLOSED": ["closed", "resolved", "fixed", "completed", "done"],
+    "FALSE_POSITIVE": ["false_positive", "false positive", "fp", "benign"],
+    "DUPLICATE": ["duplicate", "dup"],
+    "WONT_FIX": ["wont_fix", "won't fix", "wont fix", "deferred"],
+    "OPEN": ["open", "reopened", "re-opened", "in_progress", "in progress"],
 }
 VOCABULARIES = {"severity": SEVERITY, "escalation": ESCALATION, "disposition": DISPOSITION}
 
 
 def canonical(c: Column | str, vocabulary: str) -> Column:
-    """Canonical token or NULL when absent or unknown."""
+    """Canonical token or NULL when absent or unknown; a boolean is no word of any vocabulary.
+
+    `none` stands in the escalation table but counts as absent first, so it stays unknown.
+    """
     pairs = {s: k for k, spellings in VOCABULARIES[vocabulary].items() for s in spellings}
-    return lookup(vocab_key(as_col(c).cast("string")), pairs)
+    return F.when(F.typeof(as_col(c)) != "boolean", lookup(vocab_key(as_col(c).cast("string")), pairs))
 
 
 def normalised(c: Column | str, vocabulary: str) -> Column:
     """struct(canonical, original, known)."""
     k = canonical(c, vocabulary)
     return F.struct(k.alias("canonical"), as_col(c).alias("original"), k.isNotNull().alias("known"))
+
+
+def record(df: DataFrame, severity: str | None = None, escalation: str | None = None, disposition: str | None = None) -> DataFrame:
+    """Adds `<vocabulary>_canonical` and `<vocabulary>_known` for the columns named; originals stay as submitted."""
+    for vocabulary, column in (("severity", severity), ("escalation", escalation), ("disposition", disposition)):
+        if column:
+            k = canonical(column, vocabulary)
+            df = df.withColumns({f"{vocabulary}_canonical": k, f"{vocabulary}_known": k.isNotNull()})
+    return df

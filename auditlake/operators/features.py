@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.columns import has_evidence, norm_value, rate
+from auditlake.operators import similarity
 
 KEYS = ["entity", "period"]
 # Order of the severity bands, lowest first.
@@ -29,9 +30,10 @@ def share_of(concept: str, target: tuple[str, ...], vocabulary: tuple[str, ...])
     return rate(F.count_if(n.isin(list(target))), F.count_if(n.isin(list(vocabulary))))
 
 
-def scope_features(df: DataFrame, severity: str = "severity", escalation: str = "escalation", group: str = "asset", concepts: tuple[str, ...] = ("severity", "escalation", "asset"), least: int = 1) -> DataFrame:
+def scope_features(df: DataFrame, severity: str = "severity", escalation: str = "escalation", group: str = "asset", concepts: tuple[str, ...] = ("severity", "escalation", "asset"), least: int = 1, text: str | None = None, order: str = "row_ordinal") -> DataFrame:
     """One row per scope. Plain aggregates share one pass; entropy and group share add a two-level one each.
 
+    With a `text` concept the mean best-match similarity of its values is the ninth feature.
     Scopes below `least` records have every feature but the count NULL.
     """
     o = ordinal(severity)
@@ -48,6 +50,8 @@ def scope_features(df: DataFrame, severity: str = "severity", escalation: str =
         F.when(complete, F.round(sum(populated, F.lit(0)) / (F.count("*") * len(concepts)), 6)).alias("concept_coverage"),
     )
     out = base.join(entropy(df, severity), KEYS, "left").join(max_group_share(df, group), KEYS, "left")
+    if text:
+        out = out.join(mean_max_token_similarity(df, text, order), KEYS, "left")
     names = [c for c in out.columns if c not in (*KEYS, "scope_record_count")]
     return out.select(*KEYS, "scope_record_count", *[F.when(F.col("scope_record_count") >= least, F.col(c)).alias(c) for c in names])
 
@@ -64,3 +68,30 @@ def max_group_share(df: DataFrame, concept: str) -> DataFrame:
     """Share of the busiest group among records with evidence of it."""
     g = df.where(has_evidence(concept)).groupBy(*KEYS, norm_value(concept).alias("v")).agg(F.count("*").alias("n"))
     return g.groupBy(*KEYS).agg(F.round(F.max("n") / F.sum("n"), 6).alias("max_group_share"))
+
+
+def mean_max_token_similarity(df: DataFrame, text: str, order: str = "row_ordinal") -> DataFrame:
+    """Mean best-match token similarity of a text's values with evidence; scopes with fewer than two have 0, with none are missing."""
+    sets = similarity.token_sets(df.where(has_evidence(text)), KEYS, order, text)
+    return similarity.mean_max_similarity(sets, KEYS).withColumnRenamed("mean_max_similarity", "mean_max_token_similarity")
+
+
+def matrix(df: DataFrame, names: list[str]) -> DataFrame:
+    """Complete rows only, as doubles in the order of `names`; a name the frame lacks or a repeated one is an error.
+
+    A row with a missing or non-finite value is left out, never filled.
+    """
+    if unknown := [n for n in names if n not in df.columns]:
+        raise ValueError(f"no such features: {unknown}")
+    if len(set(names)) != len(names):
+        raise ValueError("feature names must be unique")
+    ok = df
+    for n in names:
+        c = F.col(n).cast("double")
+        ok = ok.where(c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    return ok.select(*KEYS, *[F.col(n).cast("double").alias(n) for n in names])
+
+
+def concept_values(df: DataFrame, concept: str) -> DataFrame:
+    """(entity, period, value): normalised values of a concept with evidence."""
+    return df.where(has_evidence(concept)).select(*KEYS, norm_value(concept).alias("value"))

@@ -3,7 +3,9 @@
 The training matrix is a bounded sample per tree (`sample` rows), drawn by a seeded
 hash so that any run grows the same trees. Trees are kept as a table of nodes, written
 as parquet with a metadata file and digest; no pickles. Scores follow Liu, Ting and Zhou
-(2008): s = 2^(-E[path] / c(sample)); the decision offset is the contamination quantile.
+(2008): s = 2^(-E[path] / c(sample)); the decision offset is the contamination quantile,
+taken from mergeable quantile summaries. `df` is read several times by train and score:
+store it first.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.session import ship_package
 
+ACCURACY = 100_000  # rank error of the quantiles: below 1/100,000 of the rows, none on tables smaller than that
 NODES = "tree int, node int, feature int, threshold double, left int, right int, size int"
 
 
@@ -62,19 +65,33 @@ def train(df: DataFrame, features: list[str], key: list[str], trees: int = 100,
     ok = df
     for f in features:
         ok = ok.where(F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")))
-    h = lambda t: F.xxhash64(*key, t, F.lit(seed))
-    # Each row enters a tree with the probability that fills the sample twice over; the exact
-    # sample is the smallest hashes of what arrived, so a tree's group is bounded.
+    # A row enters a tree with about twice the chance that fills the sample; the exact sample
+    # is the smallest hashes of what arrived, so a tree's group is bounded.
     n = ok.count()
     if n < 8:
         raise ValueError("too few complete scopes to train on")
     share = min(1.0, 2.0 * sample / n)
-    draws = ok.select(*key, *[F.col(f).cast("double").alias(f) for f in features]).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    draws = draws.withColumn("h", h(F.col("tree"))).where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000))
+    draws = ok.select(*key, *[F.col(f).cast("double").alias(f) for f in features]).withColumn("tree", F.explode(_trees_of(key, trees, share, seed)))
+    draws = draws.withColumn("h", F.xxhash64(*key, "tree", F.lit(seed)))
     picked = draws.withColumn("r", F.row_number().over(Window.partitionBy("tree").orderBy("h", *key))).where(F.col("r") <= sample)
     return picked.groupBy("tree").applyInPandas(lambda g: grow(g.sort_values("r")[features].to_numpy(float), int(g["tree"].iloc[0]), seed), NODES)
 
 
+def _trees_of(key: list[str], trees: int, share: float, seed: int) -> Column:
+    """Array of the trees a row is drawn for: all of them, or as many draws as it has in expectation.
+
+    A large table draws about `trees * share` < 1 trees per row from a single hash, so a row
+    is not repeated for trees it never enters.
+    """
+    if share >= 1.0:
+        return F.sequence(F.lit(0), F.lit(trees - 1))
+    mean = trees * share
+    unit = lambda i: F.pmod(F.xxhash64(*key, F.lit(seed), i), F.lit(1 << 40)) / float(1 << 40)
+    one = lambda i: F.floor(unit(i) / F.least(F.lit(1.0), F.lit(mean) - i) * trees).cast("int")  # noqa: E731  uniform below the chance of draw i
+    picks = F.transform(F.sequence(F.lit(0), F.lit(math.ceil(mean) - 1)), lambda i: F.when(unit(i) < F.lit(mean) - i, one(i)))
+    return F.array_distinct(F.array_compact(picks))
+
+
 def depth_of(x: np.ndarray, nodes: pd.DataFrame) -> np.ndarray:
     """Adjusted path length of every row in one tree."""
     f, t, left, right, size = (nodes[c].to_numpy() for c in ("feature", "threshold", "left", "right", "size"))
@@ -108,14 +125,14 @@ def score(df: DataFrame, nodes: DataFrame, features: list[str], contamination: f
             yield pd.Series(np.where(bad, np.nan, s))
 
     s = df.withColumn("score", isolation(F.struct(*[F.col(f).cast("double") for f in features]))).withColumn("score", F.when(~F.isnan("score"), F.round("score", 9)))
-    cut = s.agg(F.percentile("score", F.lit(1 - contamination)).alias("cut")).first()["cut"]
+    cut = s.agg(F.percentile_approx("score", 1 - contamination, ACCURACY).alias("cut")).first()["cut"]
     verdict = F.when(F.col("score").isNull(), "NOT_EVALUABLE").when(F.col("score") > F.lit(cut), "POTENTIAL_OPERATIONAL_ANOMALY").otherwise("WITHIN_REFERENCE")
     return s.withColumn("verdict", verdict)
 
 
 def explain(scored: DataFrame, features: list[str], key: list[str], top: int = 3) -> DataFrame:
     """Per row the `top` features by robust distance (10-90 span) from the population median."""
-    qs = scored.agg(*[F.percentile(F.col(f).cast("double"), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias(f) for f in features]).first()
+    qs = scored.agg(*[F.percentile_approx(F.col(f).cast("double"), [0.1, 0.5, 0.9], ACCURACY).alias(f) for f in features]).first()
     d = [F.struct((F.abs(F.col(f) - qs[f][1]) / (qs[f][2] - qs[f][0]) if qs[f] and qs[f][2] > qs[f][0] else F.lit(0.0)).alias("distance"), F.lit(f).alias("feature")) for f in features]
     return scored.select(*key, "verdict", F.slice(F.sort_array(F.array(*d), asc=False), 1, top).alias("contributors"))
 

@@ -77,6 +77,7 @@ class Decision:
     state: str
     reason: str
     candidates: tuple[tuple[str, float], ...] = field(default=())
+    collided: bool = False
 
     @property
     def applied(self) -> bool:
@@ -138,7 +139,7 @@ def collide(decisions: list[Decision]) -> list[Decision]:
         if d.applied:
             by[d.path].append(d)
     lost = {d.column for ds in by.values() for d in sorted(ds, key=lambda d: (-d.confidence, d.column))[1:]}
-    return [replace(d, state=AMBIGUOUS, reason="another column holds this place") if d.column in lost else d for d in decisions]
+    return [replace(d, state=AMBIGUOUS, reason="another column holds this place", collided=True) if d.column in lost else d for d in decisions]
 
 
 def override(decisions: list[Decision], wanted: dict[str, str], patterns: list[Pattern] = PATTERNS) -> tuple[list[Decision], dict[str, str]]:

@@ -1,8 +1,8 @@
 """Column profiles: counts, distinct values, ranges, samples, duplicates.
 
-Exact distinct counts expand rows once per column, so columns go in groups of
-`WIDTH`; everything else of a group shares the same pass. Results are one row per
-column, small whatever the table.
+Everything but exact distinct counts is one pass of partial aggregates; distinct
+(column, value) pairs are counted once per value type. Results are one row per column,
+small whatever the table.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from auditlake.columns import is_scan_null
 
-WIDTH = 8
+SPREAD = 0.8  # fixed value: share of distinct values above which a text column may be an identifier
+DOUBT = 0.15  # three standard errors of the sketched counts
 IDENTIFIER_HINTS = ("id", "host", "hostname", "asset", "device", "server", "system", "machine")  # fixed values
 COMMON_LABELS = {"critical", "high", "medium", "low", "open", "closed", "pending", "yes", "no", "true", "false"}  # fixed values
 
@@ -24,26 +25,60 @@ def is_numeric(t: T.DataType) -> bool:
     return isinstance(t, (T.NumericType, T.BooleanType))
 
 
+def _kind(t: T.DataType) -> str:
+    """Type in which values of a column are told apart: none of them folds two values into one."""
+    if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return "bigint"
+    return "double" if isinstance(t, (T.FloatType, T.DoubleType)) else t.simpleString() if isinstance(t, T.DecimalType) else "string"
+
+
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(place, unique_values): exact distinct values per column, by position in `columns`.
+
+    (column, value) pairs are counted once with map-side combination, in the narrowest
+    type that keeps values apart; the second step sees one row per pair.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    by_kind: dict[str, list[tuple[int, str]]] = {}
+    for i, c in enumerate(columns):
+        by_kind.setdefault(_kind(kinds[c]), []).append((i, c))
+    parts = []
+    for kind, cols in by_kind.items():
+        cells = F.array(*[F.struct(F.lit(i).alias("place"), (F.when(~is_scan_null(c), F.col(c).cast("string")) if kind == "string" else F.col(c).cast(kind)).alias("v")) for i, c in cols])
+        pairs = df.select(F.explode(cells).alias("c")).select("c.*").where("v IS NOT NULL").groupBy("place", "v").agg(F.count("*").alias("n"))
+        parts.append(pairs.groupBy("place").agg(F.count("*").alias("unique_values")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def inventory(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
     """(column_name, unique_values, null_values, total_rows, min, max, mean, std) per column.
 
     NA spellings of text columns count as null; a single value has std 0. Numeric
-    figures are NULL for text columns. An empty table gives zero counts.
+    figures are NULL for text columns. An empty table gives zero counts. Counts, ranges and
+    means take one pass without a shuffle of values; distinct counts are exact, or sketches
+    with a relative error of about 5 % where `approximate`.
     """
     cols = columns or df.columns
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    parts = []
-    for i in range(0, len(cols), WIDTH):
-        aggs, cells = [F.count("*").alias("n")], []
-        for j, c in enumerate(cols[i : i + WIDTH]):
-            num = is_numeric(kinds[c])
-            v = F.col(c) if num else F.when(~is_scan_null(c), F.col(c).cast("string"))
-            x = F.col(c).cast("int").cast("double") if isinstance(kinds[c], T.BooleanType) else F.col(c).cast("double") if num else F.lit(None).cast("double")
-            aggs += [(F.approx_count_distinct(v) if approximate else F.countDistinct(v)).alias(f"d{j}"), F.count(v).alias(f"p{j}"), F.min(x).alias(f"a{j}"), F.max(x).alias(f"z{j}"), F.avg(x).alias(f"m{j}"), F.stddev_samp(x).alias(f"s{j}")]
+    aggs, cells = [F.count("*").alias("n")], []
+    for j, c in enumerate(cols):
+        num = is_numeric(kinds[c])
+        v = F.col(c) if num else F.when(~is_scan_null(c), F.col(c).cast("string"))
+        aggs.append(F.count(v).alias(f"p{j}"))
+        if approximate:
+            aggs.append(F.approx_count_distinct(v).alias(f"d{j}"))
+        figures = {k: F.lit(None).cast("double") for k in ("min", "max", "mean", "std")}
+        if num:
+            x = F.col(c).cast("int").cast("double") if isinstance(kinds[c], T.BooleanType) else F.col(c).cast("double")
+            aggs += [F.min(x).alias(f"a{j}"), F.max(x).alias(f"z{j}"), F.avg(x).alias(f"m{j}"), F.stddev_samp(x).alias(f"s{j}")]
             std = F.when(F.col(f"m{j}").isNotNull(), F.coalesce(F.col(f"s{j}"), F.lit(0.0)))
-            cells.append(F.struct(F.lit(c).alias("column_name"), F.lit("numeric" if num else "text").alias("kind"), F.col(f"d{j}").alias("unique_values"), (F.col("n") - F.col(f"p{j}")).alias("null_values"), F.col("n").alias("total_rows"), F.col(f"a{j}").alias("min"), F.col(f"z{j}").alias("max"), F.round(F.col(f"m{j}"), 4).alias("mean"), F.round(std, 4).alias("std")))
-        parts.append(df.agg(*aggs).select(F.explode(F.array(*cells)).alias("c")).select("c.*"))
-    return reduce(DataFrame.unionByName, parts)
+            figures = {"min": F.col(f"a{j}"), "max": F.col(f"z{j}"), "mean": F.round(F.col(f"m{j}"), 4), "std": F.round(std, 4)}
+        unique = F.col(f"d{j}") if approximate else F.lit(None).cast("bigint")
+        cells.append(F.struct(F.lit(j).alias("place"), F.lit(c).alias("column_name"), F.lit("numeric" if num else "text").alias("kind"), unique.alias("unique_values"), (F.col("n") - F.col(f"p{j}")).alias("null_values"), F.col("n").alias("total_rows"), *[v.alias(k) for k, v in figures.items()]))
+    out = df.agg(*aggs).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    if not approximate:
+        out = out.drop("unique_values").join(distinct_counts(df, cols), "place", "left").withColumn("unique_values", F.coalesce("unique_values", F.lit(0)))
+    return out.select("column_name", "kind", "unique_values", "null_values", "total_rows", "min", "max", "mean", "std")
 
 
 def appearance_samples(df: DataFrame, column: str, order: str, limit: int = 10) -> DataFrame:
@@ -75,10 +110,20 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
 
 
-def top_with_truncation(df: DataFrame, column: str, limit: int) -> DataFrame:
-    """Most frequent repeated values, count then value, with a flag that more exist."""
-    d = duplicate_values(df, column).orderBy(F.desc("n"), "value").limit(limit + 1)
-    return d.agg(F.slice(F.collect_list("value"), 1, limit).alias("values"), (F.count("*") > limit).alias("truncated"))
+def top_with_truncation(df: DataFrame, column: str, limit: int = 50) -> DataFrame:
+    """One row: most frequent repeated values, count then value, with a flag that more exist (a top-k report)."""
+    return _listed(duplicate_values(df, column).orderBy(F.desc("n"), "value").limit(limit + 1), [F.desc("n"), F.col("value")], limit)
+
+
+def distinct_with_truncation(df: DataFrame, column: str, limit: int = 1000) -> DataFrame:
+    """One row: the first distinct values in order, with a flag that more exist (a top-k report)."""
+    return _listed(distinct_values(df, column).orderBy("value").limit(limit + 1), [F.col("value")], limit)
+
+
+def _listed(top: DataFrame, order: list, limit: int) -> DataFrame:
+    """The values of a few ordered rows as one list."""
+    r = top.withColumn("r", F.row_number().over(Window.orderBy(*order)))  # at most limit + 1 rows
+    return r.agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= limit, F.struct("r", "value")))), lambda x: x.value.cast("string")).alias("values"), (F.count("*") > limit).alias("truncated"))
 
 
 def case_conflicts(df: DataFrame, column: str) -> DataFrame:
@@ -99,7 +144,7 @@ def category(name: str, numeric: bool, unique: int, rows: int, samples: list[str
         return "numeric"
     if any(h in name.lower() for h in IDENTIFIER_HINTS):
         return "identifier"
-    spread = rows > 0 and unique / rows > 0.8
+    spread = rows > 0 and unique / rows > SPREAD
     size = sum(map(len, samples)) / len(samples) if samples else 0
     return "identifier" if spread and size >= 6 and not any(s.lower() in COMMON_LABELS for s in samples) else "categorical"
 
@@ -122,11 +167,17 @@ def first_samples(df: DataFrame, order: str, limit: int = 10, head: int = 1000)
 def profile_rows(df: DataFrame, order: str, sample_size: int = 10, approximate: bool = True) -> list[dict]:
     """Profile as driver-side rows (one per column) for mapping decisions: inventory, samples, category.
 
-    Mapping needs distinct counts only as a share of the records, so they are approximate by default.
+    Mapping compares distinct counts only with a share of the records (0.8), so they are
+    sketches by default; columns whose sketched share is within three standard errors
+    (`DOUBT`) of it are counted exactly, so the category is that of the exact counts.
     """
     samples = first_samples(df, order, sample_size)
     out = []
-    for r in inventory(df, approximate=approximate).collect():
+    rows = inventory(df, approximate=approximate).collect()
+    near = [r.column_name for r in rows if approximate and r.kind == "text" and r.total_rows and abs(r.unique_values / r.total_rows - SPREAD) <= DOUBT]
+    exact = {near[r.place]: r.unique_values for r in distinct_counts(df, near).collect()} if near else {}
+    for r in rows:
         own = samples.get(r.column_name, [])
-        out.append({**r.asDict(), "samples": own, "category": category(r.column_name, r.kind == "numeric", r.unique_values, r.total_rows, own)})
+        unique = exact.get(r.column_name, r.unique_values)
+        out.append({**r.asDict(), "unique_values": unique, "samples": own, "category": category(r.column_name, r.kind == "numeric", unique, r.total_rows, own)})
     return out

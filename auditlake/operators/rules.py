@@ -92,12 +92,19 @@ def gap_findings(df: DataFrame, rule: GapRule, evidence: tuple[str, ...] = ()) -
     return df.where(gap_state(rule) == VIOLATED).select(F.lit(rule.rule_id).alias("rule_id"), F.lit("execution_gap").alias("family"), "entity", "period", "row_ordinal", text.alias("evidence"))
 
 
+def _with_evidence(rule: AbsenceRule, concept: str) -> Column:
+    """Evidence that states a usable outcome; submitted but unusable values count as without."""
+    usable = rule.usable.get(concept)
+    return has_evidence(concept) & (norm_value(concept).isin(list(usable)) if usable else F.lit(True))
+
+
 def absence_measures(df: DataFrame, rule: AbsenceRule) -> DataFrame:
-    """Per scope: triggered records, with and without the first expected concept, unusable ones among those without, coverage."""
+    """Per scope: triggered records, with and without the first expected concept, unusable ones among those without, coverage, state.
+
+    The state is that of the first expected concept; `absence_coverage` has every one.
+    """
     concept = rule.expected_concepts[0]
-    usable = rule.usable.get(concept)
-    n = norm_value(concept)
-    with_ = has_evidence(concept) & (n.isin(list(usable)) if usable else F.lit(True))
+    with_ = _with_evidence(rule, concept)
     t = df.withColumn("_t", rule.trigger.column())
     m = t.groupBy("entity", "period").agg(
         F.count("*").alias("records"),
@@ -106,8 +113,29 @@ def absence_measures(df: DataFrame, rule: AbsenceRule) -> DataFrame:
         F.count_if(F.col("_t") & ~with_).alias("without_evidence"),
         F.count_if(F.col("_t") & has_evidence(concept) & ~with_).alias("unusable"),
     )
-    state = F.when(F.col("triggered") == 0, NOT_TRIGGERED).when(F.col("with_evidence") == 0, COMPLETE).when(F.col("without_evidence") == 0, NO_ABSENCE).otherwise(PARTIAL)
-    return m.select("*", rate(F.col("with_evidence"), F.col("triggered"), 4).alias("coverage"), state.alias("state"))
+    return m.select("*", rate(F.col("with_evidence"), F.col("triggered"), 4).alias("coverage"), _absence_state().alias("state"))
+
+
+def _absence_state() -> Column:
+    return F.when(F.col("triggered") == 0, NOT_TRIGGERED).when(F.col("with_evidence") == 0, COMPLETE).when(F.col("without_evidence") == 0, NO_ABSENCE).otherwise(PARTIAL)
+
+
+def absence_coverage(df: DataFrame, rule: AbsenceRule) -> DataFrame:
+    """(entity, period, concept, triggered, with, without, unusable, coverage, state) for every expected concept of a rule, in one pass."""
+    t = df.withColumn("_t", rule.trigger.column())
+    aggs, cells = [F.count_if("_t").alias("triggered")], []
+    for i, c in enumerate(rule.expected_concepts):
+        with_ = _with_evidence(rule, c)
+        aggs += [F.count_if(F.col("_t") & with_).alias(f"w{i}"), F.count_if(F.col("_t") & ~with_).alias(f"o{i}"), F.count_if(F.col("_t") & has_evidence(c) & ~with_).alias(f"u{i}")]
+        cells.append(F.struct(F.lit(c).alias("concept"), F.col(f"w{i}").alias("with_evidence"), F.col(f"o{i}").alias("without_evidence"), F.col(f"u{i}").alias("unusable")))
+    m = t.groupBy("entity", "period").agg(*aggs).select("entity", "period", "triggered", F.explode(F.array(*cells)).alias("c")).select("entity", "period", "triggered", "c.*")
+    return m.select("entity", "period", "concept", "triggered", "with_evidence", "without_evidence", "unusable", rate(F.col("with_evidence"), F.col("triggered"), 4).alias("coverage"), _absence_state().alias("state"))
+
+
+def absence_positions(df: DataFrame, rule: AbsenceRule) -> DataFrame:
+    """(entity, period, row_ordinal, unusable): triggered records without usable evidence of the first expected concept."""
+    c = rule.expected_concepts[0]
+    return df.where(rule.trigger.column() & ~_with_evidence(rule, c)).select("entity", "period", "row_ordinal", has_evidence(c).alias("unusable"))
 
 
 def absence_findings(measures: DataFrame, rule: AbsenceRule) -> DataFrame:

@@ -33,7 +33,7 @@ def with_period(df: DataFrame, label: str | None, timestamp: str | None = None,
             return df.withColumn("period", F.coalesce("_label", inherited)).drop("_label")
     if not timestamp:
         return df.withColumn("period", F.lit(UNKNOWN_PERIOD)).drop("_label")
-    t = F.col(timestamp) if dict(df.dtypes)[timestamp].startswith(("timestamp", "date")) else dates.parse(timestamp)
+    t = F.col(timestamp) if dict(df.dtypes)[timestamp].startswith(("timestamp", "date")) else dates.parse_period(timestamp)
     if granularity != "range":
         return df.withColumn("period", F.coalesce(dates.bucket(t, granularity), F.lit(UNKNOWN_PERIOD))).drop("_label")
     ends = df.agg(F.date_format(F.min(t), "yyyy-MM-dd").alias("a"), F.date_format(F.max(t), "yyyy-MM-dd").alias("z")).first()

@@ -422,8 +422,9 @@ def fx_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    f = features.scope_features(records(spark, d))
-    return forest.score(f, forest.train(f, FEATURES, ["entity", "period"], trees=50), FEATURES)
+    ensure_checkpoint_dir(spark)
+    f = features.scope_features(records(spark, d)).checkpoint()  # one row per scope, read by training, the cut and the result
+    return forest.score(f, forest.train(f, FEATURES, ["entity", "period"]), FEATURES).checkpoint()
 
 
 @query()

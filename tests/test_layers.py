@@ -81,7 +81,7 @@ def test_capability(spark):
 
 def test_binomial_tail_is_exact(spark):
     df = spark.createDataFrame([("a", 20, 14, 7), ("b", 20, 3, 5), ("c", 5, 0, 3), ("d", 3, 3, 1)], "k string, n bigint, x bigint, g bigint")
-    for r in patterns.binomial_tail(df, "n", "x", "g", ["k"]).collect():
+    for r in patterns.binomial_tail(df, "n", "x", "g").collect():
         if r.g < 2:
             assert r.log10_tail is None
             continue
@@ -256,3 +256,63 @@ def test_claims(spark):
     t = agreement.review_template(recs_, ["f", "g"])
     assert t.count() == 2 and agreement.reviewer_labels(t).count() == 0
     assert agreement.reviewer_labels(t.withColumn("indicator", F.lit("X, y"))).count() == 4
+
+
+def test_vocabularies_hold_the_fixed_words(spark):
+    from auditlake.functions import vocabulary
+
+    known = {"severity": {"S1": "CRITICAL", "INFO": "LOW", "sev-3": "MEDIUM", "1": None, "URGENT": None}, "escalation": {"Escalate": "ESCALATED", "requested": "PENDING", "none": None, "L2": None}, "disposition": {"deferred": "WONT_FIX", "Won't fix": "WONT_FIX", "re-opened": "OPEN", "merged": None}}
+    for name, words in known.items():
+        assert values(spark, list(words), lambda c, n=name: vocabulary.canonical(c, n)) == list(words.values())
+
+
+def test_accepted_time_formats(spark):
+    from auditlake.functions import dates
+
+    texts = {"12-Jan-2026": "2026-01-12", "2026-01-12T10:11": "2026-01-12", "2026-01-12T01:00:00+02:00": "2026-01-11", "01.02.2026": None, "12-01-2026": None, "3/4/2026 10:11": None, "4/13/2026": "2026-04-13", "2026-02-30": None}
+    assert values(spark, list(texts), lambda c: F.date_format(dates.parse(c), "yyyy-MM-dd")) == list(texts.values())
+    assert values(spark, ["12-01-2026", "12-Jan-2026", "4/13/2026"], lambda c: F.date_format(dates.parse_period(c), "yyyy-MM-dd")) == ["2026-01-12", None, None]
+
+
+def test_every_issue_code(spark):
+    t = lambda s: f"2026-01-0{s} 00:00:00"
+    alerts = spark.createDataFrame([("A1", "HIGH", t(2)), ("A2", "odd", t(3)), ("A2", "HIGH", t(3)), ("A9", "LOW", t(1))], "alert_id string, severity string, alert_ts string").withColumn("alert_ts", F.col("alert_ts").cast("timestamp"))
+    cases = spark.createDataFrame([("C1", "A1", t(1), t(3)), ("C1", "a1", t(3), t(2)), ("C2", "ZZ", None, None), ("C3", None, None, None), ("C4", "A2", None, t(1)), ("C5", "A1", "soon", t(9))], "case_id string, alert_id string, acknowledged_at string, closed_at string")
+    events = spark.createDataFrame([("C1",), ("C77",)], "event_case string")
+    got = {(r.code, r.detail): r.n for r in validation.issues(alerts, cases, events, "event_case").collect()}
+    assert {c for c, _ in got} == {"DUPLICATE_ALERT_ID", "DUPLICATE_CASE_ID", "CONFLICTING_IDENTIFIERS", "ORPHAN_CASE", "UNMATCHED_ALERT", "MISSING_JOIN_KEY", "ORPHAN_WORKFLOW_EVENT", "INVALID_SEVERITY", "INVALID_TIMESTAMP", "IMPOSSIBLE_CHRONOLOGY"}
+    assert {d for c, d in got if c == "IMPOSSIBLE_CHRONOLOGY"} == {"acknowledged_at < triggered_at", "closed_at < acknowledged_at", "closed_at < triggered_at"}
+    assert validation.join_issues(alerts, None).first().code == "JOIN_NOT_ASSESSABLE"
+    rows = [{"column_name": n, "category": "identifier", "samples": ["ABC-1"]} for n in ("alert_id", "alert_identifier")]
+    codes = {r.code for r in validation.mapping_issues(spark, "ALERTS", mapping.decide(rows)).collect()}
+    assert codes == {"MAPPING_COLLISION", "MISSING_REQUIRED_FIELD"}
+    r = {x.code: x for x in validation.rollup(validation.issues(alerts, cases)).collect()}
+    assert r["ORPHAN_CASE"].errors == sum(x.issues for x in r.values() if x.severity == "error")
+
+
+def test_absence_of_every_expected_concept(spark):
+    df = spark.createDataFrame([("E", "P", 1, "CRITICAL", "ESCALATED", ""), ("E", "P", 2, "CRITICAL", "PENDING", "x"), ("E", "P", 3, "LOW", "", "")], "entity string, period string, row_ordinal long, severity string, escalation string, notes string")
+    rule = rules.AbsenceRule("r", rules.Condition("severity", "in", ("CRITICAL",)), ("escalation", "notes"), {"escalation": ("ESCALATED",)})
+    got = {r.concept: (r.triggered, r.with_evidence, r.without_evidence, r.unusable, r.state) for r in rules.absence_coverage(df, rule).collect()}
+    assert got == {"escalation": (2, 1, 1, 1, "PARTIAL_ABSENCE"), "notes": (2, 1, 1, 0, "PARTIAL_ABSENCE")}
+    assert [(r.row_ordinal, r.unusable) for r in rules.absence_positions(df, rule).collect()] == [(2, True)]
+
+
+def test_signatures_and_index(spark):
+    rows = [("g", i, " ".join(f"w{(i // 2) * 50 + j}" for j in range(20)) + f" x{i % 2}") for i in range(20)]
+    sets = similarity.token_sets(spark.createDataFrame(rows, "g string, id long, text string"), ["g"], "id", "text")
+    exact = {(r.a, r.b) for r in similarity.similar_pairs(sets, ["g"], 0.8).collect()}
+    assert exact == {(2 * k, 2 * k + 1) for k in range(10)}
+    assert {(r.a, r.b) for r in similarity.indexed_pairs(sets, similarity.band_index(sets, ["g"]), ["g"], 0.8).collect()} == exact
+    a, b = sets.orderBy("id").select(similarity.signature("toks").alias("s")).head(2)
+    est = spark.createDataFrame([(a.s, b.s)], "a array<bigint>, b array<bigint>").select(similarity.estimated_jaccard("a", "b")).first()[0]
+    assert abs(est - 20 / 22) < 0.1
+    assert similarity.mean_max_similarity(sets, ["g"]).first().mean_max_similarity == pytest.approx(20 / 22, abs=1e-6)
+
+
+def test_labels_point_along_long_chains(spark):
+    from auditlake.operators import graph
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7), (None, 3)], "x long, y long")
+    got = {r.id: r.component for r in graph.components(edges, "x", "y").collect()}
+    assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}

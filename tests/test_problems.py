@@ -348,3 +348,19 @@ def test_references_against_brute_force(spark):
     assert sum(r.orphans for r in rep) == len(got)
     assert {r.reason for r in orphans.orphans({"t": rdf}, tdf.limit(0)).collect()} == {"missing"}
     assert orphans.orphans({"t": rdf.limit(0)}, tdf).count() == 0
+
+
+def test_hot_references_take_the_broadcast_path(spark):
+    t0 = dt.datetime(2026, 1, 1)
+    day = lambda n: t0 + dt.timedelta(days=n)
+    refs = [(i, "P", "hot" if i % 3 == 0 else "held" if i % 3 == 1 else f"k{i}", day(i % 5)) for i in range(600)]
+    rdf = spark.createDataFrame(refs, "row_id bigint, period string, alert_id string, received_at timestamp_ntz")
+    tdf = spark.createDataFrame([("HOT", day(2), None), ("HELD", day(0), None)], "alert_id string, loaded_at timestamp_ntz, deleted_at timestamp_ntz")
+    for parts in (4, 1_000_000):
+        r = orphans.References({"t": rdf}, tdf, parts)
+        assert r.heavy == (2 if parts == 4 else 202)
+        want = {(i, "late" if k == "hot" else "missing") for i, _, k, at in refs if (k == "hot" and at < day(2)) or k[0] == "k"}
+        assert {(x.row_id, x.reason) for x in r.orphans().collect()} == want
+        assert {(x.reason, x.orphans, x.checked_references) for x in r.report().collect()} == {("late", sum(w == "late" for _, w in want), 600), ("missing", 200, 600)}
+    r = orphans.References({"t": rdf}, tdf, 4)
+    assert "BroadcastHashJoin" in r.orphans()._jdf.queryExecution().toString()

@@ -25,7 +25,7 @@ def p2_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _times(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    lines = parsing.judge_lines(table(spark, d, "test_lines")).where("reason IS NULL")
+    lines = parsing.judge_lines(table(spark, d, "test_lines"), ["created_time"]).where("reason IS NULL")
     return table(spark, d, "dataset_capability_rich"), lines, table(spark, d, "cse_entities")
 
 
@@ -43,8 +43,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(table(spark, d, "submission_files"), table(spark, d, "submission_rows"))
 
 
+def p4_log(spark: SparkSession, d: str) -> DataFrame:
+    return drift.Drift(table(spark, d, "submission_files"), table(spark, d, "submission_rows")).log
+
+
+def p4_headers(spark: SparkSession, d: str) -> DataFrame:
+    return drift.file_headers(table(spark, d, "submission_rows"))
+
+
 def p4_schema(spark: SparkSession, d: str) -> DataFrame:
-    return drift.union_schema(table(spark, d, "submission_files"), table(spark, d, "submission_rows"))
+    return drift.union_schema(table(spark, d, "submission_files"), table(spark, d, "submission_rows")).withColumn("names", F.array_join("names", "|"))
 
 
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +80,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(*_refs(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_columns, p3_found, p3_outcomes, p4_found, p4_schema, p4_table, p6_found, p6_loaded, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_columns, p3_found, p3_outcomes, p4_found, p4_log, p4_headers, p4_schema, p4_table, p6_found, p6_loaded, p7_found, p7_report)}
 
 # DuckDB counterparts, on whole tables.
 _P2 = r"""WITH c AS (SELECT feed_id, CAST(load_no AS BIGINT) AS load_no, 'host' AS column_name, host AS v FROM dataset_capability_rich UNION ALL SELECT feed_id, load_no, 'closed_by', closed_by FROM dataset_capability_rich UNION ALL SELECT feed_id, load_no, 'telemetry_available', telemetry_available FROM dataset_capability_rich),

@@ -215,7 +215,7 @@ def test_consistent_table_uses_first_names(spark):
     f, r = stream(spark, rec(2), rec(2, host=None, asset=lambda i: f"WEB-{i:02d}"), rec(2, host=None, asset=None, Asset=lambda i: f"WEB-{i:02d}"))
     t = drift.consistent_table(f, r).collect()
     assert len(t) == 6 and all(set(x.fields) == {"severity", "host", "notes", "created", "zone"} for x in t)
-    assert {x.name for x in drift.union_schema(f, r).collect()} == {"severity", "host", "notes", "created", "zone", "asset", "Asset"}
+    assert {x.field: x.names for x in drift.union_schema(f, r).collect()} == {**{n: [n] for n in ("severity", "notes", "created", "zone")}, "host": ["Asset", "asset", "host"]}
 
 
 def test_consistent_table_keeps_types_fields_and_records(spark):
@@ -229,6 +229,30 @@ def test_consistent_table_keeps_types_fields_and_records(spark):
     assert all(x["host"].startswith("WEB-") and set(x["host~3"]) == {"k"} for x in last) and len(last) == 2
 
 
+def test_types_fold_through_the_lattice(spark):
+    v = iter([1, 2.5, True, "x", {"a": 1}, [1], None, 3, 4, 5, 6, 7])
+    f, r = stream(spark, [{"whole": 1, "num": 1, "mixed": 1, "flag": True, "box": {"a": 1}, "none": None}, {"whole": 2, "num": 0.5, "mixed": "x", "flag": False, "box": {"a": 2}}], [{"whole": 7, "num": 2, "mixed": next(v), "flag": True, "box": {"a": 3}, "none": None}])
+    got = {x.field: x.union_type for x in drift.union_schema(f, r).collect()}
+    assert got == {"whole": "whole", "num": "number", "mixed": "string", "flag": "boolean", "box": "object", "none": None}
+    assert {(x.name, x.type) for x in drift.file_headers(r).where("file_id = 1").collect()} >= {("mixed", "string"), ("num", "number"), ("none", None)}
+    t = {(x.file_id, x.record_no): json.loads(x.j) for x in drift.consistent_table(f, r).select("file_id", "record_no", F.to_json("fields", {"ignoreNullFields": "false"}).alias("j")).collect()}
+    assert t[1, 0]["mixed"] == "1" and t[1, 1]["mixed"] == "x" and t[2, 0]["whole"] == 7 and t[1, 0]["box"] == {"a": 1} and t[1, 0]["num"] == 1.0
+
+
+def test_log_is_ordered_and_second_best_pairs_are_found(spark):
+    lab = lambda *x: (lambda i: x[i % len(x)])
+    f, r = stream(spark, rec(a=lab("red", "blue"), b=lab("red", "blue", "green")), rec(c=lab("red", "blue"), d=lab("red", "green", "blue")))
+    log = drift.Drift(f, r).log.orderBy("stream_id", "seq_no", "change_no").collect()
+    assert [(x.change_no, x.change) for x in log] == [(1, "renamed"), (2, "renamed")] and {x.old_name for x in log} == {"a", "b"}
+
+
+def test_a_name_added_anew_is_not_the_field_it_was(spark):
+    host = lambda i: f"WEB-{i:02d}"
+    f, r = stream(spark, rec(2), rec(2, host=None, asset=host), rec(2, host=None), rec(2, host=None, asset=lambda i: f"a longer remark about item {i} here"))
+    got = {(x.file_id, x.name): x.field for x in drift.Drift(f, r).names.collect()}
+    assert got[2, "asset"] == "host" and got[4, "asset"] == "asset"
+
+
 def test_drift_of_empty_tables(spark):
     f, r = stream(spark, rec())
     assert drift.changes(f.limit(0), r.limit(0)).count() == 0

@@ -39,6 +39,11 @@ def p3_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("table_name", "column_name", why.alias("outcome")).agg(F.count("*").alias("n_values"))
 
 
+def p3_mixture(spark: SparkSession, d: str) -> DataFrame:
+    rich, lines, entities = _times(spark, d)
+    return timestamps.mixture_report(timestamps.written_values(rich, lines), entities)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(table(spark, d, "submission_files"), table(spark, d, "submission_rows"))
 
@@ -80,7 +85,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(*_refs(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_columns, p3_found, p3_outcomes, p4_found, p4_log, p4_headers, p4_schema, p4_table, p6_found, p6_loaded, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_columns, p3_found, p3_outcomes, p3_mixture, p4_found, p4_log, p4_headers, p4_schema, p4_table, p6_found, p6_loaded, p7_found, p7_report)}
 
 # DuckDB counterparts, on whole tables.
 _P2 = r"""WITH c AS (SELECT feed_id, CAST(load_no AS BIGINT) AS load_no, 'host' AS column_name, host AS v FROM dataset_capability_rich UNION ALL SELECT feed_id, load_no, 'closed_by', closed_by FROM dataset_capability_rich UNION ALL SELECT feed_id, load_no, 'telemetry_available', telemetry_available FROM dataset_capability_rich),

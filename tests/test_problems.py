@@ -158,6 +158,32 @@ def test_mixture_decides_undeclared_order(spark):
     assert got == {"A": "DMY", "B": "MDY", "C": None}
 
 
+def test_mixture_over_all_formats():
+    w, p = timestamps.fit_mixture({"slash_dmy": 40, "slash_dmy|slash_mdy": 50, "slash_mdy": 10, "iso": 100})
+    assert w["iso"] == pytest.approx(0.5) and p == pytest.approx(0.8) and sum(w.values()) == pytest.approx(1)
+    assert timestamps.fit_mixture({"slash_dmy": 40, "slash_dmy|slash_mdy": 50, "iso": 1})[1] == pytest.approx(1)
+    assert timestamps.fit_mixture({"slash_dmy|slash_mdy": 50})[1] == pytest.approx(0.5)
+    w, p = timestamps.fit_mixture({"slash_dmy|slash_mdy": 50, "slash_dmy": 9}, "MDY")
+    assert p == 0.0 and w["slash_mdy"] == pytest.approx(1)
+    assert timestamps.fit_mixture({}) == ({}, None)
+
+
+def test_hidden_orders_are_recovered(spark):
+    """The declared orders are taken away; the mixture finds them again from unambiguous days."""
+    rng = random.Random(4)
+    rows, want = [], {}
+    for i in range(12):
+        want[f"E{i}"] = "DMY" if i % 2 else "MDY"
+        for _ in range(60):
+            d, m = rng.randint(1, 28), rng.randint(1, 12)
+            rows.append((f"E{i}", f"{d:02d}/{m:02d}/2026" if i % 2 else f"{m:02d}/{d:02d}/2026"))
+    ent = spark.createDataFrame([(e, "Etc/UTC", None) for e in want], "cse_id string, time_zone string, date_order string")
+    v = spark.createDataFrame(rows, "cse string, value string")
+    assert {r.cse: r.date_order for r in timestamps.source_orders(v, ent).collect()} == want
+    rep = timestamps.mixture_report(v, ent).where("cse = 'E1'").collect()
+    assert max(rep, key=lambda r: r.weight).format == "slash_dmy"
+
+
 def test_normalise_tables(spark):
     rich = spark.createDataFrame([(1, "E", "2026-07-01T12:00:00Z", "5", "x"), (2, None, "2026-07-01 12:00", None, "x"), (3, "E", "n/a", "5", "x"), (4, "E", None, None, None)], "row_id bigint, cse string, created_time string, closed_time string, tz string")
     lines = spark.createDataFrame([(9, "E", "01/02/2026")], "line_id bigint, cse string, created_time string")

@@ -123,9 +123,10 @@ def _p2_sql(columns: list[str], stated: bool, select: str) -> str:
     key = "feed_id, load_no, column_name"
     return rf"""WITH c AS ({cells}),
 x AS (SELECT {key}, CASE WHEN lower(regexp_replace(v, '^\s+|\s+$', '', 'g')) IN ('','n/a','-','--','none','null','nan') THEN NULL ELSE v END AS v FROM c),
-k0 AS (SELECT {key}, v, regexp_replace(regexp_replace(regexp_replace(translate(v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', repeat('A', 26) || repeat('a', 26) || repeat('9', 10)), 'A+', 'A', 'g'), 'a+', 'a', 'g'), '9+', '9', 'g') AS p, count(*) AS n FROM x GROUP BY ALL),
+k1 AS (SELECT {key}, v, regexp_replace(regexp_replace(regexp_replace(translate(v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', repeat('A', 26) || repeat('a', 26) || repeat('9', 10)), 'A+', 'A', 'g'), 'a+', 'a', 'g'), '9+', '9', 'g') AS p, count(*) AS n FROM x GROUP BY ALL),
+k0 AS (SELECT {key}, v, n, CASE WHEN length(p) <= 64 THEN p ELSE '#' || md5(p) END AS p FROM k1),
 f0 AS (SELECT column_name, p, sum(n) AS n FROM k0 WHERE v IS NOT NULL GROUP BY ALL), f AS (SELECT column_name, first(p ORDER BY n DESC, p DESC) AS form FROM f0 GROUP BY ALL),
-k AS (SELECT k0.*, {ok} AS ok, CASE WHEN length(p) <= 64 THEN p ELSE '#' || md5(p) END AS m, TRY_CAST(v AS DECIMAL(38,10)) AS d FROM k0 LEFT JOIN f USING (column_name)),
+k AS (SELECT k0.*, {ok} AS ok, p AS m, TRY_CAST(v AS DECIMAL(38,10)) AS d FROM k0 LEFT JOIN f USING (column_name)),
 s AS (SELECT {key}, CAST(sum(n) AS BIGINT) AS n, CAST(coalesce(sum(n) FILTER (WHERE v IS NOT NULL), 0) AS BIGINT) AS p, count(v) AS d, CAST(coalesce(sum(n) FILTER (WHERE NOT ok), 0) AS BIGINT) AS o, CASE WHEN count(d) = count(v) THEN arg_min(left(v, 64), d) ELSE min(left(v, 64)) END AS lo, CASE WHEN count(d) = count(v) THEN arg_max(left(v, 64), d) ELSE max(left(v, 64)) END AS hi FROM k GROUP BY {key}),
 j AS (SELECT a.*, b.n AS bn, b.p AS bp, b.d AS bd, b.o AS bo FROM s a JOIN s b ON a.feed_id = b.feed_id AND a.column_name = b.column_name AND a.load_no = b.load_no + 1),
 kv AS (SELECT {key}, v, n FROM k WHERE v IS NOT NULL),

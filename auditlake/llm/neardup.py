@@ -5,19 +5,22 @@ before anything else (map-side combined), so copies cost one row however many th
 
 Sketch. Register i of a class holds K_i = clamp(floor(1 - log_b min_w h_i(w)), 0, q + 1)
 with h_i(w) exponential of rate `weight(w)`: exponentially spaced, truncated minima that
-merge by taking the larger value. Words that occur in more than 1/`COMMON` of all
-notes (and in more than `COMMON_LEAST`) weigh less the more notes they are in, down to
-1/256, so that the phrases all notes share do not decide where a note lands; how common
-words are is read from a count-min sketch of all words of all notes, of fixed size.
+merge by taking the larger value. Band registers take 16 bits (b = 1.001). Words that
+occur in more than 1/`COMMON` of all notes (and in more than `COMMON_LEAST`) weigh less
+the more notes they are in, down to 1/256, so that the phrases all notes share do not
+decide where a note lands; how common words are is read from a count-min sketch of all
+words of all notes, of fixed size.
 
 Bands. `BANDS` bands of `ROWS` registers; classes that agree in a whole band are
-candidates (an equi-join on the band key; buckets are never collected, and the join may
-be split by key at run time).
+candidates (an equi-join on the band key; buckets are never collected). Bands that hold
+many classes are found on a sample of the classes (which only decides how work is split,
+never what is compared) and joined in salted blocks of about `HOT` classes.
 
-Check. For each candidate pair an unweighted sketch of both sets gives the counts of
-larger, smaller and equal registers; the joint likelihood of those counts is maximised
-for the Jaccard similarity, pairs clearly below the threshold are dropped, and the rest
-is verified on the word sets themselves.
+Estimate. Every class has a second, unweighted sketch of `ESTIMATE_REGISTERS` registers
+of one byte (b = 1.2), made once. Candidates first meet as sketches: the counts of larger,
+smaller and equal registers give the joint likelihood, which is maximised for the Jaccard
+similarity, and pairs clearly below the threshold are dropped (`ESTIMATE_SIGMAS`). Only the
+survivors meet as word sets, where the exact check is made on the JVM.
 
 Recall is that of the bands: at `BANDS` = 24 and `ROWS` = 3 a pair whose weighted
 similarity is s is missed with probability (1 - s^3)^24, 4e-5 at 0.7 and 4 % at 0.5.
@@ -42,17 +45,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.operators import graph
 from auditlake.session import ensure_checkpoint_dir, ship_package
 
 BANDS, ROWS = 24, 3
-BASE, Q = 1.0 + 2.0**-16, 2**21
-RATE = 20.0
+BASE, Q, RATE = 1.001, 2**16 - 2, 2.0**30  # 16 bits, e^65 wide, up to the smallest weights
+SMALL_BASE, SMALL_Q, SMALL_RATE = 1.2, 2**8 - 2, 20.0  # 8 bits
 COMMON, COMMON_LEAST = 1000, 200
 LEVELS = 5  # weights 1, 1/4, 1/16, 1/64, 1/256
 # Shares of full-weight words: of a class in the second pass, and of any class that has a plain similarity of 0.7 to one.
 MOSTLY, PARTNER = 0.2, 0.45
 COUNTERS, COUNTER_ROWS = 1 << 16, 2
-ESTIMATE_REGISTERS, ESTIMATE_SIGMAS = 128, 5.0
+ESTIMATE_REGISTERS, ESTIMATE_SIGMAS = 48, 4.75
+HOT, SAMPLED = 2000, 64  # classes in one block of a band, rows of a class in one block of a pair; one class in SAMPLED shows which bands are hot
 
 
 def _odd_multipliers(n: int, seed: int) -> np.ndarray:
@@ -89,10 +94,10 @@ def exponential(u: np.ndarray) -> np.ndarray:
     return -np.log((u.astype(np.float64) + 0.5) / 2.0**32)
 
 
-def registers(smallest: np.ndarray) -> np.ndarray:
+def registers(smallest: np.ndarray, base: float = BASE, q: int = Q, rate: float = RATE) -> np.ndarray:
     """Register values of smallest exponentials (per unit rate)."""
-    k = np.floor(1.0 - np.log(smallest / RATE) / np.log(BASE))
-    return np.clip(k, 0, Q + 1).astype(np.int64)
+    k = np.floor(1.0 - np.log(smallest / rate) / np.log(base))
+    return np.clip(k, 0, q + 1).astype(np.int64)
 
 
 def word_hashes(c):
@@ -127,17 +132,21 @@ def _counter(words: np.ndarray, row: int) -> np.ndarray:
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every note's ids, and at the end of a task one row with its word counters and number of notes."""
+    """Every note's ids (words only of the sampled classes), and at the end of a task one row with its word counters and number of notes."""
     total = np.zeros(COUNTER_ROWS * COUNTERS + 1, np.int64)
-    names = ["row_id", "cls", "tbl", "counts"]
+    names = ["row_id", "cls", "tbl", "ws", "counts"]
     for b in batches:
         words, at = _flat(b.column(3))
         total[-1] += len(at) - 1
         for r in range(COUNTER_ROWS):
             total[r * COUNTERS : (r + 1) * COUNTERS] += np.bincount(_counter(words, r), minlength=COUNTERS)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.nulls(b.num_rows, pa.list_(pa.int32()))], names)
+        picked = np.flatnonzero(b.column(1).to_numpy() % SAMPLED == 0)
+        place = np.full(b.num_rows, -1)
+        place[picked] = np.arange(len(picked))
+        some = b.column(3).take(pa.array(picked)).take(pa.array(place, mask=place < 0)).cast(pa.list_(pa.int32())) if len(picked) else pa.nulls(b.num_rows, pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), some, pa.nulls(b.num_rows, pa.list_(pa.int32()))], names)
     one = pa.nulls(1, pa.int64())
-    yield pa.RecordBatch.from_arrays([one, one, one, pa.array([total.astype(np.int32)], pa.list_(pa.int32()))], names)
+    yield pa.RecordBatch.from_arrays([one, one, one, pa.nulls(1, pa.list_(pa.int32())), pa.array([total.astype(np.int32)], pa.list_(pa.int32()))], names)
 
 
 def common_levels(survey: DataFrame) -> np.ndarray:
@@ -193,7 +202,7 @@ def _band_mapper(shared):
     return run
 
 
-def _plain_band_mapper(shared, most: float, names: tuple[str, str] = ("cls", "band")):
+def _plain_band_mapper(shared, most: float):
     """Unweighted band keys of the classes with at most `most` of their words at full weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,12 +217,29 @@ def _plain_band_mapper(shared, most: float, names: tuple[str, str] = ("cls", "ba
             if not keep.any():
                 continue
             keys = band_keys(words[np.repeat(keep, size)], np.r_[0, np.cumsum(size[keep])], plain, b.column(1).to_numpy()[keep].astype(np.uint64) * KEY_MULTIPLIERS[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy()[keep], BANDS)), pa.array(keys.ravel())], list(names))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy()[keep], BANDS)), pa.array(keys.ravel())], ["cls", "band"])
 
     return run
 
 
-def estimate_jaccard(ka: np.ndarray, kb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+def sketches(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(sets, ESTIMATE_REGISTERS) bytes: the unweighted sketch of every set."""
+    return registers(exponential(largest_uniform(words, at[:-1], ESTIMATE_MULTIPLIERS)), SMALL_BASE, SMALL_Q, SMALL_RATE).astype(np.uint8)
+
+
+def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, tbl, n, sk): size and sketch of every class."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        words, at = _flat(b.column(2))
+        raw = np.ascontiguousarray(sketches(words, at))
+        offsets = np.arange(0, raw.size + 1, ESTIMATE_REGISTERS, dtype=np.int32)
+        sk = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(at).astype(np.int32)), sk], ["cls", "tbl", "n", "sk"])
+
+
+def estimate_jaccard(ka: np.ndarray, kb: np.ndarray, na: np.ndarray, nb: np.ndarray, base: float = SMALL_BASE) -> np.ndarray:
     """Joint maximum-likelihood Jaccard of register pairs with known set sizes.
 
     With u, v the sizes' shares, a register is larger on one side with probability
@@ -224,45 +250,46 @@ def estimate_jaccard(ka: np.ndarray, kb: np.ndarray, na: np.ndarray, nb: np.ndar
     equal = ka.shape[1] - plus - minus
     u = na / (na + nb)
     v = 1.0 - u
-    p = lambda x: np.clip(-np.log1p(-np.maximum(x, 0) * (BASE - 1) / BASE) / np.log(BASE), 1e-12, 1 - 1e-12)
+    p = lambda x: np.clip(-np.log1p(-np.maximum(x, 0) * (base - 1) / base) / np.log(base), 1e-12, 1 - 1e-12)
     lo, hi = np.zeros(len(u)), np.minimum(u / v, v / u)
 
     def likelihood(j: np.ndarray) -> np.ndarray:
         a, b = p(u - v * j), p(v - u * j)
         return plus * np.log(a) + minus * np.log(b) + equal * np.log(np.clip(1 - a - b, 1e-12, 1))
 
-    for _ in range(40):
+    for _ in range(20):  # to 3e-4 of the range
         x, y = lo + (hi - lo) / 3, hi - (hi - lo) / 3
         better = likelihood(x) < likelihood(y)
         lo, hi = np.where(better, x, lo), np.where(better, hi, y)
     return (lo + hi) / 2
 
 
-def _verifier(threshold: float):
-    percent = round(threshold * 1000)
-    sigma = (threshold * (1 - threshold) / ESTIMATE_REGISTERS) ** 0.5
-    least_estimate = threshold - ESTIMATE_SIGMAS * sigma
+def least_estimate(threshold: float) -> float:
+    """Estimates below this are far from the threshold: so many standard errors of the sketch."""
+    return threshold - ESTIMATE_SIGMAS * (threshold * (1 - threshold) / ESTIMATE_REGISTERS) ** 0.5
+
+
+def _estimator(threshold: float):
+    limit = least_estimate(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            wa, aa = _flat(b.column(2))
-            wb, ab = _flat(b.column(3))
-            na, nb = np.diff(aa), np.diff(ab)
-            ka = registers(exponential(largest_uniform(wa, aa[:-1], ESTIMATE_MULTIPLIERS)))
-            kb = registers(exponential(largest_uniform(wb, ab[:-1], ESTIMATE_MULTIPLIERS)))
-            est = estimate_jaccard(ka, kb, na.astype(float), nb.astype(float))
-            keep = np.flatnonzero(est >= least_estimate)
-            shared = np.fromiter((len(np.intersect1d(wa[aa[i] : aa[i + 1]], wb[ab[i] : ab[i + 1]], assume_unique=True)) for i in keep), np.int64, len(keep))
-            union = na[keep] + nb[keep] - shared
-            ok = shared * 1000 >= percent * union
-            idx = pa.array(keep[ok])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(shared[ok] / union[ok]), pa.array(est[keep][ok])], ["cls_a", "cls_b", "jaccard", "estimate"])
+            ka, kb = (np.frombuffer(c.buffers()[2], np.uint8)[np.frombuffer(c.buffers()[1], np.int32)[c.offset] :][: len(c) * ESTIMATE_REGISTERS].reshape(len(c), ESTIMATE_REGISTERS) for c in (b.column(4), b.column(5)))
+            est = estimate_jaccard(ka, kb, b.column(2).to_numpy().astype(float), b.column(3).to_numpy().astype(float))
+            keep = np.flatnonzero(est >= limit)
+            idx = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(est[keep])], ["cls_a", "cls_b", "estimate"])
 
     return run
 
 
+def _blocks(n):
+    """Blocks that so many rows are cut into."""
+    return F.ceil(n / HOT).cast("int")
+
+
 class NearDuplicates:
     """Similar classes of notes and what follows from them."""
 
@@ -275,31 +302,56 @@ class NearDuplicates:
         self.notes = notes_of(tables, least)
         self._links: DataFrame | None = None
         # One pass for ids and word counters; what is written is a few bytes per note.
-        self.survey = self.notes.mapInArrow(_survey, "row_id bigint, cls bigint, tbl bigint, counts array<int>").checkpoint()
+        self.survey = self.notes.mapInArrow(_survey, "row_id bigint, cls bigint, tbl bigint, ws array<int>, counts array<int>").checkpoint()
 
     def members(self) -> DataFrame:
         """(tbl, row_id, cls) of every note."""
         return self.survey.where("counts IS NULL").select("tbl", "row_id", "cls")
 
+    def _candidates(self, left: DataFrame, right: DataFrame, sample: DataFrame | None) -> DataFrame:
+        """(cls_a, cls_b), a < b: classes of `left` and `right` (cls, band) that agree in a band.
+
+        `sample` (band of sampled classes) tells the hot bands. Their left side is cut into
+        blocks and the right side is repeated for each, so no task holds a whole band.
+        """
+        hot = None
+        if sample is not None:
+            hot = sample.groupBy("band").agg((F.count("*") * SAMPLED).alias("n")).where(F.col("n") > 2 * HOT).select("band", _blocks(F.col("n")).alias("blocks")).checkpoint()
+            hot = None if hot.isEmpty() else hot
+        pair = lambda a, b, on: a.select(F.col("cls").alias("x"), *on).join(b.select(F.col("cls").alias("y"), *on), on).where("x <> y").select("x", "y")
+        if hot is None:
+            out = pair(left, right, ["band"])
+        else:
+            out = pair(left.join(hot, "band", "left_anti"), right.join(hot, "band", "left_anti"), ["band"])
+            cut = left.join(hot, "band").withColumn("block", F.pmod(F.xxhash64("cls", F.lit("block")), F.col("blocks")).cast("int"))
+            many = right.join(hot, "band").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            out = out.unionByName(pair(cut, many, ["band", "block"]))
+        return out.select(F.least("x", "y").alias("cls_a"), F.greatest("x", "y").alias("cls_b"))
+
     def links(self) -> DataFrame:
         """(cls_a, cls_b, jaccard, estimate): every pair of similar classes once, written to the checkpoint folder."""
         if self._links is not None:
             return self._links
         shared = self.spark.sparkContext.broadcast(common_levels(self.survey))
-        # One row per word set. All three uses below read the same shuffle, partitioned by cls.
+        # One row per word set; all uses below read the same shuffle, partitioned by cls.
         classes = self.notes.groupBy("cls").agg(F.max("tbl").alias("tbl"), F.max("ws").alias("ws"))
-        bands = classes.mapInArrow(_band_mapper(shared), "cls bigint, band bigint")
-        cand = bands.alias("a").join(bands.alias("b"), F.col("a.band") == F.col("b.band")).where("a.cls < b.cls").select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b"))
+        sampled = self.survey.where("ws IS NOT NULL").select("cls", "tbl", "ws").dropDuplicates(["cls"])
+        keys = lambda df: df.mapInArrow(_band_mapper(shared), "cls bigint, band bigint")
+        bands = keys(classes)
+        cand = self._candidates(bands, bands, keys(sampled)).distinct()
         # Read from the notes without a shuffle, since most tables have no such class and the second pass is then empty.
         mostly = self.notes.select("cls", "tbl", "ws").mapInArrow(_plain_band_mapper(shared, MOSTLY), "cls bigint, band bigint").distinct().checkpoint()
         if not mostly.isEmpty():
-            partners = classes.mapInArrow(_plain_band_mapper(shared, PARTNER, ("other", "band")), "other bigint, band bigint")
-            cand = cand.unionByName(mostly.join(partners, "band").where("cls <> other").select(F.least("cls", "other").alias("cls_a"), F.greatest("cls", "other").alias("cls_b")))
-        cand = cand.distinct()
-        side = lambda x: classes.select(F.col("cls").alias(f"cls_{x}"), F.col("tbl").alias(f"t{x}"), F.col("ws").alias(f"w{x}"))
-        both = cand.join(side("a"), "cls_a").join(side("b"), "cls_b").where("ta = tb")
-        checked = both.select("cls_a", "cls_b", "wa", "wb").mapInArrow(_verifier(self.threshold), "cls_a bigint, cls_b bigint, jaccard double, estimate double")
-        self._links = checked.checkpoint()
+            plain = lambda df: df.mapInArrow(_plain_band_mapper(shared, PARTNER), "cls bigint, band bigint")
+            cand = cand.unionByName(self._candidates(mostly, plain(classes), plain(sampled))).distinct()
+        sk = classes.select("cls", "tbl", "ws").mapInArrow(_sketcher, "cls bigint, tbl bigint, n int, sk binary")
+        side = lambda x: sk.select(F.col("cls").alias(f"cls_{x}"), F.col("tbl").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("sk").alias(f"s{x}"))
+        met = cand.join(side("a"), "cls_a").join(side("b"), "cls_b").where("ta = tb").select("cls_a", "cls_b", "na", "nb", "sa", "sb")
+        near = met.mapInArrow(_estimator(self.threshold), "cls_a bigint, cls_b bigint, estimate double")
+        words = lambda x: classes.select(F.col("cls").alias(f"cls_{x}"), F.col("ws").alias(f"w{x}"))
+        both = near.join(words("a"), "cls_a").join(words("b"), "cls_b").withColumn("shared", F.size(F.array_intersect("wa", "wb")))
+        both = both.withColumn("every", F.size("wa") + F.size("wb") - F.col("shared")).where(F.col("shared") * 1000 >= F.col("every") * round(self.threshold * 1000))
+        self._links = both.select("cls_a", "cls_b", (F.col("shared") / F.col("every")).alias("jaccard"), "estimate").checkpoint()
         return self._links
 
     def table_name(self):
@@ -307,33 +359,31 @@ class NearDuplicates:
         return F.element_at(F.array(*map(F.lit, self.names)), (F.col("tbl") + 1).cast("int")).alias("table_name")
 
     def row_pairs(self) -> DataFrame:
-        """(table_name, row_id_a, row_id_b): all pairs of similar rows, equal notes included."""
-        links = self.links()
+        """(table_name, row_id_a, row_id_b): all pairs of similar rows, equal notes included.
+
+        The rows of a class with many copies are cut into blocks of about `HOT`; the other
+        side meets every block, so no task expands a whole class with itself.
+        """
         members = self.members()
-        several = members.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls", F.col("cls").alias("other"))
+        size = members.groupBy("cls").agg(F.count("*").alias("n"))
+        several = size.where("n > 1").select("cls", F.col("cls").alias("other"))
+        links = self.links()
         edges = links.select(F.col("cls_a").alias("cls"), F.col("cls_b").alias("other")).unionByName(several)
+        large = size.where(F.col("n") > HOT).select(F.col("cls").alias("other"), _blocks(F.col("n")).alias("blocks")).checkpoint()
         left = edges.join(members.select("tbl", F.col("row_id").alias("x"), "cls"), "cls")
-        both = left.join(members.select(F.col("row_id").alias("y"), F.col("cls").alias("other")), "other")
+        right = members.select(F.col("row_id").alias("y"), F.col("cls").alias("other"))
+        if large.isEmpty():
+            both = left.join(right, "other")
+        else:
+            both = left.join(large, "other", "left_anti").join(right, "other")
+            cut = right.join(large, "other").withColumn("block", F.pmod(F.xxhash64("y"), F.col("blocks")).cast("int")).drop("blocks")
+            both = both.unionByName(left.join(large, "other").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").join(cut, ["other", "block"]).select(*both.columns))
         pairs = both.where("cls <> other OR x < y")
         return pairs.select(self.table_name(), F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
 
     def components(self) -> DataFrame:
-        """(cls, comp): connected classes by label propagation; singletons are not listed.
-
-        Every round each class takes the smallest label among its neighbours, and labels
-        are pointed at their own label; state is cut by checkpoint() each round.
-        """
-        e = self.links().select("cls_a", "cls_b")
-        e = e.unionByName(e.select(F.col("cls_b").alias("cls_a"), F.col("cls_a").alias("cls_b"))).checkpoint()
-        state = e.groupBy(F.col("cls_a").alias("cls")).agg(F.least(F.min("cls_b"), F.min("cls_a")).alias("comp")).checkpoint()
-        while True:
-            near = e.join(state.select(F.col("cls").alias("cls_b"), F.col("comp").alias("nc")), "cls_b").groupBy(F.col("cls_a").alias("cls")).agg(F.min("nc").alias("nc"))
-            step = state.join(near, "cls").select("cls", "comp", F.least("comp", "nc").alias("new"))
-            jump = state.select(F.col("cls").alias("new"), F.col("comp").alias("jump"))
-            nxt = step.join(jump, "new", "left").select("cls", F.col("comp").alias("old"), F.least("new", F.coalesce("jump", F.col("new"))).alias("comp")).checkpoint()
-            state = nxt.select("cls", "comp")
-            if nxt.where("old <> comp").limit(1).count() == 0:
-                return state
+        """(cls, comp): connected classes; singletons are not listed."""
+        return graph.components(self.links(), "cls_a", "cls_b").select(F.col("id").alias("cls"), F.col("component").alias("comp"))
 
     def groups(self) -> DataFrame:
         """(table_name, row_id, group_id, links): one row per note that has a near duplicate or a copy.

@@ -66,15 +66,67 @@ def test_family_that_makes_its_own_words_common(spark, monkeypatch):
     assert {r.group_id for r in n.groups().collect()} == {0}
 
 
+def family_recall(spark, share, notes, rng):
+    """(pairs found, pairs there are, false pairs) of one family of near-duplicates that is a share of all notes."""
+    word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4))
+    stock = [[word() for _ in range(6)] for _ in range(12)]  # phrases that unrelated notes share
+    base = [*stock[0], *stock[1], *[word() for _ in range(14)]]
+    own = []
+    for _ in range(int(share * notes)):
+        w = list(base)
+        for k in rng.sample(range(len(w)), rng.randrange(4)):
+            w[k] = word()
+        own.append(w)
+    other = [[*rng.choice(stock), *rng.choice(stock), *[word() for _ in range(14)]] for _ in range(notes - len(own))]
+    got = {(r.row_id_a, r.row_id_b) for r in similar(spark, [" ".join(w) for w in own + other]).row_pairs().collect()}
+    ids = {w: i for i, w in enumerate(sorted({x for w in own for x in w}))}
+    m = np.zeros((len(own), len(ids)), np.float32)
+    for i, w in enumerate(own):
+        m[i, [ids[x] for x in w]] = 1
+    both, size = m @ m.T, m.sum(1)
+    want = {(int(i), int(j)) for i, j in np.argwhere(both * 10 >= 7 * (size[:, None] + size[None, :] - both)) if i < j}
+    return len(got & want), len(want), len(got - want)
+
+
+@pytest.mark.parametrize("share", [0.023, 0.1, 0.3])
+def test_recall_of_large_families(spark, monkeypatch, share):
+    monkeypatch.setattr(neardup, "COMMON_LEAST", 10)  # the family's words weigh as little as in a table of millions
+    found, there, false = family_recall(spark, share, 3000, random.Random(8))
+    print(f"family of {share:.1%}: {found} of {there} pairs, {false} false")
+    assert found >= 0.9999 * there and false == 0
+
+
+def test_hot_bands_and_classes_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 5)
+    texts = [" ".join([*WORDS[: i % 20], f"own{i % 300}", *WORDS[i % 20 + 1 : 20]]) for i in range(360)] + ["the very same words stand in each of these notes"] * 40
+    n = similar(spark, texts)
+    want = brute(texts)
+    rows = [(r.row_id_a, r.row_id_b) for r in n.row_pairs().collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
 def test_joint_estimate_is_close():
     rng = np.random.default_rng(1)
     for shared in (10, 60, 90):
         a = rng.integers(0, 2**32, 100, dtype=np.uint64)
         b = a.copy()
         b[shared:] = rng.integers(0, 2**32, 100 - shared, dtype=np.uint64)
-        k = [neardup.registers(neardup.exponential(neardup.largest_uniform(x, np.array([0]), neardup._odd_multipliers(1024, 3)))) for x in (a, b)]
-        est = neardup.estimate_jaccard(k[0], k[1], np.array([100.0]), np.array([100.0]))[0]
-        assert est == pytest.approx(shared / (200 - shared), abs=0.06)
+        u = [neardup.exponential(neardup.largest_uniform(x, np.array([0]), neardup._odd_multipliers(1024, 3))) for x in (a, b)]
+        for base, q, rate in ((neardup.SMALL_BASE, neardup.SMALL_Q, neardup.SMALL_RATE), (neardup.BASE, neardup.Q, neardup.RATE)):
+            k = [neardup.registers(x, base, q, rate) for x in u]
+            est = neardup.estimate_jaccard(k[0], k[1], np.array([100.0]), np.array([100.0]), base)[0]
+            assert est == pytest.approx(shared / (200 - shared), abs=0.06)
+
+
+def test_estimate_keeps_pairs_at_the_threshold():
+    """Sketches of pairs with a similarity of exactly 0.7: practically none falls below the least estimate."""
+    rng = np.random.default_rng(3)
+    pairs = 20_000
+    both = rng.integers(0, 2**32, (pairs, 17 + 8), dtype=np.uint64)  # 17 shared, 3 or 4 own: 17 / 24
+    a, b = both[:, :21], np.concatenate([both[:, :17], both[:, 21:24]], 1)
+    sk = [neardup.sketches(x.ravel(), np.arange(0, x.size + 1, x.shape[1])) for x in (a, b)]
+    est = neardup.estimate_jaccard(sk[0], sk[1], np.full(pairs, 21.0), np.full(pairs, 20.0))
+    assert est.mean() == pytest.approx(17 / 24, abs=0.02) and (est < neardup.least_estimate(0.7)).mean() < 1e-4
 
 
 def test_registers_merge():

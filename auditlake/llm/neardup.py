@@ -348,8 +348,9 @@ class NearDuplicates:
         side = lambda x: sk.select(F.col("cls").alias(f"cls_{x}"), F.col("tbl").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("sk").alias(f"s{x}"))
         met = cand.join(side("a"), "cls_a").join(side("b"), "cls_b").where("ta = tb").select("cls_a", "cls_b", "na", "nb", "sa", "sb")
         near = met.mapInArrow(_estimator(self.threshold), "cls_a bigint, cls_b bigint, estimate double")
-        words = lambda x: classes.select(F.col("cls").alias(f"cls_{x}"), F.col("ws").alias(f"w{x}"))
-        both = near.join(words("a"), "cls_a").join(words("b"), "cls_b").withColumn("shared", F.size(F.array_intersect("wa", "wb")))
+        # The table is asked for again so that the plan of `classes` stays the same and its shuffle is reused.
+        words = lambda x: classes.select(F.col("cls").alias(f"cls_{x}"), F.col("tbl").alias(f"t{x}"), F.col("ws").alias(f"w{x}"))
+        both = near.join(words("a"), "cls_a").join(words("b"), "cls_b").where("ta = tb").withColumn("shared", F.size(F.array_intersect("wa", "wb")))
         both = both.withColumn("every", F.size("wa") + F.size("wb") - F.col("shared")).where(F.col("shared") * 1000 >= F.col("every") * round(self.threshold * 1000))
         self._links = both.select("cls_a", "cls_b", (F.col("shared") / F.col("every")).alias("jaccard"), "estimate").checkpoint()
         return self._links

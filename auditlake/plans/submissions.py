@@ -17,21 +17,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.load_changes(table(spark, d, "dataset_capability_rich"), WATCHED, STATED)
 
 
-def _report(r: DataFrame) -> DataFrame:
-    """Lists as text."""
-    rare = F.array_join(F.transform("rare_masks", lambda x: F.concat(x.m, F.lit(" x"), x.n.cast("string"))), "; ")
-    return r.withColumns({"rare_masks": rare, "changes": F.array_join("changes", ",")})
-
-
 def p2_profile(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "dataset_capability_rich")
-    return _report(quality.mask_report(t, [c for c in t.columns if c not in ("feed_id", "load_no")], STATED))
+    return quality.mask_report(t, [c for c in t.columns if c not in ("feed_id", "load_no")], STATED)
 
 
 def p2_masks(spark: SparkSession, d: str) -> DataFrame:
     """The watched columns by mined patterns alone."""
-    r = quality.mask_report(table(spark, d, "dataset_capability_rich"), WATCHED)
-    return _report(r).select("feed_id", "load_no", "column_name", "top_mask", "top_share", "n_off_form", "rare_mask_rows", "rare_masks", "divergence", "changes")
+    return quality.mask_report(table(spark, d, "dataset_capability_rich"), WATCHED).drop("min_value", "max_value")
+
+
+def p2_rare(spark: SparkSession, d: str) -> DataFrame:
+    return quality.Loads(table(spark, d, "dataset_capability_rich"), WATCHED, STATED).rare(0.02)
 
 
 def p2_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +96,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(*_refs(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_masks, p2_columns, p3_found, p3_outcomes, p3_mixture, p4_found, p4_log, p4_headers, p4_schema, p4_table, p6_found, p6_loaded, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_masks, p2_rare, p2_columns, p3_found, p3_outcomes, p3_mixture, p4_found, p4_log, p4_headers, p4_schema, p4_table, p6_found, p6_loaded, p7_found, p7_report)}
 
 # DuckDB counterparts, on whole tables.
 _P2 = r"""WITH c AS (SELECT feed_id, CAST(load_no AS BIGINT) AS load_no, 'host' AS column_name, host AS v FROM dataset_capability_rich UNION ALL SELECT feed_id, load_no, 'closed_by', closed_by FROM dataset_capability_rich UNION ALL SELECT feed_id, load_no, 'telemetry_available', telemetry_available FROM dataset_capability_rich),
@@ -124,7 +121,7 @@ def _p2_sql(columns: list[str], stated: bool, select: str) -> str:
     return rf"""WITH c AS ({cells}),
 x AS (SELECT {key}, CASE WHEN lower(regexp_replace(v, '^\s+|\s+$', '', 'g')) IN ('','n/a','-','--','none','null','nan') THEN NULL ELSE v END AS v FROM c),
 k1 AS (SELECT {key}, v, regexp_replace(regexp_replace(regexp_replace(translate(v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', repeat('A', 26) || repeat('a', 26) || repeat('9', 10)), 'A+', 'A', 'g'), 'a+', 'a', 'g'), '9+', '9', 'g') AS p, count(*) AS n FROM x GROUP BY ALL),
-k0 AS (SELECT {key}, v, n, CASE WHEN length(p) <= 64 THEN p ELSE '#' || md5(p) END AS p FROM k1),
+k0 AS (SELECT {key}, v, n, CASE WHEN length(p) <= 64 THEN p ELSE '#' || left(md5(p), 16) END AS p FROM k1),
 f0 AS (SELECT column_name, p, sum(n) AS n FROM k0 WHERE v IS NOT NULL GROUP BY ALL), f AS (SELECT column_name, first(p ORDER BY n DESC, p DESC) AS form FROM f0 GROUP BY ALL),
 k AS (SELECT k0.*, {ok} AS ok, p AS m, TRY_CAST(v AS DECIMAL(38,10)) AS d FROM k0 LEFT JOIN f USING (column_name)),
 s AS (SELECT {key}, CAST(sum(n) AS BIGINT) AS n, CAST(coalesce(sum(n) FILTER (WHERE v IS NOT NULL), 0) AS BIGINT) AS p, count(v) AS d, CAST(coalesce(sum(n) FILTER (WHERE NOT ok), 0) AS BIGINT) AS o, CASE WHEN count(d) = count(v) THEN arg_min(left(v, 64), d) ELSE min(left(v, 64)) END AS lo, CASE WHEN count(d) = count(v) THEN arg_max(left(v, 64), d) ELSE max(left(v, 64)) END AS hi FROM k GROUP BY {key}),
@@ -135,7 +132,7 @@ ch AS (SELECT {key}, 'null_rate' AS c FROM j WHERE 100 * abs((n - p) * bn - (bn
  UNION ALL SELECT {key}, 'distinct' FROM j WHERE p > 0 AND bp > 0 AND (2 * d < bd OR d > 2 * bd) UNION ALL SELECT DISTINCT j.feed_id, j.load_no, j.column_name, 'shares' FROM j JOIN mv USING ({key}) WHERE j.p > 0 AND j.bp > 0 AND 100 * abs(mv.n * j.bp - mv.q * j.p) >= 25 * j.p * j.bp),
 cl AS (SELECT {key}, string_agg(c, ',' ORDER BY c) AS changes FROM ch GROUP BY ALL),
 g AS (SELECT {key}, m, sum(n) AS n FROM k WHERE v IS NOT NULL GROUP BY ALL), t AS (SELECT {key}, sum(n) AS total FROM g GROUP BY ALL), q AS (SELECT g.*, n / total AS pr FROM g JOIN t USING ({key})),
-top AS (SELECT {key}, first(m ORDER BY n DESC, m DESC) AS top_mask, round(max(pr), 6) AS top_share, CAST(coalesce(sum(n) FILTER (WHERE pr < 0.02), 0) AS BIGINT) AS rare_mask_rows, coalesce(string_agg(m || ' x' || n, '; ' ORDER BY m) FILTER (WHERE pr < 0.02), '') AS rare_masks FROM q GROUP BY {key}),
+top AS (SELECT {key}, first(m ORDER BY n DESC, m DESC) AS top_mask, round(max(pr), 6) AS top_share, count(*) FILTER (WHERE pr < 0.02) AS n_rare_masks, CAST(coalesce(sum(n) FILTER (WHERE pr < 0.02), 0) AS BIGINT) AS rare_mask_rows FROM q GROUP BY {key}),
 pa AS (SELECT q.* FROM q SEMI JOIN (SELECT feed_id, load_no + 1 AS load_no, column_name FROM t) USING ({key})), pb AS (SELECT * FROM (SELECT feed_id, load_no + 1 AS load_no, column_name, m, pr FROM q) SEMI JOIN t USING ({key})),
 js AS (SELECT {key}, round(sum(CASE WHEN a > 0 THEN a * log2(a / ((a + b) / 2)) ELSE 0 END + CASE WHEN b > 0 THEN b * log2(b / ((a + b) / 2)) ELSE 0 END) / 2, 6) AS divergence FROM (SELECT {key}, m, coalesce(pa.pr, 0) AS a, coalesce(pb.pr, 0) AS b FROM pa FULL JOIN pb USING ({key}, m)) GROUP BY {key})
 SELECT {select} FROM s LEFT JOIN top USING ({key}) LEFT JOIN js USING ({key}) LEFT JOIN cl USING ({key})"""
@@ -155,10 +152,12 @@ SELECT line_id, CASE WHEN bad THEN 'quoting' ELSE 'column_count' END AS reason F
 UNION ALL SELECT line_id, CASE WHEN NOT regexp_full_match(a, 'TST-[0-9]{9}') THEN 'alert_id' ELSE 'closed_time' END FROM v WHERE NOT regexp_full_match(a, 'TST-[0-9]{9}') OR NOT (c = '' OR coalesce(CASE WHEN regexp_full_match(c, '[0-9]+') THEN TRY_CAST(c AS HUGEINT) BETWEEN 0 AND 525600 END, false))"""
 
 _P7_REPORT = _P7 + " SELECT o.table_name, o.period, reason, count(*) AS orphans, any_value(c.n) AS checked_references FROM o JOIN (SELECT table_name, period, count(*) AS n FROM k GROUP BY ALL) c ON c.table_name = o.table_name AND c.period IS NOT DISTINCT FROM o.period WHERE reason IS NOT NULL GROUP BY ALL"
-_P2_MASKS = _p2_sql(WATCHED, False, "feed_id, load_no, column_name, top_mask, top_share, o AS n_off_form, rare_mask_rows, rare_masks, divergence, coalesce(changes, '') AS changes")
-_P2_PROFILE = _p2_sql(_ALL, True, "feed_id, load_no, column_name, s.n AS n_rows, s.p AS n_present, round(1 - s.p / s.n, 6) AS null_rate, d AS n_distinct, lo AS min_value, hi AS max_value, o AS n_off_form, top_mask, top_share, rare_mask_rows, divergence, rare_masks, coalesce(changes, '') AS changes")
+_REPORT = "feed_id, load_no, column_name, s.n AS n_rows, s.p AS n_present, round(1 - s.p / s.n, 6) AS null_rate, d AS n_distinct, lo AS min_value, hi AS max_value, o AS n_off_form, top_mask, top_share, n_rare_masks, rare_mask_rows, divergence, coalesce(changes, '') AS changes"
+_P2_MASKS = _p2_sql(WATCHED, False, _REPORT.replace("lo AS min_value, hi AS max_value, ", ""))
+_P2_PROFILE = _p2_sql(_ALL, True, _REPORT)
+_P2_RARE = _p2_sql(WATCHED, True, "x").split("SELECT x FROM s")[0] + "SELECT feed_id, load_no, column_name, m AS mask, CAST(n AS BIGINT) AS n FROM q WHERE pr < 0.02"
 _P2_COLUMNS = _p2_sql(_ALL, True, "feed_id, load_no, s.n AS n_rows, column_name, s.p AS n_present, d AS n_distinct, lo AS min_value, hi AS max_value, o AS n_off_form")
 _P4_HEADERS = """WITH k AS (SELECT file_id, record, unnest(json_keys(record)) AS name FROM submission_rows WHERE json_valid(record)), v AS (SELECT file_id, name, json_type(json_extract(record, '$."' || name || '"')) AS t FROM k),
 g AS (SELECT file_id, name, list_distinct(list(CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'number' END)) AS ts FROM v GROUP BY ALL)
 SELECT file_id, name, CASE len(ts) WHEN 0 THEN NULL WHEN 1 THEN ts[1] ELSE 'string' END AS type FROM g"""
-ORACLE = {"p2_found": _P2, "p2_masks": _P2_MASKS, "p2_profile": _P2_PROFILE, "p2_columns": _P2_COLUMNS, "p4_headers": _P4_HEADERS, "p6_found": _P6, "p7_found": _P7 + " SELECT table_name, row_id, reason FROM o WHERE reason IS NOT NULL", "p7_report": _P7_REPORT}
+ORACLE = {"p2_found": _P2, "p2_masks": _P2_MASKS, "p2_profile": _P2_PROFILE, "p2_rare": _P2_RARE, "p2_columns": _P2_COLUMNS, "p4_headers": _P4_HEADERS, "p6_found": _P6, "p7_found": _P7 + " SELECT table_name, row_id, reason FROM o WHERE reason IS NOT NULL", "p7_report": _P7_REPORT}

@@ -74,7 +74,8 @@ def test_profile_covers_every_column(spark, tmp_path):
     df.write.parquet(str(tmp_path / "dataset_capability_rich.parquet"))
     r = {(x.load_no, x.column_name): x for x in submissions.p2_profile(spark, str(tmp_path)).collect()}
     assert set(r) == {(load, c) for load in (1, 2) for c in ("priority", "host")}
-    assert r[1, "priority"].rare_masks == "a-9 x1"
+    assert (r[1, "priority"].n_rare_masks, r[1, "priority"].rare_mask_rows) == (1, 1)
+    assert [(x.load_no, x.mask, x.n) for x in quality.Loads(df, ["priority"]).rare(0.02).collect()] == [(1, "a-9", 1)]
     assert r[1, "priority"].changes == "" and r[2, "priority"].changes == "pattern,shares" and r[2, "host"].changes == ""
     w = {x.load_no: x for x in quality.wide_profile(df.where("priority <> 'x-1'")).collect() if x.column_name == "priority"}
     assert (w[1].n_distinct, w[1].min_value, w[1].max_value) == (3, "9", "100") and w[2].max_value == "c-3"

@@ -4,8 +4,8 @@ Values are reduced to distinct ones first (map-side combined), then to words: lo
 letters to their prototypes, lower case, punctuation and spaces as separators. A value
 means an entry if its words are the entry's words in any order, or its letters without
 spaces are, or if all its words pair off with the entry's words with at most `SLIPS`
-slips in words of five or more letters. A marking word or number around the value may be
-left out.
+slips in words of five or more letters. A number, a word in brackets, a word before a colon
+or after a dash may be left out by rule; single marking words are a parameter (`Marks`).
 
 Slips are one letter missing, added, changed, or two neighbours swapped. A swap is two
 edits, so two slips are at most four edits: each reference word is cut into five
@@ -23,6 +23,9 @@ entries equally well takes the smaller item_id; rows without an id are dropped.
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +35,28 @@ from auditlake.session import ensure_checkpoint_dir
 
 SLIPS, EDITS, LEAST_LETTERS = 2, 4, 5
 SEGMENTS = EDITS + 1
-# Words that mark a value without changing what it means.
-MARKING_BEFORE = ["suspected", "possible", "possibly", "poss", "probable", "probably", "likely", "type", "cat", "category"]
-MARKING_AFTER = ["confirmed", "unconfirmed", "tbc", "suspected"]
+
+
+@dataclass(frozen=True)
+class Marks:
+    """Words that mark a value without changing what it means, before and after it."""
+
+    before: tuple[str, ...] = ()
+    after: tuple[str, ...] = ()
+
+    def patterns(self) -> tuple[str, str]:
+        """What may be cut from the start and from the end of a value."""
+        words = lambda ws: "(?:" + "|".join(map(re.escape, ws)) + ")"
+        start = [rf"{words(self.before)}\b[\s.:=\-]*"] if self.before else []
+        end = [rf"[\s\-,(\[]*\b{words(self.after)}\b[)\].!?\s]*"] if self.after else []
+        return "^(?:" + "|".join([*start, r"\p{L}+\s*[:=]\s*", r"#?\s*[0-9]+[.):]?\s+"]) + ")", "(?:" + "|".join([*end, r"\s*[(\[]\s*\p{L}+\s*[)\]]", r"\s+-\s+\p{L}+", r"(?:\s+#?|\s*#)\s*[0-9]+"]) + ")$"
+
+
+# Doubt and kind, as analysts write them; a caller with other habits passes their own.
+USUAL = Marks(
+    ("suspected", "possible", "possibly", "poss", "probable", "probably", "likely", "type", "cat", "category"),
+    ("confirmed", "unconfirmed", "tbc", "suspected"),
+)
 
 
 def _translation() -> tuple[str, str]:
@@ -44,8 +66,6 @@ def _translation() -> tuple[str, str]:
 
 
 DRAWN_LIKE, DRAWN_AS = _translation()
-BEFORE = r"^(?:(?:" + "|".join(MARKING_BEFORE) + r")\b[\s.:=\-]*|\p{L}+\s*[:=]\s*|#?\s*[0-9]+[.):]?\s+)"
-AFTER = r"(?:[\s\-,(\[]*\b(?:" + "|".join(MARKING_AFTER) + r")\b[)\].!?\s]*|\s*[(\[]\s*\p{L}+\s*[)\]]|\s+-\s+\p{L}+|(?:\s+#?|\s*#)\s*[0-9]+)$"
 
 
 def plain(c: Column) -> Column:
@@ -62,9 +82,10 @@ def words(c: Column) -> Column:
     return _words(plain(c))
 
 
-def unmarked(c: Column) -> Column:
+def unmarked(c: Column, marks: Marks = USUAL) -> Column:
     """Words of a value without one marking word or number before or after them."""
-    return _words(F.regexp_replace(F.regexp_replace(F.trim(plain(c)), BEFORE, ""), AFTER, ""))
+    before, after = marks.patterns()
+    return _words(F.regexp_replace(F.regexp_replace(F.trim(plain(c)), before, ""), after, ""))
 
 
 def reference_names(items: DataFrame) -> DataFrame:
@@ -111,13 +132,13 @@ def similar_words(typed: DataFrame, known: DataFrame) -> DataFrame:
     return cand.select("list_name", "w", "r", slips.alias("slips")).where("slips IS NOT NULL")
 
 
-def meanings(values: DataFrame, items: DataFrame) -> DataFrame:
+def meanings(values: DataFrame, items: DataFrame, marks: Marks = USUAL) -> DataFrame:
     """(column_name, value, item_id) of the distinct values that mean an entry.
 
     `values` holds distinct (column_name, value).
     """
     names = reference_names(items)
-    v = values.select("column_name", "value", F.explode(F.array(F.struct(F.lit(0).alias("cut"), words(F.col("value")).alias("ws")), F.struct(F.lit(1).alias("cut"), unmarked(F.col("value")).alias("ws")))).alias("x"))
+    v = values.select("column_name", "value", F.explode(F.array(F.struct(F.lit(0).alias("cut"), words(F.col("value")).alias("ws")), F.struct(F.lit(1).alias("cut"), unmarked(F.col("value"), marks).alias("ws")))).alias("x"))
     v = v.select("column_name", "value", "x.*").where(F.size("ws") > 0).withColumn("vid", F.xxhash64("column_name", "value", "cut"))
     # Same words in any order, or the same letters without spaces.
     bag, run = (lambda c: F.array_join(F.array_sort(c), " ")), (lambda c: F.array_join(c, ""))
@@ -140,18 +161,19 @@ def meanings(values: DataFrame, items: DataFrame) -> DataFrame:
     return exact.unionByName(fuzzy).groupBy("column_name", "value").agg(best.alias("item_id"))
 
 
-def map_values(df: DataFrame, items: DataFrame, columns: list[str]) -> DataFrame:
+def map_values(df: DataFrame, items: DataFrame, columns: list[str], marks: Marks = USUAL) -> DataFrame:
     """(row_id, column_name, item_id): the entry each typed value means, `none` for the unmatched."""
     cells = typed_values(df, items, columns)
     ensure_checkpoint_dir(df.sparkSession)
     # Distinct values and their meanings are stored: each is read several times below.
     distinct = cells.groupBy("column_name", "value").agg(F.count("*").alias("n")).select("column_name", "value").checkpoint()
-    found = meanings(distinct, items).checkpoint()
+    found = meanings(distinct, items, marks).checkpoint()
     unmatched = distinct.join(found, ["column_name", "value"], "left_anti").withColumn("item_id", F.lit("none"))
     return cells.join(found.unionByName(unmatched), ["column_name", "value"]).select("row_id", "column_name", "item_id")
 
 
-def unmatched_report(df: DataFrame, items: DataFrame, columns: list[str]) -> DataFrame:
+def unmatched_report(df: DataFrame, items: DataFrame, columns: list[str], marks: Marks = USUAL) -> DataFrame:
     """(column_name, value, rows): values that mean no entry, with how many rows hold them."""
-    distinct = typed_values(df, items, columns).groupBy("column_name", "value").agg(F.count("*").alias("n_rows"))
-    return distinct.join(meanings(distinct.select("column_name", "value"), items), ["column_name", "value"], "left_anti")
+    ensure_checkpoint_dir(df.sparkSession)
+    distinct = typed_values(df, items, columns).groupBy("column_name", "value").agg(F.count("*").alias("n_rows")).checkpoint()
+    return distinct.join(meanings(distinct.select("column_name", "value"), items, marks), ["column_name", "value"], "left_anti")

@@ -75,12 +75,17 @@ s AS (SELECT c.table_name, ia, ib, len(list_intersect(a.w, b.w)) AS o, a.k AS ka
 SELECT table_name, ia AS row_id_a, ib AS row_id_b FROM s WHERE 10 * o >= 7 * (ka + kb - o)"""
 
 _ABSENT = r"lower(regexp_replace(v, '^\s+|\s+$', '', 'g')) IN ('','n/a','-','--','none','null','nan')"
-_PLAIN = rf"lower(translate(regexp_replace(v, '\p{{Cf}}', '', 'g'), '{canonical.DRAWN_LIKE.replace("'", "''")}', '{canonical.DRAWN_AS.replace("'", "''")}'))"
+# Look-alike letters that the typed values hold, and full-width forms; written out, not taken from the operator.
+_LIKE = "АВЕЅІЈКМНОРСТУХаеорсухѕіјΑΒΕΖΗΙΚΜΝΟΡΤΥΧαιονρυ" + "".join(chr(0xFF01 + i) for i in range(94))
+_AS = "ABESIJKMHOPCTYXaeopcyxsijABEZHIKMNOPTYXaiovpu" + "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
+_PLAIN = rf"lower(translate(regexp_replace(v, '\p{{Cf}}', '', 'g'), '{_LIKE}', '{_AS}'))"
+_BEFORE = r"^(?:(?:suspected|possible|possibly|poss|probable|probably|likely|type|cat|category)\b[\s.:=\-]*|\p{L}+\s*[:=]\s*|#?\s*[0-9]+[.):]?\s+)"
+_AFTER = r"(?:[\s\-,(\[]*\b(?:confirmed|unconfirmed|tbc|suspected)\b[)\].!?\s]*|\s*[(\[]\s*\p{L}+\s*[)\]]|\s+-\s+\p{L}+|(?:\s+#?|\s*#)\s*[0-9]+)$"
 _SPLIT = r"list_filter(regexp_split_to_array({}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 _P5 = rf"""WITH c AS (""" + " UNION ALL ".join(f"SELECT row_id, '{t}' AS column_name, {t} AS v FROM dataset_capability_rich" for t in TYPED) + rf"""),
 r AS (SELECT * FROM c WHERE row_id IS NOT NULL AND v IS NOT NULL AND NOT ({_ABSENT}) AND NOT EXISTS (SELECT 1 FROM reference_items i WHERE i.list_name = c.column_name AND i.label = c.v)),
 d AS (SELECT DISTINCT column_name, v FROM r), p AS (SELECT column_name, v, {_PLAIN} AS p FROM d),
-x AS (SELECT column_name, v, 0 AS cut, {_SPLIT.format("p")} AS ws FROM p UNION ALL SELECT column_name, v, 1, {_SPLIT.format(f"regexp_replace(regexp_replace(trim(p), '{canonical.BEFORE}', ''), '{canonical.AFTER}', '')")} FROM p),
+x AS (SELECT column_name, v, 0 AS cut, {_SPLIT.format("p")} AS ws FROM p UNION ALL SELECT column_name, v, 1, {_SPLIT.format(f"regexp_replace(regexp_replace(trim(p), '{_BEFORE}', ''), '{_AFTER}', '')")} FROM p),
 n AS (SELECT DISTINCT column_name, item_id, {_SPLIT.format(_PLAIN)} AS ws FROM (SELECT list_name AS column_name, item_id, label AS v FROM reference_items UNION ALL SELECT list_name, item_id, unnest(string_split(other_names, '|')) FROM reference_items)),
 e AS (SELECT x.column_name, v, item_id, 0 AS slips, cut FROM x JOIN n ON x.column_name = n.column_name AND len(x.ws) > 0 AND (list_sort(x.ws) = list_sort(n.ws) OR array_to_string(x.ws, '') = array_to_string(n.ws, ''))),
 vw AS (SELECT column_name, v, cut, len(ws) AS k, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM x), nw AS (SELECT column_name, item_id, ws, len(ws) AS k, unnest(ws) AS t, generate_subscripts(ws, 1) AS j FROM n),

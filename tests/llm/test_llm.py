@@ -338,3 +338,34 @@ def test_skeleton_is_stable_and_total():
         s = "".join(chr(rng.choice([rng.randrange(32, 0x500), rng.randrange(0x2000, 0x2100), rng.randrange(0xFF00, 0xFFE0), rng.randrange(0x1D400, 0x1D800), 0x200D, 0x1F469])) for _ in range(30))
         k = lookalike.skeleton(s)
         assert lookalike.skeleton(k) == k
+
+
+@pytest.mark.parametrize(("a", "b", "same"), [("ᎠᎡᎢ", "DRT", True), ("ГПФ", "ΓΠΦ", True), ("Ⅷ ǉ ﬄ", "VIII lj ffl", True), ("ⲞⲔ", "OK", True), ("rn", "m", False), ("0", "O", False), ("②", "2", False), ("…", "...", False)])
+def test_other_scripts_and_several_characters(a, b, same):
+    assert (lookalike.skeleton(a) == lookalike.skeleton(b)) is same
+
+
+def test_published_table_as_a_parameter(spark, tmp_path):
+    f = tmp_path / "confusables.txt"
+    f.write_text("﻿# comment\n\n0438 ; 0075 ; MA # и -> u\n10428 ; 006F ; MA\nA732 ; 0041 0041 ; MA\n0030 ; 004F ; MA # 0 -> O\n006D ; 0072 006E ; MA\n")
+    t = lookalike.replacements(str(f))
+    sk = lambda x: lookalike.skeleton(x, t)
+    assert sk("и") == "u" and sk("Ꜳ") == "AA" and sk("é0m") != sk("éOrn") and sk("𐐨") == "o"
+    df = spark.createDataFrame([(1, "bиs"), (2, "bus")], "doc_id bigint, text string")
+    assert {r.skeleton for r in lookalike.consistent_texts(df, str(f)).collect()} == {"bus"}
+
+
+def test_hot_looks_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "HOT", 7)
+    texts = ["Note а", "Note a", "Nоte a"]
+    df = spark.createDataFrame([(i, texts[i % 3]) for i in range(60)] + [(100, "other")], "doc_id bigint, text string")
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if i % 3 != j % 3}
+    rows = [tuple(r) for r in lookalike.same_look_pairs(df).collect()]
+    assert len(rows) == len(want) and set(rows) == want
+
+
+def test_marks_are_a_parameter(spark):
+    items = spark.createDataFrame(ITEMS, "item_id string, list_name string, label string, other_names string")
+    df = spark.createDataFrame([(1, "vermutlich critical"), (2, "suspected critical")], "row_id bigint, p string")
+    got = lambda **kw: {r.row_id: r.item_id for r in canonical.map_values(df, items, ["p"], **kw).collect()}
+    assert got() == {1: "none", 2: "P1"} and got(marks=canonical.Marks(("vermutlich",))) == {1: "P1", 2: "none"}

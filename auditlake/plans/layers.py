@@ -61,6 +61,21 @@ def absence_by_scope(spark: SparkSession, d: str) -> DataFrame:
     return rules.absence_measures(records(spark, d), ABSENCE)
 
 
+ABSENCE_ALL = rules.AbsenceRule("critical_expects_all", rules.Condition("severity", "in", ("CRITICAL",)), ("escalation", "segment"), {"escalation": ("ESCALATED", "NOT_ESCALATED"), "segment": ("BUILDING", "MACHINERY")})
+_COV = "SELECT entity, period, '{c}' AS concept, count(*) FILTER (WHERE severity = 'CRITICAL') AS triggered, count(*) FILTER (WHERE severity = 'CRITICAL' AND coalesce({ok}, false)) AS with_evidence, count(*) FILTER (WHERE severity = 'CRITICAL' AND NOT coalesce({ok}, false)) AS without_evidence, count(*) FILTER (WHERE severity = 'CRITICAL' AND {c} IS NOT NULL AND NOT {ok}) AS unusable FROM rec GROUP BY entity, period"
+COVERAGE = REC + ", m AS (" + _COV.format(c="escalation", ok="escalation IN ('ESCALATED','NOT_ESCALATED')") + " UNION ALL " + _COV.format(c="segment", ok="segment IN ('BUILDING','MACHINERY')") + ") SELECT *, CASE WHEN triggered > 0 THEN round(with_evidence / triggered, 4) END AS coverage, CASE WHEN triggered = 0 THEN 'EXPECTATION_NOT_TRIGGERED' WHEN with_evidence = 0 THEN 'COMPLETE_ABSENCE' WHEN without_evidence = 0 THEN 'NO_ABSENCE' ELSE 'PARTIAL_ABSENCE' END AS state FROM m"
+
+
+@query(COVERAGE)
+def absence_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return rules.absence_coverage(records(spark, d), ABSENCE_ALL)
+
+
+@query(REC + " SELECT entity, period, row_ordinal, escalation IS NOT NULL AS unusable FROM rec WHERE severity = 'CRITICAL' AND coalesce(escalation NOT IN ('ESCALATED','NOT_ESCALATED'), true)")
+def absence_positions(spark: SparkSession, d: str) -> DataFrame:
+    return rules.absence_positions(records(spark, d), ABSENCE)
+
+
 @query(ABS_SQL + " SELECT state, count(*) AS n FROM a GROUP BY state")
 def absence_states(spark: SparkSession, d: str) -> DataFrame:
     return rules.state_counts(rules.absence_measures(records(spark, d), ABSENCE))
@@ -196,35 +211,97 @@ def tokenise(spark: SparkSession, d: str) -> DataFrame:
     return t.select("row_id", F.array_join("w", " ").alias("words"), F.size("w").alias("n_words"))
 
 
-def _vocab_sql(t: str, c: str, v: str) -> str:
-    whens = " ".join(f"WHEN '{s}' THEN '{k}'" for k, ss in vocabulary.VOCABULARIES[v].items() for s in ss)
-    key = rf"upper(regexp_replace(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '[\s\-]+', '_', 'g'))"
-    absent = rf"lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')) IN ('','nan','nat','none','null','n/a','-','unknown')"
-    return f"WITH x AS (SELECT {c} AS original, CASE WHEN {absent} THEN NULL ELSE CASE {key} {whens} END END AS canonical FROM {t}) SELECT original, canonical, canonical IS NOT NULL AS known, count(*) AS n FROM x GROUP BY ALL"
+# The vocabularies as the SQL side knows them, written out.
+_SEVERITY_SQL = "CASE {k} WHEN 'critical' THEN 'CRITICAL' WHEN 'crit' THEN 'CRITICAL' WHEN 'sev1' THEN 'CRITICAL' WHEN 'sev-1' THEN 'CRITICAL' WHEN 'sev 1' THEN 'CRITICAL' WHEN 'p1' THEN 'CRITICAL' WHEN 's1' THEN 'CRITICAL' WHEN 'high' THEN 'HIGH' WHEN 'sev2' THEN 'HIGH' WHEN 'sev-2' THEN 'HIGH' WHEN 'sev 2' THEN 'HIGH' WHEN 'p2' THEN 'HIGH' WHEN 's2' THEN 'HIGH' WHEN 'medium' THEN 'MEDIUM' WHEN 'med' THEN 'MEDIUM' WHEN 'moderate' THEN 'MEDIUM' WHEN 'sev3' THEN 'MEDIUM' WHEN 'sev-3' THEN 'MEDIUM' WHEN 'sev 3' THEN 'MEDIUM' WHEN 'p3' THEN 'MEDIUM' WHEN 's3' THEN 'MEDIUM' WHEN 'low' THEN 'LOW' WHEN 'sev4' THEN 'LOW' WHEN 'sev-4' THEN 'LOW' WHEN 'sev 4' THEN 'LOW' WHEN 'p4' THEN 'LOW' WHEN 's4' THEN 'LOW' WHEN 'info' THEN 'LOW' WHEN 'informational' THEN 'LOW' END"
+_ESCALATION_SQL = "CASE {k} WHEN 'escalated' THEN 'ESCALATED' WHEN 'yes' THEN 'ESCALATED' WHEN 'y' THEN 'ESCALATED' WHEN 'true' THEN 'ESCALATED' WHEN 'escalate' THEN 'ESCALATED' WHEN 'not_escalated' THEN 'NOT_ESCALATED' WHEN 'not escalated' THEN 'NOT_ESCALATED' WHEN 'no' THEN 'NOT_ESCALATED' WHEN 'n' THEN 'NOT_ESCALATED' WHEN 'false' THEN 'NOT_ESCALATED' WHEN 'pending' THEN 'PENDING' WHEN 'requested' THEN 'PENDING' END"
+_DISPOSITION_SQL = "CASE {k} WHEN 'closed' THEN 'CLOSED' WHEN 'resolved' THEN 'CLOSED' WHEN 'fixed' THEN 'CLOSED' WHEN 'completed' THEN 'CLOSED' WHEN 'done' THEN 'CLOSED' WHEN 'false_positive' THEN 'FALSE_POSITIVE' WHEN 'false positive' THEN 'FALSE_POSITIVE' WHEN 'fp' THEN 'FALSE_POSITIVE' WHEN 'benign' THEN 'FALSE_POSITIVE' WHEN 'duplicate' THEN 'DUPLICATE' WHEN 'dup' THEN 'DUPLICATE' WHEN 'wont_fix' THEN 'WONT_FIX' WHEN 'won''t fix' THEN 'WONT_FIX' WHEN 'wont fix' THEN 'WONT_FIX' WHEN 'deferred' THEN 'WONT_FIX' WHEN 'open' THEN 'OPEN' WHEN 'reopened' THEN 'OPEN' WHEN 're-opened' THEN 'OPEN' WHEN 'in_progress' THEN 'OPEN' WHEN 'in progress' THEN 'OPEN' END"
+_TRIMMED = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+
+
+def _word_sql(sql: str, c: str) -> str:
+    return sql.replace("{k}", f"lower({_TRIMMED.format(c=c)})")
+
+
+def _vocab_sql(t: str, c: str, sql: str) -> str:
+    return f"WITH x AS (SELECT {c} AS original, CASE WHEN lower({_TRIMMED.format(c=c)}) NOT IN ('','nan','nat','none','null','n/a','-','unknown') THEN {_word_sql(sql, c)} END AS canonical FROM {t}) SELECT original, canonical, canonical IS NOT NULL AS known, count(*) AS n FROM x GROUP BY ALL"
 
 
 def _vocab(df: DataFrame, c: str, v: str) -> DataFrame:
     return df.select(vocabulary.normalised(c, v).alias("v")).groupBy(F.col("v.original"), F.col("v.canonical"), F.col("v.known")).agg(F.count("*").alias("n"))
 
 
-@query(_vocab_sql("alert_context", "severity", "severity"))
+@query(_vocab_sql("alert_context", "severity", _SEVERITY_SQL))
 def norm_severity(spark: SparkSession, d: str) -> DataFrame:
     return _vocab(table(spark, d, "alert_context"), "severity", "severity")
 
 
-@query(_vocab_sql("case_context", "escalation_level", "escalation"))
+@query(_vocab_sql("dataset_capability_rich", "priority", _SEVERITY_SQL))
+def norm_priority(spark: SparkSession, d: str) -> DataFrame:
+    return _vocab(table(spark, d, "dataset_capability_rich"), "priority", "severity")
+
+
+@query(_vocab_sql("dataset_capability_rich", "escalation_status", _ESCALATION_SQL))
 def norm_escalation(spark: SparkSession, d: str) -> DataFrame:
-    return _vocab(table(spark, d, "case_context"), "escalation_level", "escalation")
+    return _vocab(table(spark, d, "dataset_capability_rich"), "escalation_status", "escalation")
 
 
-@query(_vocab_sql("case_context", "closure_disposition", "disposition"))
+@query(_vocab_sql("case_context", "closure_disposition", _DISPOSITION_SQL))
 def norm_disposition(spark: SparkSession, d: str) -> DataFrame:
     return _vocab(table(spark, d, "case_context"), "closure_disposition", "disposition")
 
 
-@query("SELECT row_id, strftime(coalesce(try_strptime(trim(created_time), '%Y-%m-%dT%H:%M:%SZ'), try_strptime(trim(created_time), '%Y-%m-%d')), '%Y-%m-%d %H:%M:%S') AS utc FROM dataset_multi_cse")
+# What single spellings mean, by the vocabularies' definition.
+SPELLINGS = [
+    ("severity", "S1", "CRITICAL"), ("severity", " sev-2 ", "HIGH"), ("severity", "s3", "MEDIUM"), ("severity", "INFO", "LOW"), ("severity", "Informational", "LOW"), ("severity", "URGENT", None), ("severity", "1", None),
+    ("escalation", "ESCALATE", "ESCALATED"), ("escalation", "not escalated", "NOT_ESCALATED"), ("escalation", "none", None), ("escalation", "Requested", "PENDING"), ("escalation", "L2", None),
+    ("disposition", "DEFERRED", "WONT_FIX"), ("disposition", "won't fix", "WONT_FIX"), ("disposition", "Re-opened", "OPEN"), ("disposition", "Benign", "FALSE_POSITIVE"), ("disposition", "merged", None),
+]
+
+
+def _quoted(v) -> str:
+    return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(_quoted, r))})" for r in SPELLINGS) + ") AS t(vocabulary, spelling, canonical)")
+def vocab_spellings(spark: SparkSession, d: str) -> DataFrame:
+    t = spark.createDataFrame([r[:2] for r in SPELLINGS], "vocabulary string, spelling string")
+    return t.withColumn("canonical", F.coalesce(*[F.when(F.col("vocabulary") == v, vocabulary.canonical("spelling", v)) for v in vocabulary.VOCABULARIES]))
+
+
+@query(f"SELECT row_id, CASE WHEN lower({_TRIMMED.format(c='priority')}) NOT IN ('','nan','nat','none','null','n/a','-','unknown') THEN {_word_sql(_SEVERITY_SQL, 'priority')} END AS severity_canonical, CASE WHEN lower({_TRIMMED.format(c='escalation_status')}) NOT IN ('','nan','nat','none','null','n/a','-','unknown') THEN {_word_sql(_ESCALATION_SQL, 'escalation_status')} END AS escalation_canonical FROM dataset_capability_rich")
+def vocab_record(spark: SparkSession, d: str) -> DataFrame:
+    return vocabulary.record(table(spark, d, "dataset_capability_rich"), severity="priority", escalation="escalation_status").select("row_id", "severity_canonical", "escalation_canonical")
+
+
+# Texts with and without a zone in the accepted formats, and their instant.
+INSTANTS = [
+    ("12-Jan-2026", "2026-01-12 00:00:00", None), ("12-jan-2026 10:11:12", "2026-01-12 10:11:12", None), ("2026-01-12T10:11", "2026-01-12 10:11:00", "2026-01-12 10:11:00"), ("2026-01-12T10:11:12+02:00", "2026-01-12 08:11:12", "2026-01-12 08:11:12"), ("2026-01-12T10:11:12.5Z", "2026-01-12 10:11:12", "2026-01-12 10:11:12"),
+    ("03/04/2026", "2026-04-03 00:00:00", "2026-04-03 00:00:00"), ("04/13/2026", "2026-04-13 00:00:00", None), ("2026/01/02 03:04:05", "2026-01-02 03:04:05", None), ("12-01-2026", None, "2026-01-12 00:00:00"), ("01.02.2026", None, None), ("3/4/2026 10:11", None, None), ("2026-02-30", None, None), ("n/a", None, None), ("1759280138", None, None),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(_quoted, r))})" for r in INSTANTS) + ") AS t(written, instant, period_instant)")
+def date_formats(spark: SparkSession, d: str) -> DataFrame:
+    t = spark.createDataFrame([r[:1] for r in INSTANTS], "written string")
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return t.select("written", shown(dates.parse("written")).alias("instant"), shown(dates.parse_period("written")).alias("period_instant"))
+
+
+_ISO_T = r"regexp_full_match(t, '\d{4}-\d\d-\d\d([T ]\d\d(:\d\d(:\d\d([.,]\d{1,9})?)?)?([+-]\d\d(:?\d\d)?|[Zz])?)?')"
+_SHIFT = r"(CASE WHEN z ~ '^[+-]' THEN (CASE WHEN z[1] = '-' THEN -1 ELSE 1 END) * (CAST(substr(z, 2, 2) AS INTEGER) * 60 + CASE WHEN length(z) > 3 THEN CAST(right(z, 2) AS INTEGER) ELSE 0 END) ELSE 0 END)"
+_DATES = rf"""WITH x AS (SELECT row_id, {_TRIMMED.format(c="created_time")} AS t FROM dataset_capability_rich), y AS (SELECT *, regexp_extract(t[12:], '([+-]\d\d(:?\d\d)?|[Zz])$', 1) AS z, regexp_extract(t, '^.{{10}}[T ](\d\d(:\d\d(:\d\d)?)?)', 1) AS h FROM x),
+p AS (SELECT row_id, t, CASE WHEN {_ISO_T} THEN try_strptime(t[1:10] || ' ' || CASE length(h) WHEN 0 THEN '00:00:00' WHEN 2 THEN h || ':00:00' WHEN 5 THEN h || ':00' ELSE h END, '%Y-%m-%d %H:%M:%S') - to_minutes({_SHIFT})
+ ELSE try_strptime(t, ['%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%Y-%m-%d', '%d/%m/%Y %H:%M:%S', '%d/%m/%Y', '%m/%d/%Y %H:%M:%S', '%m/%d/%Y', '%Y/%m/%d %H:%M:%S', '%Y/%m/%d', '%d-%b-%Y %H:%M:%S', '%d-%b-%Y', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%dT%H:%M']) END AS u FROM y)"""
+
+
+@query(_DATES + " SELECT row_id, strftime(u, '%Y-%m-%d %H:%M:%S') AS utc FROM p")
 def parse_dates(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "dataset_multi_cse").select("row_id", F.date_format(dates.parse("created_time"), "yyyy-MM-dd HH:mm:ss").alias("utc"))
+    return table(spark, d, "dataset_capability_rich").select("row_id", F.date_format(dates.parse("created_time"), "yyyy-MM-dd HH:mm:ss").alias("utc"))
+
+
+@query(_DATES + " SELECT 'created_time' AS field, count(*) FILTER (WHERE u IS NULL AND lower(t) NOT IN ('','nan','nat','none','null','n/a','-')) AS n FROM p")
+def val_timestamps(spark: SparkSession, d: str) -> DataFrame:
+    return validation.invalid_timestamps(table(spark, d, "dataset_capability_rich"), ["created_time"])
 
 
 @query("SELECT strftime(o_orderdate, '%Y') AS y, strftime(o_orderdate, '%Y') || '-Q' || quarter(o_orderdate) AS q, strftime(o_orderdate, '%Y-%m') AS m, strftime(o_orderdate, '%Y-%m-%d') AS d, count(*) AS n FROM orders GROUP BY ALL")
@@ -233,7 +310,7 @@ def date_buckets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(*b.values()).agg(F.count("*").alias("n"))
 
 
-@query("SELECT violation, count(*) AS n FROM (SELECT unnest([CASE WHEN acknowledged_at < alert_ts THEN 'acknowledged_before_triggered' END, CASE WHEN closed_at < acknowledged_at THEN 'closed_before_acknowledged' END, CASE WHEN acknowledged_at IS NULL AND closed_at < alert_ts THEN 'closed_before_triggered' END]) AS violation FROM case_context c JOIN alert_context a ON a.alert_id = c.alert_id) WHERE violation IS NOT NULL GROUP BY 1")
+@query("SELECT violation, count(*) AS n FROM (SELECT unnest([CASE WHEN acknowledged_at < alert_ts THEN 'acknowledged_at < triggered_at' END, CASE WHEN closed_at < acknowledged_at THEN 'closed_at < acknowledged_at' END, CASE WHEN acknowledged_at IS NULL AND closed_at < alert_ts THEN 'closed_at < triggered_at' END]) AS violation FROM case_context c JOIN alert_context a ON a.alert_id = c.alert_id) WHERE violation IS NOT NULL GROUP BY 1")
 def chronology(spark: SparkSession, d: str) -> DataFrame:
     j = table(spark, d, "case_context").join(table(spark, d, "alert_context").select("alert_id", "alert_ts"), "alert_id")
     return validation.chronology_counts(j, "alert_ts", "acknowledged_at", "closed_at")
@@ -278,29 +355,56 @@ def rel_summary(spark: SparkSession, d: str) -> DataFrame:
     return relations.summary(table(spark, d, "alert_context"), table(spark, d, "case_context"))
 
 
-_SEV_OK = "upper(regexp_replace(regexp_replace(severity, '^\\s+|\\s+$', '', 'g'), '[\\s\\-]+', '_', 'g')) IN (" + ",".join(f"'{s}'" for ss in vocabulary.SEVERITY.values() for s in ss) + ")"
-_SEV_ABSENT = "upper(regexp_replace(severity, '^\\s+|\\s+$', '', 'g')) IN ('','NAN','N/A','NA','NONE','NULL','NIL','-','--','UNKNOWN')"
-
-
-@query(
+_UNKNOWN = f"SELECT {_TRIMMED.format(c='severity')} AS value, count(*) AS n FROM alert_context WHERE {_ID('severity')} IS NOT NULL AND (lower({_TRIMMED.format(c='severity')}) = 'unknown' OR {_word_sql(_SEVERITY_SQL, 'severity')} IS NULL) GROUP BY 1"
+_FIRST_ALERT = f"(SELECT {_ID('alert_id')} AS k, min(alert_ts) AS t FROM alert_context WHERE {_ID('alert_id')} IS NOT NULL GROUP BY 1)"
+_CASES = f"cx AS (SELECT c.*, a.t AS triggered_at FROM case_context c LEFT JOIN {_FIRST_ALERT} a ON {_ID('c.alert_id')} = a.k)"
+_CHRONO = "SELECT unnest([CASE WHEN acknowledged_at < triggered_at THEN 'acknowledged_at < triggered_at' END, CASE WHEN closed_at < acknowledged_at THEN 'closed_at < acknowledged_at' END, CASE WHEN acknowledged_at IS NULL AND closed_at < triggered_at THEN 'closed_at < triggered_at' END]) AS v FROM cx"
+_CONFLICTS = lambda t, c: f"SELECT kept || ' / ' || id AS detail FROM (SELECT DISTINCT {_ID(c)} AS id FROM {t}) i JOIN (SELECT lower(id) AS k, min(id) AS kept FROM (SELECT DISTINCT {_ID(c)} AS id FROM {t}) WHERE id IS NOT NULL GROUP BY 1 HAVING count(*) > 1) g ON lower(id) = k WHERE id <> kept ORDER BY 1 LIMIT 5"
+VAL = (
     REL_SUMMARY
-    + ", i AS (SELECT DISTINCT trim(alert_id) AS id FROM case_context WHERE alert_id IS NOT NULL), cg AS (SELECT lower(id) AS k, count(*) - 1 AS extra FROM i GROUP BY 1 HAVING count(*) > 1), "
-    + f"v AS (SELECT 'DUPLICATE_ALERT_ID' AS code, 'error' AS severity, 'alert_id' AS field, (SELECT sum(c - 1) FROM (SELECT count(*) AS c FROM alert_context WHERE {_ID('alert_id')} IS NOT NULL GROUP BY {_ID('alert_id')})) AS n "
-    + f"UNION ALL SELECT 'DUPLICATE_CASE_ID', 'error', 'case_id', (SELECT sum(c - 1) FROM (SELECT count(*) AS c FROM case_context WHERE {_ID('case_id')} IS NOT NULL GROUP BY {_ID('case_id')})) "
-    + "UNION ALL SELECT 'CONFLICTING_IDENTIFIERS', 'error', 'alert_id', (SELECT sum(extra) FROM cg) "
-    + "UNION ALL SELECT 'ORPHAN_CASE', 'warning', 'alert_id', n FROM facts WHERE fact = 'orphan_cases' UNION ALL SELECT 'UNMATCHED_ALERT', 'info', 'alert_id', n FROM facts WHERE fact = 'unmatched_alerts' UNION ALL SELECT 'MISSING_JOIN_KEY', 'warning', 'alert_id', n FROM facts WHERE fact = 'rows_without_alert_key' "
-    + f"UNION ALL SELECT 'INVALID_SEVERITY', 'warning', 'severity', (SELECT count(DISTINCT severity) FROM alert_context WHERE severity IS NOT NULL AND NOT ({_SEV_ABSENT}) AND NOT ({_SEV_OK})) "
-    + "UNION ALL SELECT 'IMPOSSIBLE_CHRONOLOGY', 'error', 'closed_at', (SELECT count(*) FROM case_context WHERE closed_at < acknowledged_at)) SELECT code, severity, field, CAST(n AS BIGINT) AS n FROM v WHERE n > 0"
+    + f", {_CASES}, v AS (SELECT 'DUPLICATE_ALERT_ID' AS code, 'error' AS severity, 'alert_id' AS field, NULL AS detail, (SELECT sum(c - 1) FROM (SELECT count(*) AS c FROM alert_context WHERE {_ID('alert_id')} IS NOT NULL GROUP BY {_ID('alert_id')})) AS n "
+    + f"UNION ALL SELECT 'DUPLICATE_CASE_ID', 'error', 'case_id', NULL, (SELECT sum(c - 1) FROM (SELECT count(*) AS c FROM case_context WHERE {_ID('case_id')} IS NOT NULL GROUP BY {_ID('case_id')})) "
+    + "".join(f"UNION ALL SELECT 'CONFLICTING_IDENTIFIERS', 'error', '{c}', detail, 1 FROM ({_CONFLICTS(t, c)}) " for t, c in (("alert_context", "alert_id"), ("case_context", "case_id"), ("case_context", "alert_id")))
+    + f"UNION ALL SELECT 'INVALID_SEVERITY', 'warning', 'severity', value, n FROM ({_UNKNOWN} ORDER BY 1 LIMIT 25) "
+    + f"UNION ALL SELECT 'IMPOSSIBLE_CHRONOLOGY', 'error', NULL, v, count(*) FROM ({_CHRONO}) WHERE v IS NOT NULL GROUP BY v "
+    + "UNION ALL SELECT 'ORPHAN_CASE', 'warning', 'alert_id', NULL, n FROM facts WHERE fact = 'orphan_cases' UNION ALL SELECT 'UNMATCHED_ALERT', 'info', 'alert_id', NULL, n FROM facts WHERE fact = 'unmatched_alerts' UNION ALL SELECT 'MISSING_JOIN_KEY', 'warning', 'alert_id', NULL, n FROM facts WHERE fact = 'rows_without_alert_key' "
+    + f"UNION ALL SELECT 'ORPHAN_WORKFLOW_EVENT', 'warning', 'case_id', NULL, (SELECT count(*) FROM (SELECT DISTINCT {_ID('case_id')} AS k FROM case_context WHERE {_ID('case_id')} IS NOT NULL AND analyst_id IS NOT NULL) WHERE k NOT IN (SELECT {_ID('case_id')} FROM case_context WHERE {_ID('case_id')} IS NOT NULL AND analyst_id IS NOT NULL AND period = 'Period-1'))), "
+    + "i AS (SELECT code, severity, field, detail, CAST(n AS BIGINT) AS n FROM v WHERE n > 0) "
 )
+
+
+def _issues(spark: SparkSession, d: str) -> DataFrame:
+    """Tables with workflow events beside: the events of all cases against the cases of one period."""
+    alerts, cases = table(spark, d, "alert_context"), table(spark, d, "case_context")
+    worked = cases.where("analyst_id IS NOT NULL")
+    lost = validation.join_issues(None, worked.where("period = 'Period-1'"), worked, event_case="case_id").where("code = 'ORPHAN_WORKFLOW_EVENT'")
+    return validation.issues(alerts, cases).unionByName(lost)
+
+
+@query(VAL + "SELECT * FROM i")
 def val_issues(spark: SparkSession, d: str) -> DataFrame:
-    return validation.issues(table(spark, d, "alert_context"), table(spark, d, "case_context"))
+    return _issues(spark, d)
+
 
+@query(VAL + "SELECT code, severity, count(*) AS issues, CAST(sum(n) AS BIGINT) AS affected, CAST(sum(CASE WHEN severity = 'error' THEN count(*) ELSE 0 END) OVER () AS BIGINT) AS errors, CAST(sum(CASE WHEN severity = 'warning' THEN count(*) ELSE 0 END) OVER () AS BIGINT) AS warnings FROM i GROUP BY code, severity")
+def val_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return validation.rollup(_issues(spark, d))
 
-@query(f"SELECT severity AS value, count(*) AS n FROM alert_context WHERE severity IS NOT NULL AND NOT ({_SEV_ABSENT}) AND NOT ({_SEV_OK}) GROUP BY 1")
+
+@query(_UNKNOWN)
 def val_unknown_severity(spark: SparkSession, d: str) -> DataFrame:
     return validation.unknown_values(table(spark, d, "alert_context"), "severity", "severity")
 
 
+@query("SELECT 'MISSING_REQUIRED_FIELD' AS code, 'warning' AS severity, CAST(NULL AS VARCHAR) AS field, 'CASE_ID' AS detail, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'JOIN_NOT_ASSESSABLE', 'info', NULL, 'alert/case', 1 UNION ALL SELECT 'JOIN_NOT_ASSESSABLE', 'info', NULL, 'workflow/case', 1 UNION ALL SELECT 'MAPPING_COLLISION', 'warning', 'alert_id', 'alert_context.alert_id: alert_id, alert_identifier', 1")
+def val_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of decisions and of joins without a key: alerts judged as if they were the case side."""
+    alerts = table(spark, d, "alert_context").withColumn("alert_identifier", F.col("alert_id"))
+    rows = [{"column_name": c, "category": "identifier", "samples": ["ALRT-1"]} for c in ("alert_id", "alert_identifier")]
+    joins = validation.join_issues(alerts, None, alerts, event_case="event_id")
+    return validation.mapping_issues(spark, "CASES", mapping.decide(rows)).unionByName(joins)
+
+
 # --- capabilities ------------------------------------------------------------------------
 
 CONCEPTS = {"SECURITY_SEVERITY": "priority", "THREAT_CATEGORY": "threat_type", "SECURITY_LABEL": "security_label", "ASSET_IDENTIFIER": "host", "EXPECTED_TELEMETRY": "telemetry_available", "EVENT_TIMESTAMP": "created_time", "RESOLUTION_TIME": "closed_time", "USER_IDENTIFIER": "closed_by", "ESCALATION_STATUS": "escalation_status", "INVESTIGATION_EVIDENCE": "investigation_notes"}
@@ -376,10 +480,26 @@ def max_similarity(spark: SparkSession, d: str) -> DataFrame:
 @query(
     SETS.replace("WITH t", "WITH RECURSIVE t")
     + ", e AS (SELECT cse, period, a, b FROM q WHERE j >= 0.8), r AS (SELECT cse, period, id, id AS root FROM s UNION SELECT r.cse, r.period, e.b, r.root FROM r JOIN e ON e.cse = r.cse AND e.period = r.period AND e.a = r.id), c AS (SELECT cse, period, id, min(root) AS component FROM r GROUP BY ALL), z AS (SELECT cse, period, component, sum(copies) AS n_similar FROM s JOIN c USING (cse, period, id) GROUP BY ALL), y AS (SELECT cse, period, sum(n_similar) AS records, arg_max(n_similar, n_similar * 1000000000 - component) AS n_similar, arg_max(component, n_similar * 1000000000 - component) AS component FROM z GROUP BY ALL) "
-    "SELECT cse, period, CAST(records AS BIGINT) AS records, CAST(n_similar AS BIGINT) AS n_similar, component, CASE WHEN records < 12 OR n_similar < 3 THEN 'NOT_EVALUABLE' ELSE 'REPETITION' END AS status FROM y"
+    ", mb AS (SELECT s.cse, s.period, s.id, s.toks, s.copies, y.component FROM y JOIN c ON c.cse = y.cse AND c.period = y.period AND c.component = y.component JOIN s ON s.cse = c.cse AND s.period = c.period AND s.id = c.id), pr AS (SELECT cse, period, 1.0::DOUBLE AS j, copies * (copies - 1) / 2 AS w FROM mb WHERE copies > 1 UNION ALL SELECT q.cse, q.period, q.j, x.copies * z.copies FROM q JOIN mb x ON x.cse = q.cse AND x.period = q.period AND x.id = q.a JOIN mb z ON z.cse = q.cse AND z.period = q.period AND z.id = q.b WHERE q.a < q.b AND q.j >= 0.8), st AS (SELECT cse, period, round(min(j), 4) AS lo, round(sum(j * w) / sum(w), 4) AS mean, round(max(j), 4) AS hi FROM pr GROUP BY ALL), "
+    r"asst AS (SELECT mb.cse, mb.period, count(DISTINCT r.asset_name) AS assets FROM mb JOIN dataset_operational_pattern_renamed r ON r.cse = mb.cse AND r.period = mb.period AND list_sort(list_distinct(regexp_extract_all(lower(r.analyst_findings), '[a-z0-9]+'))) = mb.toks GROUP BY ALL) "
+    "SELECT y.cse, y.period, CAST(records AS BIGINT) AS records, CAST(n_similar AS BIGINT) AS n_similar, component, lo AS min_similarity, mean AS mean_similarity, hi AS max_similarity, assets, CASE WHEN records < 12 OR n_similar < 3 THEN 'NOT_EVALUABLE' ELSE 'REPETITION' END AS status FROM y LEFT JOIN st USING (cse, period) LEFT JOIN asst USING (cse, period)"
 )
 def repetition_groups(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.repetition(_sets(spark, d), ["cse", "period"], 0.8, 12, 3)
+    t = table(spark, d, "dataset_operational_pattern_renamed").where("cse IS NOT NULL AND period IS NOT NULL")
+    return similarity.repetition(_sets(spark, d), ["cse", "period"], 0.8, 12, 3, t.select("cse", "period", "asset_name", tokens("analyst_findings").alias("toks")), "asset_name")
+
+
+@query(SETS + " SELECT cse, period, a, b, round(j, 6) AS similarity FROM q WHERE j >= 0.9 AND a < b")
+def minhash_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs from the band index; at 0.9 the chance to miss one is below 1e-28."""
+    sets = _sets(spark, d)
+    return similarity.indexed_pairs(sets, similarity.band_index(sets, ["cse", "period"]), ["cse", "period"], 0.9)
+
+
+@query(SETS.replace("WHERE analyst_findings IS NOT NULL", f"WHERE upper({_TRIMMED.format(c='analyst_findings')}) NOT IN ('','NAN','N/A','NA','NONE','NULL','NIL','-','--','UNKNOWN')") + ", m AS (SELECT cse, period, a AS id, max(j) AS j FROM q GROUP BY ALL), x AS (SELECT s.cse, s.period, s.copies, round(CASE WHEN s.copies > 1 THEN 1.0 ELSE coalesce(m.j, 0.0) END, 6) AS v FROM s LEFT JOIN m ON s.cse = m.cse AND s.period = m.period AND s.id = m.id) SELECT cse AS entity, period, CASE WHEN sum(copies) < 2 THEN 0.0 ELSE round(sum(copies * v) / sum(copies), 6) END AS mean_max_token_similarity FROM x GROUP BY ALL")
+def fx_similarity(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "dataset_operational_pattern_renamed").where("cse IS NOT NULL AND period IS NOT NULL").withColumnsRenamed({"cse": "entity", "row_id": "row_ordinal"})
+    return features.mean_max_token_similarity(t, "analyst_findings")
 
 
 # --- peers -----------------------------------------------------------------------------

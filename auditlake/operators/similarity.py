@@ -61,6 +61,11 @@ def max_similarity(sets: DataFrame, group: list[str], bound: float = FIRST_BOUND
     the sets without a near partner; meant for scope-sized groups, the index is quadratic
     in the sets of a group that share a token.
     """
+    return _best_match(sets, group, bound).withColumn("max_similarity", F.round("max_similarity", 6))
+
+
+def _best_match(sets: DataFrame, group: list[str], bound: float = FIRST_BOUND) -> DataFrame:
+    """(group..., id, copies, max_similarity) unrounded."""
     ensure_checkpoint_dir(sets.sparkSession)
     sets = sets.checkpoint()
     near = _exact_pairs(sets, group, bound)
@@ -72,12 +77,12 @@ def max_similarity(sets: DataFrame, group: list[str], bound: float = FIRST_BOUND
     over = x.join(y, [*group, "tok"]).where("a <> b").groupBy(*group, "a", "b", "na", "nb").agg(F.count("*").alias("c"))
     far = over.groupBy(*group, F.col("a").alias("id")).agg(F.max(F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("m"))
     best = near.unionByName(far)
-    return sets.join(best, [*group, "id"], "left").select(*group, "id", "copies", F.round(F.when(F.col("copies") > 1, 1.0).otherwise(F.coalesce("m", F.lit(0.0))), 6).alias("max_similarity"))
+    return sets.join(best, [*group, "id"], "left").select(*group, "id", "copies", F.when(F.col("copies") > 1, 1.0).otherwise(F.coalesce("m", F.lit(0.0))).alias("max_similarity"))
 
 
 def mean_max_similarity(sets: DataFrame, group: list[str]) -> DataFrame:
     """(group..., mean_max_similarity): mean over the records of their best match; 0 with fewer than two records."""
-    m = max_similarity(sets, group).groupBy(*group).agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * F.col("max_similarity")).alias("s"))
+    m = _best_match(sets, group).groupBy(*group).agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * F.col("max_similarity")).alias("s"))
     return m.select(*group, F.when(F.col("n") < 2, 0.0).otherwise(F.round(F.col("s") / F.col("n"), 6)).alias("mean_max_similarity"))
 
 

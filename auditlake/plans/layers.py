@@ -496,7 +496,7 @@ def minhash_pairs(spark: SparkSession, d: str) -> DataFrame:
     return similarity.indexed_pairs(sets, similarity.band_index(sets, ["cse", "period"]), ["cse", "period"], 0.9)
 
 
-@query(SETS.replace("WHERE analyst_findings IS NOT NULL", f"WHERE upper({_TRIMMED.format(c='analyst_findings')}) NOT IN ('','NAN','N/A','NA','NONE','NULL','NIL','-','--','UNKNOWN')") + ", m AS (SELECT cse, period, a AS id, max(j) AS j FROM q GROUP BY ALL), x AS (SELECT s.cse, s.period, s.copies, round(CASE WHEN s.copies > 1 THEN 1.0 ELSE coalesce(m.j, 0.0) END, 6) AS v FROM s LEFT JOIN m ON s.cse = m.cse AND s.period = m.period AND s.id = m.id) SELECT cse AS entity, period, CASE WHEN sum(copies) < 2 THEN 0.0 ELSE round(sum(copies * v) / sum(copies), 6) END AS mean_max_token_similarity FROM x GROUP BY ALL")
+@query(SETS.replace("WHERE analyst_findings IS NOT NULL", f"WHERE upper({_TRIMMED.format(c='analyst_findings')}) NOT IN ('','NAN','N/A','NA','NONE','NULL','NIL','-','--','UNKNOWN')") + ", m AS (SELECT cse, period, a AS id, max(j) AS j FROM q GROUP BY ALL), x AS (SELECT s.cse, s.period, s.copies, CASE WHEN s.copies > 1 THEN 1.0::DOUBLE ELSE coalesce(m.j, 0.0) END AS v FROM s LEFT JOIN m ON s.cse = m.cse AND s.period = m.period AND s.id = m.id) SELECT cse AS entity, period, CASE WHEN sum(copies) < 2 THEN 0.0 ELSE round(sum(copies * v) / sum(copies), 6) END AS mean_max_token_similarity FROM x GROUP BY ALL")
 def fx_similarity(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "dataset_operational_pattern_renamed").where("cse IS NOT NULL AND period IS NOT NULL").withColumnsRenamed({"cse": "entity", "row_id": "row_ordinal"})
     return features.mean_max_token_similarity(t, "analyst_findings")

@@ -346,11 +346,12 @@ class NearDuplicates:
             cand = cand.unionByName(self._candidates(mostly, plain(classes), plain(sampled))).distinct()
         sk = classes.select("cls", "tbl", "ws").mapInArrow(_sketcher, "cls bigint, tbl bigint, n int, sk binary")
         side = lambda x: sk.select(F.col("cls").alias(f"cls_{x}"), F.col("tbl").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("sk").alias(f"s{x}"))
-        met = cand.join(side("a"), "cls_a").join(side("b"), "cls_b").where("ta = tb").select("cls_a", "cls_b", "na", "nb", "sa", "sb")
+        # Written so that the table is no join key: both sides then read one shuffle, partitioned by cls.
+        one_table = F.col("ta").bitwiseXOR(F.col("tb")) == 0
+        met = cand.join(side("a"), "cls_a").join(side("b"), "cls_b").where(one_table).select("cls_a", "cls_b", "na", "nb", "sa", "sb")
         near = met.mapInArrow(_estimator(self.threshold), "cls_a bigint, cls_b bigint, estimate double")
-        # The table is asked for again so that the plan of `classes` stays the same and its shuffle is reused.
         words = lambda x: classes.select(F.col("cls").alias(f"cls_{x}"), F.col("tbl").alias(f"t{x}"), F.col("ws").alias(f"w{x}"))
-        both = near.join(words("a"), "cls_a").join(words("b"), "cls_b").where("ta = tb").withColumn("shared", F.size(F.array_intersect("wa", "wb")))
+        both = near.join(words("a"), "cls_a").join(words("b"), "cls_b").where(one_table).withColumn("shared", F.size(F.array_intersect("wa", "wb")))
         both = both.withColumn("every", F.size("wa") + F.size("wb") - F.col("shared")).where(F.col("shared") * 1000 >= F.col("every") * round(self.threshold * 1000))
         self._links = both.select("cls_a", "cls_b", (F.col("shared") / F.col("every")).alias("jaccard"), "estimate").checkpoint()
         return self._links
@@ -366,8 +367,8 @@ class NearDuplicates:
         side meets every block, so no task expands a whole class with itself.
         """
         members = self.members()
-        size = members.groupBy("cls").agg(F.count("*").alias("n"))
-        several = size.where("n > 1").select("cls", F.col("cls").alias("other"))
+        size = members.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").checkpoint()
+        several = size.select("cls", F.col("cls").alias("other"))
         links = self.links()
         edges = links.select(F.col("cls_a").alias("cls"), F.col("cls_b").alias("other")).unionByName(several)
         large = size.where(F.col("n") > HOT).select(F.col("cls").alias("other"), _blocks(F.col("n")).alias("blocks")).checkpoint()

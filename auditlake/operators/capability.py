@@ -50,6 +50,37 @@ def evaluate(index: DataFrame, scopes: DataFrame, capabilities: list[Capability]
     return have.select("entity", "period", F.explode(F.array(*cells)).alias("c")).select("entity", "period", "c.*")
 
 
+# The capabilities, their primary and supporting concepts (lower case: no concept carries them), least evidence.
+REGISTRY = [
+    Capability("THREAT_DETECTION", ("SECURITY_SEVERITY", "THREAT_CATEGORY", "SECURITY_LABEL"), ("EVENT_TIMESTAMP", "alert_id"), 2, 3),
+    Capability("INVESTIGATION", ("INVESTIGATION_EVIDENCE",), ("root_cause", "evidence", "remediation", "USER_IDENTIFIER", "EVENT_TIMESTAMP"), 1, 2),
+    Capability("ESCALATION", ("ESCALATION_STATUS",), ("SECURITY_SEVERITY", "acknowledged_at"), 1, 1),
+    Capability("INCIDENT_RESPONSE", ("RESOLUTION_TIME",), ("containment", "remediation", "recovery", "EVENT_TIMESTAMP"), 1, 1),
+    Capability("SECURITY_OPERATIONS", ("ASSET_IDENTIFIER",), ("telemetry", "coverage", "criticality", "EVENT_TIMESTAMP"), 1, 3),
+    Capability("GOVERNANCE_OVERSIGHT", ("USER_IDENTIFIER",), ("remediation",), 1, 1),
+    Capability("OPERATIONAL_DISCIPLINE", ("RESOLUTION_TIME", "SECURITY_SEVERITY"), ("INVESTIGATION_EVIDENCE", "EVENT_TIMESTAMP", "ESCALATION_STATUS"), 1, 3),
+    Capability("CYBER_RESILIENCE", ("RESOLUTION_TIME",), ("EVENT_TIMESTAMP", "recovery", "continuity"), 1, 3),
+]
+
+
+def check_registry(capabilities: list[Capability], known: set[str]) -> list[str]:
+    """What is wrong with a list of capabilities: repeated names, unknown concepts, evidence that can never suffice."""
+    wrong = []
+    names = [c.name for c in capabilities]
+    wrong += [f"{n}: repeated" for n in sorted({n for n in names if names.count(n) > 1})]
+    for c in capabilities:
+        wrong += [f"{c.name}: unknown concept {x}" for x in (*c.primary, *c.supporting) if x.isupper() and x not in known]
+        if not c.primary or not 1 <= c.min_primary <= len(c.primary) or not c.min_primary <= c.min_total <= len(c.primary) + len(c.supporting):
+            wrong.append(f"{c.name}: its least evidence cannot be met")
+    return wrong
+
+
+def evaluate_dataset(index: DataFrame, capabilities: list[Capability]) -> DataFrame:
+    """(capability, status, primary_hits, total_hits, coverage) over all scopes together."""
+    whole = index.select(F.lit("*").alias("entity"), F.lit("*").alias("period"), "concept").distinct()
+    return evaluate(whole, index.sparkSession.createDataFrame([("*", "*")], "entity string, period string"), capabilities).drop("entity", "period")
+
+
 def summary(evaluated: DataFrame) -> DataFrame:
     """Scopes per capability and status."""
     return evaluated.groupBy("capability").agg(*[F.count_if(F.col("status") == s).alias(s.lower()) for s in (AVAILABLE, INSUFFICIENT, NOT_ASSESSED)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from typing import Any
 
@@ -52,6 +52,18 @@ def project(df: DataFrame, columns: Sequence[str], order: str, limit: int = 100,
     return where(df, filters).select(order, *[c for c in columns if c != order]).orderBy(order).offset(offset).limit(limit)
 
 
+def batches(df: DataFrame, columns: Sequence[str], order: str, size: int = 1000, filters: Sequence[Filter] = ()) -> Iterator[list[dict]]:
+    """Rows in record order as lists of `size` dicts, one partition on the driver at a time."""
+    part: list[dict] = []
+    for row in where(df, filters).select(order, *[c for c in columns if c != order]).orderBy(order).toLocalIterator(prefetchPartitions=True):
+        part.append(row.asDict())
+        if len(part) == size:
+            yield part
+            part = []
+    if part:
+        yield part
+
+
 def scope_filter(df: DataFrame, entity: str | None = None, period: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """Rows of an entity and period, optionally between two ISO dates (nulls excluded)."""
     c = F.lit(True)

@@ -100,7 +100,7 @@ def guarded(p: Pattern, column: str) -> str | None:
     low = column.lower()
     if low.endswith("_by") and p.kind == "timestamp":
         return "names an actor, not a time"
-    if p.concept == "RESOLUTION_TIME" and low in ("closed_by", "created", "opened"):
+    if p.concept == "RESOLUTION_TIME" and any(x in low for x in ("closed_by", "created", "opened")):
         return "is not a resolution time"
     return None
 
@@ -161,6 +161,20 @@ def override(decisions: list[Decision], wanted: dict[str, str], patterns: list[P
     return collide(list(out.values())), rejected
 
 
+def id_field(decisions: list[Decision], *concepts: str) -> str | None:
+    """The first applied column of the concepts, in the order the concepts are named."""
+    return next((d.column for c in concepts for d in decisions if d.applied and d.concept == c), None)
+
+
+def ranked_options(row: dict, patterns: list[Pattern] = PATTERNS, limit: int = 8) -> list[tuple[str, float]]:
+    """Concepts a reviewer may choose for a column: its candidates, then those that share name tokens with it, at most `limit` of these."""
+    listed = [(p.concept, s) for p, s in candidates(row, patterns)]
+    own = set(re.findall("[a-z0-9]+", row["column_name"].lower()))
+    shared = [(p.concept, len(own & set(re.findall("[a-z0-9]+", " ".join((p.concept, *p.keywords)).lower())))) for p in patterns if p.concept not in {c for c, _ in listed}]
+    fallback = sorted([x for x in shared if x[1]], key=lambda x: (-x[1], x[0]))[:limit]
+    return listed + [(c, 0.0) for c, _ in fallback]
+
+
 def role(decisions: list[Decision]) -> tuple[str, float]:
     """Dataset role and score from the applied concepts."""
     have = {d.concept for d in decisions if d.applied}
@@ -189,18 +203,21 @@ def project(df, decisions: list[Decision]):
     return df.select(*[F.col(d.column).alias(d.concept) for d in decisions if d.applied])
 
 
-def canonical(df, decisions: list[Decision]):
-    """Applied columns as nested sections; a section's notes set its availability flag."""
+def canonical(df, decisions: list[Decision], keep: tuple[str, ...] = ()):
+    """Applied columns of sufficient confidence as nested sections, beside the columns to keep.
+
+    Values no record may carry become NULL; a section's notes set its availability flag.
+    """
     from pyspark.sql import functions as F
 
     from auditlake.columns import is_mappable
 
     sections = defaultdict(list)
     for d in decisions:
-        if d.applied:
+        if d.applied and d.confidence >= LEAST:
             section, leaf = d.path.split(".")
             value = F.when(is_mappable(d.column), F.col(d.column))
             sections[section].append(value.alias(leaf))
             if leaf == "notes":
                 sections[section].append(value.isNotNull().alias("available"))
-    return df.select(*[F.struct(*cols).alias(s) for s, cols in sorted(sections.items())])
+    return df.select(*keep, *[F.struct(*cols).alias(s) for s, cols in sorted(sections.items())])

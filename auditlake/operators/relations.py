@@ -40,6 +40,22 @@ def orphan_events(events: DataFrame, case_ids: DataFrame) -> DataFrame:
     return events.join(case_ids, "case_id", "left_anti")
 
 
+def with_cases(alerts: DataFrame, cases: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Alerts with what their cases say; an alert without a case stays, one with several comes once per case."""
+    return alerts.join(cases.select(key, *columns), key, "left")
+
+
+def with_asset(records: DataFrame, assets: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Records with their asset's columns; repeated asset rows count once (greatest values)."""
+    one = assets.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.max(c).alias(c) for c in columns])
+    return records.join(one, key, "left")
+
+
+def flag_members(df: DataFrame, members: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds whether a row's key is among the members' keys."""
+    return df.join(members.select(key).where(F.col(key).isNotNull()).distinct().withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def summary(alerts: DataFrame, cases: DataFrame, alert_col: str = "alert_id", case_col: str = "case_id", link_col: str = "alert_id") -> DataFrame:
     """(fact, n): distinct alerts and cases, linked, orphan and unmatched, rows with a case but no alert key."""
     a = keys(alerts, alert_col, "alert_id").withColumn("known", F.lit(True))

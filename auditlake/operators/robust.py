@@ -7,6 +7,8 @@ one aggregation over that frame, plus a second for the deviation from the median
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,34 @@ def peers(metrics: DataFrame, on: list[str], key: str = "entity") -> DataFrame:
 
 def summaries(metrics: DataFrame, on: list[str] | None = None) -> DataFrame:
     """One row per target with all robust statistics; below 3 peers none, below 8 limited."""
-    on = on or ["period"]
-    frame = peers(metrics, on).select("entity", "period", "rate", "peer_rate")
+    return _summarise(peers(metrics, on or ["period"]).select("entity", "period", "rate", "peer_rate"))
+
+
+def tier_summaries(metrics: DataFrame, tiers: list[list[str]]) -> DataFrame:
+    """As `summaries`, each target against the peers of its own cohort: the first tier in which it has any. Adds `tier`."""
+    chosen = cohort_tiers(metrics, tiers).select("entity", "period", "tier")
+    keys = [F.when(reduce(lambda a, b: a & b, [F.col(a).isNotNull() for a in attrs]), F.struct(F.lit(i).cast("bigint").alias("tier"), F.to_json(F.array(*[F.col(a).cast("string") for a in attrs])).alias("cohort"))) for i, attrs in enumerate(tiers, 1)]
+    # Every member stands in its cohort of each tier; a target looks only into that of its own tier.
+    members = metrics.where("rate IS NOT NULL").select(F.col("entity").alias("peer"), F.col("rate").alias("peer_rate"), F.explode(F.array_compact(F.array(*keys))).alias("c")).select("peer", "peer_rate", "c.*")
+    targets = metrics.join(chosen, ["entity", "period"]).select("entity", "period", "rate", "tier", F.element_at(F.array(*keys), F.col("tier").cast("int"))["cohort"].alias("cohort"))
+    frame = targets.join(members, ["tier", "cohort"]).where("entity <> peer").select("entity", "period", "rate", "peer_rate")
+    return _summarise(frame).join(chosen, ["entity", "period"])
+
+
+def concept_evidence(index: DataFrame, declared: list[str]) -> DataFrame:
+    """(entity, period, evidenced, unresolved): declared concepts a scope has evidence of, and those it has not."""
+    have = index.groupBy("entity", "period").agg(F.collect_set("concept").alias("have"))
+    want = F.array(*map(F.lit, declared))
+    listed = lambda c: F.array_join(F.array_sort(c), ",")
+    return have.select("entity", "period", listed(F.array_intersect(want, "have")).alias("evidenced"), listed(F.array_except(want, F.col("have"))).alias("unresolved"))
+
+
+def with_attributes(metrics: DataFrame, attributes: DataFrame, names: list[str]) -> DataFrame:
+    """Metrics with the stated attributes of their entity; attributes are configuration, never inferred."""
+    return metrics.join(attributes.select("entity", *names), "entity", "left")
+
+
+def _summarise(frame: DataFrame) -> DataFrame:
     g = frame.groupBy("entity", "period", "rate").agg(
         F.count("*").alias("peers"), F.percentile("peer_rate", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min("peer_rate").alias("lo"), F.max("peer_rate").alias("hi"),
         F.count_if(F.col("peer_rate") < F.col("rate")).alias("below"), F.count_if(F.col("peer_rate") == F.col("rate")).alias("equal"),

@@ -22,6 +22,23 @@ def entity_key(*candidates: str) -> Column:
     return F.coalesce(*[F.when(is_populated(c), strip(c)) for c in candidates], F.lit(UNKNOWN_ENTITY))
 
 
+# Field names that name an entity outright, its part, or only an asset, in this order, with their confidence.
+LEGACY = [(("entity_id", "entity", "organization", "organisation", "company", "cse_id", "tenant", "customer"), 1.0), (("department", "division", "business_unit", "region"), 0.7), (("asset_identifier", "host", "hostname", "device"), 0.3)]
+
+
+def legacy_entity(df: DataFrame) -> Column:
+    """struct(entity, confidence, source) from the field names of a record without mapping; the first that holds a value."""
+    names = {c.lower(): c for c in reversed(df.columns)}
+    found = [F.when(F.coalesce(F.col(names[f]).cast("string"), F.lit("")) != "", F.struct(F.col(names[f]).cast("string").alias("entity"), F.lit(conf).alias("confidence"), F.lit(f).alias("source"))) for fields, conf in LEGACY for f in fields if f in names]
+    return F.coalesce(*found, F.struct(F.lit(UNKNOWN_ENTITY).alias("entity"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("source")))
+
+
+def timestamp_pool(decisions: list) -> list[str]:
+    """Columns a period may be derived from: mapped to a time, by confidence then name."""
+    kinds = {"EVENT_TIMESTAMP", "TRIGGERED_AT", "ACKNOWLEDGED_AT", "CLOSED_AT", "WORKFLOW_EVENT_AT"}
+    return [d.column for d in sorted((d for d in decisions if d.concept in kinds and d.confidence >= 0.45), key=lambda d: (-d.confidence, d.column))]
+
+
 def with_period(df: DataFrame, label: str | None, timestamp: str | None = None, granularity: str = "range") -> DataFrame:
     """Adds `period`: explicit, inherited or derived."""
     explicit = F.when(is_populated(label), strip(label)) if label else F.lit(None).cast("string")

@@ -63,6 +63,38 @@ def comparable(summaries: DataFrame) -> DataFrame:
     return summaries.where("modified_z IS NOT NULL AND baseline <> 'UNAVAILABLE'")
 
 
+def filter_findings(findings: DataFrame, family: str | None = None, status: str | None = None, text: str | None = None) -> DataFrame:
+    """Findings of a family and status whose indicator, evidence or entity contains a text in any letter case."""
+    c = F.lit(True)
+    c = c & (F.col("family") == family) if family else c
+    c = c & (F.col("status") == status) if status else c
+    c = c & F.contains(F.lower(F.concat_ws(" ", "indicator", "evidence", "entity")), F.lit(text.lower())) if text else c
+    return findings.where(c)
+
+
+def by_priority(rows: DataFrame, score: str, priority: str, left_out: str = "ROUTINE") -> DataFrame:
+    """Rows by score, highest first, without those of the lowest priority."""
+    return rows.where(F.col(priority) != left_out).orderBy(F.desc(score))
+
+
+def report_rows(parts: dict[str, DataFrame], key: str = "entity") -> DataFrame:
+    """Everything known of an entity in one row: the first part's entities, the others joined by the key itself, columns under their part's name."""
+    out = None
+    for name, df in parts.items():
+        p = df.select(key, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != key])
+        out = p if out is None else out.join(p, key, "left")
+    return out
+
+
+def available_features(scored: DataFrame, features: list[str]) -> DataFrame:
+    """(entity, period, available): how many features a scope has."""
+    return scored.select(*KEYS, sum((F.col(f).isNotNull().cast("int") for f in features), F.lit(0)).alias("available"))
+
+
+def band_counts(rows: DataFrame, band: str) -> DataFrame:
+    return rows.groupBy(band).agg(F.count("*").alias("n"))
+
+
 def review_samples(findings: DataFrame, family_order: list[str], limit: int = 8) -> DataFrame:
     """The findings to read first: with a record, families in order, records named by several findings first (a top-k report)."""
     rank = F.lit(len(family_order))

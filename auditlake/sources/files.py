@@ -29,7 +29,7 @@ def register(kind: str, loader: Callable[..., DataFrame]) -> None:
 
 
 def head(path: str, size: int = HEAD) -> bytes:
-    p = Path(path)
+    p = Path(path.removeprefix("file://").removeprefix("file:"))
     if p.is_dir():
         p = next(iter(sorted(x for x in p.rglob("*") if x.is_file() and not x.name.startswith(("_", ".")))))
     with open(p, "rb") as f:
@@ -70,11 +70,13 @@ def separator(path: str) -> str:
     return "\t" if path.lower().endswith(".tsv") or (b"\t" in first and b"," not in first) else ","
 
 
-def read_csv(spark: SparkSession, path: str, raw: bool = False, sep: str | None = None, malformed: str = "PERMISSIVE") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, raw: bool = False, sep: str | None = None, malformed: str = "PERMISSIVE", multiline: bool | None = None) -> DataFrame:
     """Delimited text with a header; `raw` keeps every column as text."""
     e = encoding(path)
-    r = spark.read.option("header", True).option("sep", sep or separator(path)).option("encoding", "utf-8" if e == "utf-8" else "ISO-8859-1").option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", malformed)
-    df = r.option("inferSchema", not raw).csv(path)
+    r = spark.read.option("header", True).option("sep", sep or separator(path)).option("encoding", "utf-8" if e == "utf-8" else "ISO-8859-1").option("quote", '"').option("escape", '"').option("mode", malformed)
+    # A file is split over tasks unless records may span lines; pass `multiline` where only later records do.
+    multi = quoted_line_ends(path) if multiline is None else multiline
+    df = r.option("multiLine", multi).option("inferSchema", not raw).csv(path)
     return _from_latin(df) if e == "cp1252" else df
 
 
@@ -99,16 +101,48 @@ def read_json(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
 
 
 def normalise(df: DataFrame) -> DataFrame:
-    """Blank texts and NaN to NULL, everywhere at the top level."""
-    out = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.StringType):
-            c = F.when(strip(c) != "", c)
-        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.when(~F.isnan(c), c)
-        out.append(c.alias(f.name))
-    return df.select(*out)
+    """Blank texts and NaN to NULL, at every depth of structs and arrays."""
+    return df.select(*[_clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def _clean(c, kind: T.DataType):
+    if isinstance(kind, T.StringType):
+        return F.when(strip(c) != "", c)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c), c)
+    if isinstance(kind, T.StructType) and kind.fields:
+        return F.when(c.isNotNull(), F.struct(*[_clean(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _clean(x, kind.elementType))
+    return c
+
+
+def open_pair(spark: SparkSession, path: str, kind: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """The typed and the all-text view of one source."""
+    kind = kind or detect(path)
+    typed = load(spark, path, kind, **options)
+    if kind in ("csv", "json", "ndjson"):
+        return typed, load(spark, path, kind, raw=True, **options)
+    return typed, typed.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in typed.columns])
+
+
+def check_fields(path: str, sep: str | None = None) -> None:
+    """An error where the first record has another number of fields than the header (small heads only)."""
+    import csv
+    import io
+
+    data = head(path)
+    if len(data) == HEAD:
+        return
+    rows = list(csv.reader(io.StringIO(data.decode(encoding(path), "replace")), delimiter=sep or separator(path)))
+    if len(rows) > 1 and rows[1] and len(rows[0]) != len(rows[1]):
+        raise ValueError(f"the header has {len(rows[0])} fields, the first record {len(rows[1])}")
+
+
+def quoted_line_ends(path: str) -> bool:
+    """Whether the head of a file shows a line end inside quotes."""
+    data = head(path)
+    return any(part.count(b'"') % 2 for part in data.split(b"\n")[:-1]) if b'"' in data else False
 
 
 def with_ordinal(df: DataFrame, name: str = "row_ordinal") -> DataFrame:

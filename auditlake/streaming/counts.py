@@ -18,3 +18,19 @@ def run_to_end(counts: DataFrame, name: str, checkpoint: str) -> DataFrame:
     q = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return counts.sparkSession.table(name)
+
+
+def run_to_files(counts: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Process what is there in update mode, each batch into a folder of its own, and return the latest count of every window.
+
+    A batch that is run again after a failure overwrites its own folder, so counts stay
+    exact; nothing is held on the driver.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    q = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    keys = [c for c in counts.columns if c != "n"]
+    return counts.sparkSession.read.option("basePath", path).parquet(path).groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))

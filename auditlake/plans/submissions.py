@@ -151,6 +151,52 @@ v AS (SELECT line_id, trim(CASE WHEN starts_with(f[1], '"') THEN replace(substr(
 SELECT line_id, CASE WHEN bad THEN 'quoting' ELSE 'column_count' END AS reason FROM t WHERE bad OR n <> 9
 UNION ALL SELECT line_id, CASE WHEN NOT regexp_full_match(a, 'TST-[0-9]{9}') THEN 'alert_id' ELSE 'closed_time' END FROM v WHERE NOT regexp_full_match(a, 'TST-[0-9]{9}') OR NOT (c = '' OR coalesce(CASE WHEN regexp_full_match(c, '[0-9]+') THEN TRY_CAST(c AS HUGEINT) BETWEEN 0 AND 525600 END, false))"""
 
+_U = "CASE WHEN starts_with({f}, '\"') THEN replace(substr({f}, 2, len({f}) - 2), '\"\"', '\"') ELSE {f} END"
+_P6_LOADED = _P6.split("SELECT line_id, CASE WHEN bad THEN")[0].replace("SELECT *, regexp_extract_all(s", "SELECT t.*, l.cse, regexp_extract_all(s").replace("FROM t WHERE NOT bad AND n = 9", "FROM t JOIN test_lines l USING (line_id) WHERE NOT bad AND n = 9") + (
+    f", o AS (SELECT f.* FROM f JOIN v USING (line_id) WHERE regexp_full_match(a, 'TST-[0-9]{{9}}') AND (c = '' OR coalesce(CASE WHEN regexp_full_match(c, '[0-9]+') THEN TRY_CAST(c AS HUGEINT) BETWEEN 0 AND 525600 END, false))) "
+    f"SELECT line_id, cse, trim({_U.format(f='f[1]')}, ' ') AS alert_id, TRY_CAST(trim({_U.format(f='f[5]')}, ' ') AS INTEGER) AS closed_minutes, "
+    + ", ".join(f"{_U.format(f=f'f[{i}]')} AS {n}" for i, n in ((2, "priority"), (3, "host"), (4, "created_time"), (6, "closed_by"), (7, "investigation_notes"), (8, "random_field"), (9, "department")))
+    + " FROM o"
+)
+
+# Every notation as one pattern with named parts; instants through the zone database of the SQL engine.
+_TAIL = r"(?:,? (\d\d?):(\d\d)(?::(\d\d)(?:[.,](\d{1,12}))?)?(?: ?([AaPp][Mm]))?"
+_ZONED = r"(?: ([Zz]|[+-]\d\d:?\d\d|[A-Za-z]{2,5}))?"
+_WRITTEN = {
+    "iso": (r"(\d{4})-(\d\d)-(\d\d)(?:[Tt ](\d\d?):(\d\d)(?::(\d\d)(?:[.,](\d{1,12}))?)? ?([Zz]|[+-]\d\d(?::?\d\d)?|[A-Za-z]{2,5})?(?:\[[\w/+\-]+\])?)?", "y,mo,d,h,mi,s,f,z"),
+    "basic": (r"(\d{4})(\d\d)(\d\d)[Tt](\d\d)(\d\d)(\d\d)?([Zz])?", "y,mo,d,h,mi,s,z"),
+    "digits14": (r"(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)", "y,mo,d,h,mi,s"),
+    "slash": (r"(\d\d?)/(\d\d?)/(\d{4})" + _TAIL + ")?", "a,b,y,h,mi,s,f,ap"),
+    "dotted": (r"(\d\d?)\.(\d\d?)\.(\d{4})" + _TAIL + ")?", "d,mo,y,h,mi,s,f,ap"),
+    "day_first": (r"(?:[A-Za-z]{3,9}, )?(\d\d?) ([A-Za-z]{3,9}) (\d{4})" + _TAIL + _ZONED + ")?", "d,mn,y,h,mi,s,f,ap,z"),
+    "month_first": (r"(?:[A-Za-z]{3,9}, )?([A-Za-z]{3,9}) (\d\d?),? (\d{4})" + _TAIL + _ZONED + ")?", "mn,d,y,h,mi,s,f,ap,z"),
+}
+_PARTS = ["y", "mo", "d", "h", "mi", "s", "f", "z", "ap", "a", "b", "mn"]
+
+
+def _reading(pattern: str, names: str) -> str:
+    have = names.split(",")
+    struct = "{" + ", ".join(f"{p}: {f'g.{p}' if p in have else chr(39) * 2}" for p in _PARTS) + "}"
+    return f"WHEN regexp_full_match(t, '{pattern}') THEN (SELECT {struct} FROM (SELECT regexp_extract(t, '^{pattern}$', [{', '.join(repr(n) for n in have)}]) AS g))"
+
+
+_TIMES = (
+    _P6_LOADED.replace("WITH b AS", "WITH w AS (WITH b AS", 1)
+    + "), v0 AS (SELECT 'dataset_capability_rich' AS table_name, row_id AS record_id, cse, 'created_time' AS column_name, created_time AS raw FROM dataset_capability_rich UNION ALL SELECT 'dataset_capability_rich', row_id, cse, 'closed_time', closed_time FROM dataset_capability_rich UNION ALL SELECT 'test_lines', line_id, cse, 'created_time', created_time FROM w), "
+    + rf"v AS (SELECT v0.*, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS t, time_zone AS tz, date_order FROM v0 LEFT JOIN cse_entities ON cse = cse_id WHERE raw IS NOT NULL AND lower(regexp_replace(raw, '^\s+|\s+$', '', 'g')) NOT IN ('','n/a','-','--','none','null','nan')), "
+    + "g AS (SELECT *, CASE " + " ".join(_reading(*x) for x in _WRITTEN.values()) + " END AS p FROM v), "
+    + r"n AS (SELECT table_name, record_id, column_name, raw, t, tz, p, TRY_CAST(p.y AS INTEGER) AS y, CASE WHEN p.a <> '' THEN TRY_CAST(CASE date_order WHEN 'MDY' THEN p.a WHEN 'DMY' THEN p.b END AS INTEGER) WHEN p.mn <> '' THEN list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], left(lower(p.mn), 3)) ELSE TRY_CAST(p.mo AS INTEGER) END AS mo, CASE WHEN p.a <> '' THEN TRY_CAST(CASE date_order WHEN 'MDY' THEN p.b WHEN 'DMY' THEN p.a END AS INTEGER) ELSE TRY_CAST(p.d AS INTEGER) END AS d, coalesce(TRY_CAST(p.h AS INTEGER), 0) AS h0, coalesce(TRY_CAST(p.mi AS INTEGER), 0) AS mi, coalesce(TRY_CAST(p.s AS INTEGER), 0) AS s, CAST(rpad(left(coalesce(p.f, ''), 6), 6, '0') AS BIGINT) AS us, lower(coalesce(p.ap, '')) AS ap, upper(coalesce(p.z, '')) AS z FROM g), "
+    + "m AS (SELECT *, CASE ap WHEN '' THEN h0 WHEN 'pm' THEN h0 % 12 + 12 ELSE h0 % 12 END AS h, p IS NOT NULL AND mi < 60 AND s < 60 AND (ap = '' OR h0 BETWEEN 1 AND 12) AND h0 < 24 AS fits FROM n), "
+    + "l AS (SELECT *, CASE WHEN fits THEN try_strptime(lpad(CAST(y AS VARCHAR), 4, '0') || '-' || lpad(CAST(mo AS VARCHAR), 2, '0') || '-' || lpad(CAST(d AS VARCHAR), 2, '0'), '%Y-%m-%d') + to_hours(h) + to_minutes(mi) + to_seconds(s) + to_microseconds(us) END AS local FROM m), "
+    + "u AS (SELECT *, CASE z WHEN 'CET' THEN 60 WHEN 'CEST' THEN 120 WHEN 'EST' THEN -300 WHEN 'EDT' THEN -240 WHEN 'IST' THEN 330 WHEN 'AEST' THEN 600 WHEN 'AEDT' THEN 660 WHEN 'GMT' THEN 0 WHEN 'BST' THEN 60 WHEN 'UTC' THEN 0 END AS off, CASE WHEN tz IS NOT NULL THEN timezone(tz, local) END AS i FROM l), "
+    + r"o AS (SELECT table_name, record_id, column_name, raw, t, CASE WHEN regexp_full_match(t, '\d{10}') THEN CAST(make_timestamp(CAST(t AS BIGINT) * 1000000) AS TIMESTAMP) WHEN regexp_full_match(t, '\d{13}') THEN make_timestamp(CAST(t AS BIGINT) * 1000) WHEN local IS NULL THEN NULL WHEN z = 'Z' THEN local WHEN z ~ '^[+-]' THEN local - to_minutes((CASE WHEN z[1] = '-' THEN -1 ELSE 1 END) * (CAST(substr(z, 2, 2) AS INTEGER) * 60 + CASE WHEN length(z) > 3 THEN CAST(right(z, 2) AS INTEGER) ELSE 0 END)) WHEN tz IS NULL OR (z = '' AND timezone(tz, i) <> local) THEN NULL WHEN z <> '' THEN local - to_minutes(off) ELSE timezone('UTC', i) END AS utc, "
+    + "CASE WHEN local IS NULL OR z = 'Z' OR z ~ '^[+-]' OR tz IS NULL THEN NULL WHEN timezone(tz, i) <> local THEN 'nonexistent' WHEN z = '' AND (timezone(tz, i + INTERVAL 1 HOUR) = local OR timezone(tz, i - INTERVAL 1 HOUR) = local) THEN 'ambiguous' END AS why FROM u), "
+    + "c AS (SELECT table_name, record_id, utc, why FROM o WHERE column_name = 'created_time'), "
+    + r"r AS (SELECT o.table_name, o.record_id, o.column_name, o.raw, CASE WHEN o.column_name = 'closed_time' AND regexp_full_match(o.t, '\d{1,4}') THEN coalesce(c.why, strftime(c.utc + to_hours(CAST(o.t AS INTEGER)), '%Y-%m-%dT%H:%M:%S.%fZ'), 'unreadable') ELSE coalesce(o.why, strftime(o.utc, '%Y-%m-%dT%H:%M:%S.%fZ'), 'unreadable') END AS utc_text FROM o LEFT JOIN c ON o.column_name = 'closed_time' AND c.table_name = o.table_name AND c.record_id = o.record_id)"
+)
+_P3 = _TIMES + r" SELECT table_name, record_id, column_name, utc_text FROM r WHERE NOT (regexp_full_match(raw, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z') AND utc_text <> 'unreadable')"
+_P3_OUTCOMES = _TIMES + " SELECT table_name, column_name, CASE WHEN utc_text IN ('ambiguous', 'nonexistent', 'unreadable') THEN utc_text ELSE 'instant' END AS outcome, count(*) AS n_values FROM r GROUP BY ALL"
+
 _P7_REPORT = _P7 + " SELECT o.table_name, o.period, reason, count(*) AS orphans, any_value(c.n) AS checked_references FROM o JOIN (SELECT table_name, period, count(*) AS n FROM k GROUP BY ALL) c ON c.table_name = o.table_name AND c.period IS NOT DISTINCT FROM o.period WHERE reason IS NOT NULL GROUP BY ALL"
 _REPORT = "feed_id, load_no, column_name, s.n AS n_rows, s.p AS n_present, round(1 - s.p / s.n, 6) AS null_rate, d AS n_distinct, lo AS min_value, hi AS max_value, o AS n_off_form, top_mask, top_share, n_rare_masks, rare_mask_rows, divergence, coalesce(changes, '') AS changes"
 _P2_MASKS = _p2_sql(WATCHED, False, _REPORT.replace("lo AS min_value, hi AS max_value, ", ""))
@@ -160,4 +206,4 @@ _P2_COLUMNS = _p2_sql(_ALL, True, "feed_id, load_no, s.n AS n_rows, column_name,
 _P4_HEADERS = """WITH k AS (SELECT file_id, record, unnest(json_keys(record)) AS name FROM submission_rows WHERE json_valid(record)), v AS (SELECT file_id, name, json_type(json_extract(record, '$."' || name || '"')) AS t FROM k),
 g AS (SELECT file_id, name, list_distinct(list(CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'number' END)) AS ts FROM v GROUP BY ALL)
 SELECT file_id, name, CASE len(ts) WHEN 0 THEN NULL WHEN 1 THEN ts[1] ELSE 'string' END AS type FROM g"""
-ORACLE = {"p2_found": _P2, "p2_masks": _P2_MASKS, "p2_profile": _P2_PROFILE, "p2_rare": _P2_RARE, "p2_columns": _P2_COLUMNS, "p4_headers": _P4_HEADERS, "p6_found": _P6, "p7_found": _P7 + " SELECT table_name, row_id, reason FROM o WHERE reason IS NOT NULL", "p7_report": _P7_REPORT}
+ORACLE = {"p2_found": _P2, "p2_masks": _P2_MASKS, "p2_profile": _P2_PROFILE, "p2_rare": _P2_RARE, "p2_columns": _P2_COLUMNS, "p4_headers": _P4_HEADERS, "p3_found": _P3, "p3_outcomes": _P3_OUTCOMES, "p6_found": _P6, "p6_loaded": _P6_LOADED, "p7_found": _P7 + " SELECT table_name, row_id, reason FROM o WHERE reason IS NOT NULL", "p7_report": _P7_REPORT}

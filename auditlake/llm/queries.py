@@ -95,4 +95,11 @@ a AS (SELECT column_name, v, cut, item_id, ws, k, sum(s) AS s FROM hi GROUP BY A
 f AS (SELECT column_name, v, item_id, greatest(a.s, b.s) AS slips, cut FROM a JOIN b USING (column_name, v, cut, item_id, ws)),
 m AS (SELECT column_name, v, item_id, row_number() OVER (PARTITION BY column_name, v ORDER BY slips, cut, item_id) AS o FROM (SELECT * FROM e UNION ALL SELECT * FROM f))
 SELECT row_id, r.column_name, coalesce(item_id, 'none') AS item_id FROM r LEFT JOIN m ON m.column_name = r.column_name AND m.v = r.v AND m.o = 1"""
-ORACLE = {"p1_found": _P1, "p5_found": _P5}
+_P5_UNMATCHED = _P5.replace("SELECT row_id, r.column_name, coalesce(item_id, 'none') AS item_id FROM r", "SELECT r.column_name, r.v AS value, count(*) AS n_rows FROM r") + " WHERE item_id IS NULL GROUP BY ALL"
+
+# Looks by other means: composed form, format characters and kinds of space by their classes, letters by the list above.
+_LOOK = rf"""WITH n AS (SELECT doc_id, text, nfc_normalize(translate(regexp_replace(regexp_replace(nfc_normalize(text), '[\p{{Cf}}\x{{FE00}}-\x{{FE0F}}\x{{034F}}]', '', 'g'), '\p{{Zs}}', ' ', 'g'), '{_LIKE}‐‑․µ', '{_AS}--.μ')) AS look FROM documents WHERE text IS NOT NULL),
+v AS (SELECT * FROM n WHERE regexp_matches(look, '[^\s\x00-\x1f\x7f-\x9f]'))"""
+_P10 = _LOOK + " SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM v a JOIN v b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text"
+_P10_CLASSES = _LOOK + ", g AS (SELECT look, min(doc_id) AS class_id, count(DISTINCT text) AS texts FROM v GROUP BY 1 HAVING count(DISTINCT text) > 1) SELECT doc_id, class_id, texts FROM v JOIN g USING (look)"
+ORACLE = {"p1_found": _P1, "p5_found": _P5, "p5_unmatched": _P5_UNMATCHED, "p10_found": _P10, "p10_classes": _P10_CLASSES}

@@ -206,4 +206,31 @@ _P2_COLUMNS = _p2_sql(_ALL, True, "feed_id, load_no, s.n AS n_rows, column_name,
 _P4_HEADERS = """WITH k AS (SELECT file_id, record, unnest(json_keys(record)) AS name FROM submission_rows WHERE json_valid(record)), v AS (SELECT file_id, name, json_type(json_extract(record, '$."' || name || '"')) AS t FROM k),
 g AS (SELECT file_id, name, list_distinct(list(CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'number' END)) AS ts FROM v GROUP BY ALL)
 SELECT file_id, name, CASE len(ts) WHEN 0 THEN NULL WHEN 1 THEN ts[1] ELSE 'string' END AS type FROM g"""
-ORACLE = {"p2_found": _P2, "p2_masks": _P2_MASKS, "p2_profile": _P2_PROFILE, "p2_rare": _P2_RARE, "p2_columns": _P2_COLUMNS, "p4_headers": _P4_HEADERS, "p3_found": _P3, "p3_outcomes": _P3_OUTCOMES, "p6_found": _P6, "p6_loaded": _P6_LOADED, "p7_found": _P7 + " SELECT table_name, row_id, reason FROM o WHERE reason IS NOT NULL", "p7_report": _P7_REPORT}
+_TEXT_KIND = r"CASE WHEN {s} IS NULL THEN NULL WHEN regexp_matches({s}, '^\d{{4}}-\d\d-\d\d([T ]|$)') THEN 'time' WHEN len(regexp_split_to_array(trim({s}), '\s+')) >= 5 THEN 'prose' WHEN regexp_full_match({s}, '[0-9]+') THEN 'digits' WHEN regexp_matches({s}, '[0-9]') THEN 'code:' || regexp_replace(regexp_replace(regexp_replace({s}, '[A-Z]+', 'A', 'g'), '[a-z]+', 'a', 'g'), '[0-9]', '9', 'g') ELSE 'label' END"
+_P4 = rf"""WITH k AS (SELECT file_id, record, unnest(json_keys(record)) AS name FROM submission_rows WHERE json_valid(record)), v AS (SELECT file_id, name, json_extract(record, '$."' || name || '"') AS v FROM k),
+t AS (SELECT *, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'number' END AS t, CASE WHEN json_type(v) = 'VARCHAR' THEN v->>'$' END AS s, CASE WHEN json_type(v) IN ('BIGINT','UBIGINT','DOUBLE') THEN CAST(v AS DOUBLE) END AS d, CASE WHEN json_type(v) = 'ARRAY' THEN v->>'$[0]' END AS e FROM v),
+c AS (SELECT *, CASE t WHEN 'string' THEN {_TEXT_KIND.format(s="s")} WHEN 'number' THEN CASE WHEN d = floor(d) THEN 'int:' ELSE 'frac:' END || CASE WHEN d = 0 THEN '0' ELSE CAST(CAST(floor(log10(abs(d))) AS BIGINT) AS VARCHAR) END WHEN 'boolean' THEN 'boolean' WHEN 'array' THEN 'array:' || coalesce({_TEXT_KIND.format(s="e")}, 'other') WHEN 'object' THEN 'object:' || array_to_string(list_sort(json_keys(v)), ',') END AS kind FROM t),
+q AS (SELECT file_id, name, kind, count(*) AS n, min(d) AS lo, max(d) AS hi, list(DISTINCT t) AS ts, list(DISTINCT CASE WHEN kind = 'label' THEN lower(s) END) AS labels FROM c GROUP BY ALL),
+f AS (SELECT file_id, name, first(kind ORDER BY n DESC, kind DESC) FILTER (WHERE kind IS NOT NULL) AS kind, min(lo) AS lo, max(hi) AS hi, list_distinct(flatten(list(ts))) AS ts, list_distinct(flatten(list(labels))) AS labels FROM q GROUP BY ALL),
+s AS (SELECT file_id, name, kind, lo, hi, CASE len(ts) WHEN 0 THEN NULL WHEN 1 THEN ts[1] ELSE 'string' END AS t, labels FROM f),
+w AS (SELECT * FROM (SELECT file_id, lag(file_id) OVER (PARTITION BY stream_id ORDER BY seq_no, file_id) AS prev FROM submission_files WHERE file_id IS NOT NULL AND stream_id IS NOT NULL AND seq_no IS NOT NULL) WHERE prev IS NOT NULL),
+o AS (SELECT w.file_id, s.* EXCLUDE (file_id) FROM w JOIN s ON s.file_id = w.prev), n AS (SELECT w.file_id, s.* EXCLUDE (file_id) FROM w JOIN s ON s.file_id = w.file_id),
+g AS (SELECT o.* FROM o ANTI JOIN n ON o.file_id = n.file_id AND o.name = n.name), a AS (SELECT n.* FROM n ANTI JOIN o ON o.file_id = n.file_id AND o.name = n.name),
+x AS (SELECT g.file_id, g.name AS old_name, a.name AS new_name, CASE WHEN g.t IS NULL OR a.t IS NULL OR g.t <> a.t THEN 0 WHEN g.kind = 'label' AND a.kind = 'label' THEN coalesce(len(list_intersect(g.labels, a.labels)) / least(len(g.labels), len(a.labels)), 0)
+ WHEN g.t = 'number' THEN CASE WHEN left(g.kind, 3) = left(a.kind, 3) AND abs(log10(abs(g.lo) + abs(g.hi) + 1) - log10(abs(a.lo) + abs(a.hi) + 1)) <= 0.25 THEN 1 - abs(log10(abs(g.lo) + abs(g.hi) + 1) - log10(abs(a.lo) + abs(a.hi) + 1)) ELSE 0 END WHEN g.kind = a.kind THEN 1 ELSE 0 END - 0.0001 * levenshtein(lower(g.name), lower(a.name)) AS score FROM g JOIN a ON g.file_id = a.file_id),
+y AS (SELECT *, row_number() OVER (PARTITION BY file_id, old_name ORDER BY score DESC, new_name) AS ro, row_number() OVER (PARTITION BY file_id, new_name ORDER BY score DESC, old_name) AS rn FROM x WHERE score >= 0.5), r AS (SELECT file_id, old_name, new_name FROM y WHERE ro = 1 AND rn = 1)
+SELECT file_id, 'renamed' AS change, old_name, new_name FROM r UNION ALL SELECT file_id, 'removed', name, '' FROM g ANTI JOIN r ON r.file_id = g.file_id AND r.old_name = g.name UNION ALL SELECT file_id, 'added', '', name FROM a ANTI JOIN r ON r.file_id = a.file_id AND r.new_name = a.name
+UNION ALL SELECT n.file_id, 'retyped', n.name, n.name FROM n JOIN o ON o.file_id = n.file_id AND o.name = n.name WHERE o.t <> n.t"""
+_P4_NAMES = _P4.replace("WITH k AS", "WITH RECURSIVE k AS", 1).split("SELECT file_id, 'renamed' AS change")[0].rstrip() + """,
+walk AS (SELECT file_id AS f0, name AS n0, file_id, name FROM s UNION ALL SELECT p.f0, p.n0, w.prev, coalesce(r.old_name, p.name) FROM walk p JOIN w ON w.file_id = p.file_id LEFT JOIN r ON r.file_id = p.file_id AND r.new_name = p.name WHERE r.old_name IS NOT NULL OR NOT EXISTS (SELECT 1 FROM a WHERE a.file_id = p.file_id AND a.name = p.name)),
+led AS (SELECT f0 AS file_id, n0 AS name, arg_min(walk.name, seq_no) AS field FROM walk JOIN submission_files USING (file_id) GROUP BY ALL),
+y0 AS (SELECT led.file_id, coalesce(family, '') AS family, led.name, led.field FROM led JOIN submission_files USING (file_id)),
+e0 AS (SELECT y0.family, y0.field, y0.file_id, y0.name, c.v, CASE json_type(c.v) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'DOUBLE' THEN 'number' ELSE 'whole' END AS ty FROM c JOIN y0 ON y0.file_id = c.file_id AND y0.name = c.name),
+ut AS (SELECT family, field, list_distinct(list(ty)) AS ts, string_agg(DISTINCT name, '|' ORDER BY name) AS names, count(DISTINCT file_id) AS files, min(file_id) AS first_file, max(file_id) AS last_file FROM e0 GROUP BY family, field),
+us AS (SELECT * EXCLUDE (ts), CASE WHEN len(ts) = 0 THEN NULL WHEN len(ts) = 1 THEN ts[1] WHEN len(list_filter(ts, lambda x: x NOT IN ('whole', 'number'))) = 0 THEN 'number' ELSE 'string' END AS union_type FROM ut)"""
+_P4_SCHEMA = _P4_NAMES + " SELECT family, field, names, files, first_file, last_file, union_type FROM us"
+_P4_TABLE = _P4_NAMES + """, rk AS (SELECT file_id, record_no, record, unnest(json_keys(record)) AS name FROM submission_rows WHERE json_valid(record)), rv AS (SELECT rk.file_id, record_no, y0.family, y0.field, json_extract(record, '$."' || rk.name || '"') AS v FROM rk JOIN y0 ON y0.file_id = rk.file_id AND y0.name = rk.name),
+vals AS (SELECT rv.file_id, record_no, rv.field, CASE WHEN json_type(v) = 'NULL' THEN 'null' WHEN union_type = 'string' AND json_type(v) <> 'VARCHAR' THEN '"' || replace(CAST(v AS VARCHAR), '"', '\\"') || '"' WHEN union_type = 'number' THEN CAST(CAST(v AS DOUBLE) AS VARCHAR) ELSE CAST(v AS VARCHAR) END AS x FROM rv JOIN us USING (family, field)),
+ev AS (SELECT s.file_id, s.record_no, us.field FROM submission_rows s JOIN submission_files f USING (file_id) JOIN us ON us.family = coalesce(f.family, ''))
+SELECT ev.file_id, ev.record_no, '{' || string_agg('"' || ev.field || '":' || coalesce(x, 'null'), ',' ORDER BY ev.field) || '}' AS fields FROM ev LEFT JOIN vals ON vals.file_id = ev.file_id AND vals.record_no = ev.record_no AND vals.field = ev.field GROUP BY ev.file_id, ev.record_no"""
+ORACLE = {"p4_found": _P4, "p4_schema": _P4_SCHEMA, "p4_table": _P4_TABLE, "p2_found": _P2, "p2_masks": _P2_MASKS, "p2_profile": _P2_PROFILE, "p2_rare": _P2_RARE, "p2_columns": _P2_COLUMNS, "p4_headers": _P4_HEADERS, "p3_found": _P3, "p3_outcomes": _P3_OUTCOMES, "p6_found": _P6, "p6_loaded": _P6_LOADED, "p7_found": _P7 + " SELECT table_name, row_id, reason FROM o WHERE reason IS NOT NULL", "p7_report": _P7_REPORT}

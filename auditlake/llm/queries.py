@@ -74,6 +74,11 @@ c AS (SELECT DISTINCT a.table_name, a.row_id AS ia, b.row_id AS ib FROM p a JOIN
 s AS (SELECT c.table_name, ia, ib, len(list_intersect(a.w, b.w)) AS o, a.k AS ka, b.k AS kb FROM c JOIN m a ON a.table_name = c.table_name AND a.row_id = ia JOIN m b ON b.table_name = c.table_name AND b.row_id = ib)
 SELECT table_name, ia AS row_id_a, ib AS row_id_b FROM s WHERE 10 * o >= 7 * (ka + kb - o)"""
 
+_P1_GROUPS = _P1.replace("WITH n AS", "WITH RECURSIVE n AS", 1).replace("SELECT table_name, ia AS row_id_a, ib AS row_id_b FROM s WHERE", ", e1 AS (SELECT table_name, ia, ib FROM s WHERE", 1) + """), e2 AS (SELECT * FROM e1 UNION ALL SELECT table_name, ib, ia FROM e1),
+rc AS (SELECT DISTINCT table_name, ia AS id, ia AS root FROM e2 UNION SELECT rc.table_name, e2.ib, rc.root FROM rc JOIN e2 ON e2.table_name = rc.table_name AND e2.ia = rc.id), g AS (SELECT table_name, id, min(root) AS group_id FROM rc GROUP BY ALL),
+l AS (SELECT e2.table_name, e2.ia AS id, count(DISTINCT list_sort(b.w)) FILTER (WHERE list_sort(a.w) <> list_sort(b.w)) AS links FROM e2 JOIN m a ON a.table_name = e2.table_name AND a.row_id = e2.ia JOIN m b ON b.table_name = e2.table_name AND b.row_id = e2.ib GROUP BY ALL)
+SELECT g.table_name, g.id AS row_id, group_id, links FROM g JOIN l USING (table_name, id)"""
+
 _ABSENT = r"lower(regexp_replace(v, '^\s+|\s+$', '', 'g')) IN ('','n/a','-','--','none','null','nan')"
 # Look-alike letters that the typed values hold, and full-width forms; written out, not taken from the operator.
 _LIKE = "АВЕЅІЈКМНОРСТУХаеорсухѕіјΑΒΕΖΗΙΚΜΝΟΡΤΥΧαιονρυ" + "".join(chr(0xFF01 + i) for i in range(94))
@@ -102,4 +107,4 @@ _LOOK = rf"""WITH n AS (SELECT doc_id, text, nfc_normalize(translate(regexp_repl
 v AS (SELECT * FROM n WHERE regexp_matches(look, '[^\s\x00-\x1f\x7f-\x9f]'))"""
 _P10 = _LOOK + " SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM v a JOIN v b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text"
 _P10_CLASSES = _LOOK + ", g AS (SELECT look, min(doc_id) AS class_id, count(DISTINCT text) AS texts FROM v GROUP BY 1 HAVING count(DISTINCT text) > 1) SELECT doc_id, class_id, texts FROM v JOIN g USING (look)"
-ORACLE = {"p1_found": _P1, "p5_found": _P5, "p5_unmatched": _P5_UNMATCHED, "p10_found": _P10, "p10_classes": _P10_CLASSES}
+ORACLE = {"p1_found": _P1, "p1_groups": _P1_GROUPS, "p5_found": _P5, "p5_unmatched": _P5_UNMATCHED, "p10_found": _P10, "p10_classes": _P10_CLASSES}

@@ -140,14 +140,14 @@ def metric_anomalies(spark: SparkSession, d: str) -> DataFrame:
 
 PEER_TIERS = (
     RATE_SQL
-    + ", f AS (SELECT t.entity, t.period, t.rate, CAST(1 AS BIGINT) AS tier, p.rate AS x FROM m t JOIN m p ON t.period = p.period AND t.sector = p.sector AND t.entity <> p.entity), gx AS (SELECT entity, period, rate, count(*) AS peers, min(x) AS lo, round(quantile_cont(x, 0.25) + 1e-9, 6) AS q1, round(quantile_cont(x, 0.5) + 1e-9, 6) AS median, round(quantile_cont(x, 0.75) + 1e-9, 6) AS q3, max(x) AS hi, count(*) FILTER (WHERE x < rate) AS below FROM f GROUP BY ALL)"
-    + " SELECT entity, period, CAST(1 AS BIGINT) AS tier, rate, peers, CASE WHEN peers < 3 THEN 'UNAVAILABLE' WHEN peers < 8 THEN 'LIMITED' ELSE 'ROBUST' END AS baseline, lo, q1, median, q3, hi, below + 1 AS rank FROM gx"
+    + ", ch AS (SELECT m.entity, m.period, CAST(CASE WHEN count(*) FILTER (WHERE p.sector = m.sector) > 0 THEN 1 ELSE 2 END AS BIGINT) AS tier FROM m JOIN m p ON m.period = p.period AND m.entity <> p.entity GROUP BY ALL), fp AS (SELECT t.entity, t.period, t.rate, tier, p.rate AS x FROM m t JOIN ch USING (entity, period) JOIN m p ON t.period = p.period AND t.entity <> p.entity AND (tier = 2 OR t.sector = p.sector)), gx AS (SELECT entity, period, rate, tier, count(*) AS peers, min(x) AS lo, round(quantile_cont(x, 0.25) + 1e-9, 6) AS q1, round(quantile_cont(x, 0.5) + 1e-9, 6) AS median, round(quantile_cont(x, 0.75) + 1e-9, 6) AS q3, max(x) AS hi, count(*) FILTER (WHERE x < rate) AS below FROM fp GROUP BY ALL)"
+    + " SELECT entity, period, tier, rate, peers, CASE WHEN peers < 3 THEN 'UNAVAILABLE' WHEN peers < 8 THEN 'LIMITED' ELSE 'ROBUST' END AS baseline, lo, q1, median, q3, hi, below + 1 AS rank FROM gx"
 )
 
 
 @query(PEER_TIERS)
 def peer_tiers(spark: SparkSession, d: str) -> DataFrame:
-    """Targets against their own sector, where it has peers (it always has here)."""
+    """Targets against their own sector, or their period where the sector has no other entity."""
     return robust.tier_summaries(layers._rates(spark, d), [["period", "sector"], ["period"]]).select("entity", "period", "tier", "rate", "peers", "baseline", "lo", "q1", "median", "q3", "hi", "rank")
 
 

@@ -30,6 +30,7 @@ with the closest file before it; empty tables give no rows.
 from __future__ import annotations
 
 from functools import cached_property
+from string import ascii_lowercase, ascii_uppercase, digits
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,44 +50,38 @@ def open_records(rows: DataFrame) -> DataFrame:
     return spark.sql("SELECT r.file_id, r.record_no, f.key AS name, f.value AS v FROM {r} r, LATERAL variant_explode(r.j) f WHERE f.key IS NOT NULL", r=parsed)
 
 
+ATOMS = {"VOID": 0, "STRING": TEXT, "BOOLEAN": BOOLEAN, "OBJECT": OBJECT, "ARRAY": ARRAY, "TINYINT": WHOLE, "SMALLINT": WHOLE, "INT": WHOLE, "BIGINT": WHOLE}
+
+
 def atoms(shape: Column) -> Column:
     """Lattice element of a variant from its schema text; 0 for a JSON null."""
-    return (
-        F.when(shape == "VOID", 0)
-        .when(shape == "STRING", TEXT)
-        .when(shape == "BOOLEAN", BOOLEAN)
-        .when(shape.startswith("OBJECT"), OBJECT)
-        .when(shape.startswith("ARRAY"), ARRAY)
-        .when(shape.isin("TINYINT", "SMALLINT", "INT", "BIGINT") | shape.rlike(r"^DECIMAL\(\d+, ?0\)"), WHOLE)
-        .otherwise(FRACTION)
-    )
+    kind = F.regexp_extract(F.regexp_replace(shape, r"^DECIMAL\(\d+, ?0\)\z", "BIGINT"), "^[A-Z]+", 0)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ATOMS.items() for x in kv]), kind), F.lit(FRACTION))
+
+
+def _read(element: int, fine: bool) -> str | None:
+    if element & ~(WHOLE | FRACTION) == 0:
+        return None if element == 0 else "whole" if fine and element == WHOLE else "number"
+    return {BOOLEAN: "boolean", OBJECT: "object", ARRAY: "array"}.get(element, "string")
 
 
 def type_of(element: Column, fine: bool = False) -> Column:
     """Type a lattice element stands for: the JSON type, or with `fine` whole numbers apart from others."""
-    numbers = element.isin(WHOLE, FRACTION, WHOLE | FRACTION)
-    return (
-        F.when(element == 0, None)
-        .when(element == BOOLEAN, "boolean")
-        .when(numbers, F.when(element == WHOLE, "whole").otherwise("number") if fine else F.lit("number"))
-        .when(element == OBJECT, "object")
-        .when(element == ARRAY, "array")
-        .otherwise("string")
-    )
+    return F.element_at(F.array(*[F.lit(_read(e, fine)).cast("string") for e in range(2 * ARRAY)]), element + 1)
 
 
 def _short(c: Column) -> Column:
     """A description of bounded length that still tells all values apart."""
-    return F.when(F.length(c) <= 40, c).otherwise(F.concat(F.substring(c, 1, 8), F.md5(c)))
+    one = F.transform(F.array(c), lambda x: F.when(F.length(x) <= 40, x).otherwise(F.concat(F.substring(x, 1, 8), F.md5(x))))  # taken once
+    return F.element_at(one, 1)
 
 
 def text_kind(s: Column) -> Column:
     """What a text is: time, prose, a code of letters and digits, digits, or a label."""
-    words = F.size(F.split(F.trim(s), r"\s+"))
-    code = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]", "9")
+    code = F.regexp_replace(F.translate(s, ascii_uppercase + ascii_lowercase + digits, "A" * 26 + "a" * 26 + "9" * 10), "(A)A+|(a)a+", "$1$2")
     return (
         F.when(s.rlike(r"^\d{4}-\d\d-\d\d([T ]|\z)"), "time")
-        .when(words >= 5, "prose")
+        .when(s.rlike(r"^\s*\S+(?:\s+\S+){4}"), "prose")
         .when(s.rlike(r"^[0-9]+\z"), "digits")
         .when(s.rlike("[0-9]"), F.concat(F.lit("code:"), _short(code)))
         .otherwise("label")
@@ -98,14 +93,12 @@ def number_kind(d: Column) -> Column:
     return F.concat(F.when(d == F.floor(d), "int:").otherwise("frac:"), F.when(d == 0, "0").otherwise(F.floor(F.log10(F.abs(d))).cast("string")))
 
 
-def kind_of(t: Column, v: Column, shape: Column) -> Column:
+def kind_of(t: Column, text: Column, first: Column, num: Column, shape: Column) -> Column:
     """Content kind of one value; containers are described by their keys, or their element type and first element."""
-    text = F.expr("try_variant_get(v, '$', 'string')")
-    first = F.expr("try_variant_get(v, '$[0]', 'string')")
     keys = F.regexp_replace(shape, r":\s*[A-Z]+(\([0-9, ]*\))?", "")
     return (
         F.when(t == "string", text_kind(text))
-        .when(t == "number", number_kind(F.expr("try_variant_get(v, '$', 'double')")))
+        .when(t == "number", number_kind(num))
         .when(t == "boolean", "boolean")
         .when(t == "array", F.concat(F.lit("array:"), F.coalesce(text_kind(first), _short(shape))))
         .when(t == "object", F.concat(F.lit("object:"), _short(keys)))
@@ -114,8 +107,14 @@ def kind_of(t: Column, v: Column, shape: Column) -> Column:
 
 def field_summaries(rows: DataFrame) -> DataFrame:
     """One row per (file, field): lattice element, dominant kind, value sketch, size of the numbers."""
-    c = open_records(rows).withColumn("shape", F.schema_of_variant("v")).withColumn("e", atoms(F.col("shape"))).withColumn("t", type_of(F.col("e")))
-    c = c.withColumn("kind", kind_of(F.col("t"), F.col("v"), F.col("shape"))).withColumn("text", F.expr("lower(try_variant_get(v, '$', 'string'))")).withColumn("num", F.when(F.col("t") == "number", F.expr("try_variant_get(v, '$', 'double')")))
+    get = lambda path, kind: F.expr(f"try_variant_get(v, '{path}', '{kind}')")
+    shape = F.schema_of_variant("v")
+    # Through a one-row list, so that the parts of a value are taken once and not again in every branch below.
+    parts = F.struct(shape.alias("shape"), atoms(shape).alias("e"), get("$", "string").alias("whole_text"), get("$[0]", "string").alias("first"), get("$", "double").alias("double_value"))
+    c = open_records(rows).select("file_id", "name", F.inline(F.array(parts))).withColumn("t", type_of(F.col("e")))
+    num = F.when(F.col("t") == "number", F.col("double_value"))
+    c = c.select("file_id", "name", "e", kind_of(F.col("t"), F.col("whole_text"), F.col("first"), F.col("double_value"), F.col("shape")).alias("kind"), F.lower("whole_text").alias("text"), num.alias("num"))
+    c = c.select("file_id", "name", F.inline(F.array(F.struct("e", "kind", F.when(F.col("kind") == "label", F.col("text")).alias("text"), "num"))))
     bit = F.pmod(F.xxhash64("text"), F.lit(63 * SKETCH_WORDS))
     word = lambda i: F.bit_or(F.when((F.col("kind") == "label") & (F.floor(bit / 63) == i), F.expr("shiftleft(1L, cast(pmod(xxhash64(text), 63) AS int))")).otherwise(F.lit(0).cast("bigint"))).alias(f"s{i}")
     per_kind = c.groupBy("file_id", "name", "kind").agg(F.count("*").alias("n"), F.bit_or("e").alias("e"), F.min("num").alias("lo"), F.max("num").alias("hi"), *[word(i) for i in range(SKETCH_WORDS)])

@@ -15,7 +15,9 @@ levenshtein on the words and on their one-swap variants verifies them. Values wi
 match come out by anti-join.
 
 Cost: one shuffle of distinct (column, value) counts; everything else works on distinct
-words. Rows receive their entry by a join on (column, value) with a unique right side.
+words. Rows receive their entry by a join on (column, value) with a unique right side,
+broadcast while it has at most `BROADCAST_VALUES` rows; beyond that only the few values
+that many rows hold are broadcast and the others shuffled, so no task receives a hot value.
 
 Defined results: absent values and exact labels give no row; a value that matches two
 entries equally well takes the smaller item_id; rows without an id are dropped.
@@ -35,6 +37,7 @@ from auditlake.session import ensure_checkpoint_dir
 
 SLIPS, EDITS, LEAST_LETTERS = 2, 4, 5
 SEGMENTS = EDITS + 1
+BROADCAST_VALUES, PARTS = 200_000, 500  # distinct values up to which the answers are broadcast; beyond, values above 1/PARTS of the rows are
 
 
 @dataclass(frozen=True)
@@ -166,10 +169,18 @@ def map_values(df: DataFrame, items: DataFrame, columns: list[str], marks: Marks
     cells = typed_values(df, items, columns)
     ensure_checkpoint_dir(df.sparkSession)
     # Distinct values and their meanings are stored: each is read several times below.
-    distinct = cells.groupBy("column_name", "value").agg(F.count("*").alias("n")).select("column_name", "value").checkpoint()
-    found = meanings(distinct, items, marks).checkpoint()
-    unmatched = distinct.join(found, ["column_name", "value"], "left_anti").withColumn("item_id", F.lit("none"))
-    return cells.join(found.unionByName(unmatched), ["column_name", "value"]).select("row_id", "column_name", "item_id")
+    on = ["column_name", "value"]
+    distinct = cells.groupBy(*on).agg(F.count("*").alias("n")).checkpoint()
+    found = meanings(distinct.select(*on), items, marks).checkpoint()
+    answers = found.unionByName(distinct.select(*on).join(found, on, "left_anti").withColumn("item_id", F.lit("none")))
+    size = distinct.agg(F.count("*").alias("values"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    if size["values"] <= BROADCAST_VALUES:
+        return cells.join(F.broadcast(answers), on).select("row_id", "column_name", "item_id")
+    # Beyond that rows are shuffled by value, but for the values that would fill a task: at most PARTS of them.
+    hot = distinct.where(F.col("n") * PARTS > size["rows"]).select(*on)
+    often = cells.join(F.broadcast(answers.join(F.broadcast(hot), on, "left_semi")), on)
+    seldom = cells.join(F.broadcast(hot), on, "left_anti").join(answers, on)
+    return often.unionByName(seldom).select("row_id", "column_name", "item_id")
 
 
 def unmatched_report(df: DataFrame, items: DataFrame, columns: list[str], marks: Marks = USUAL) -> DataFrame:

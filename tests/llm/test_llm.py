@@ -164,7 +164,9 @@ def test_meanings(spark, values, want):
     assert meaning(spark, values) == [want] * len(values)
 
 
-def test_meanings_empty_and_skewed(spark):
+@pytest.mark.parametrize("limit", [200_000, 10])
+def test_meanings_empty_and_skewed(spark, monkeypatch, limit):
+    monkeypatch.setattr(canonical, "BROADCAST_VALUES", limit)
     items = spark.createDataFrame(ITEMS, "item_id string, list_name string, label string, other_names string")
     df = spark.range(3000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, F.lit("crit")).otherwise(F.concat(F.lit("v"), F.col("id"))).alias("p"))
     c = canonical.map_values(df, items, ["p"]).groupBy("item_id").count().collect()

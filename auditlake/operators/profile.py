@@ -128,9 +128,12 @@ def _listed(top: DataFrame, order: list, limit: int) -> DataFrame:
 
 def case_conflicts(df: DataFrame, column: str) -> DataFrame:
     """(key, kept, other): identifiers equal but for letter case; the first in sort order against each later one."""
-    ids = df.where(F.col(column).isNotNull()).select(F.trim(F.col(column)).alias("id")).distinct()
-    g = ids.groupBy(F.lower("id").alias("key")).agg(F.min("id").alias("kept"), F.count("*").alias("n")).where("n > 1")
-    return ids.withColumn("key", F.lower("id")).join(g, "key").where("id <> kept").select("key", "kept", F.col("id").alias("other"))
+    ids = df.where(F.col(column).isNotNull()).select(F.trim(F.col(column)).alias("id")).withColumn("key", F.lower("id"))
+    # One number per key tells whether it has several spellings; only those few keys are looked at as text.
+    h = F.xxhash64("id")
+    several = ids.groupBy("key").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi").select("key")
+    few = ids.join(several, "key", "left_semi").distinct()
+    return few.join(few.groupBy("key").agg(F.min("id").alias("kept")), "key").where("id <> kept").select("key", "kept", F.col("id").alias("other"))
 
 
 def dataset_profile(inv: DataFrame) -> DataFrame:

@@ -19,7 +19,6 @@ from auditlake.operators import graph
 from auditlake.session import ensure_checkpoint_dir
 
 PERMUTATIONS, BAND_ROWS = 256, 4
-FIRST_BOUND = 0.6
 
 
 def token_sets(df: DataFrame, group: list[str], row_id: str, text: str) -> DataFrame:
@@ -28,23 +27,30 @@ def token_sets(df: DataFrame, group: list[str], row_id: str, text: str) -> DataF
     return t.groupBy(*group, "toks").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
 
 
+def _keyed(sets: DataFrame, group: list[str]) -> DataFrame:
+    """(id, size, keys): a set's tokens as 64-bit hashes of group and token, so that one number is joined on."""
+    return sets.select("id", F.size("toks").alias("size"), F.transform("toks", lambda t: F.xxhash64(*group, t)).alias("keys"))
+
+
 def _prefixes(sets: DataFrame, group: list[str], threshold: float) -> DataFrame:
-    """(group..., id, size, tok): the rarest tokens of every set, one of which every similar set shares."""
-    spread = sets.select(*group, F.explode("toks").alias("tok")).groupBy(*group, "tok").agg(F.count("*").alias("df"))
-    ranked = sets.select(*group, "id", F.explode("toks").alias("tok")).join(spread, [*group, "tok"]).groupBy(*group, "id").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"))
-    n = F.size("o")
-    return ranked.select(*group, "id", n.alias("size"), F.explode(F.slice("o", 1, n - F.ceil(F.lit(threshold) * n).cast("int") + 1)).alias("p")).select(*group, "id", "size", F.col("p.tok").alias("tok"))
+    """(id, size, key): the rarest tokens of every set, one of which every similar set of its group shares."""
+    k = _keyed(sets, group).select("id", "size", F.explode("keys").alias("key"))
+    spread = k.groupBy("key").agg(F.count("*").alias("df"))
+    ranked = k.join(spread, "key").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("o"))
+    return ranked.select("id", "size", F.explode(F.slice("o", 1, F.col("size") - F.ceil(F.lit(threshold) * F.col("size")).cast("int") + 1)).alias("p")).select("id", "size", F.col("p.key").alias("key"))
 
 
 def _exact_pairs(sets: DataFrame, group: list[str], threshold: float) -> DataFrame:
-    """(group..., a, b, similarity) unrounded."""
+    """(group..., a, b, similarity) unrounded; candidates are verified on the tokens themselves."""
     prefix = _prefixes(sets, group, threshold)
-    a = prefix.select(*group, "tok", F.col("id").alias("a"), F.col("size").alias("sa"))
-    b = prefix.select(*group, "tok", F.col("id").alias("b"), F.col("size").alias("sb"))
-    cand = a.join(b, [*group, "tok"]).where("a < b").where((F.col("sb") >= F.lit(threshold) * F.col("sa")) & (F.col("sa") >= F.lit(threshold) * F.col("sb"))).select(*group, "a", "b").distinct()
+    a = prefix.select("key", F.col("id").alias("a"), F.col("size").alias("sa"))
+    b = prefix.select("key", F.col("id").alias("b"), F.col("size").alias("sb"))
+    cand = a.join(b, "key").where("a < b").where((F.col("sb") >= F.lit(threshold) * F.col("sa")) & (F.col("sa") >= F.lit(threshold) * F.col("sb"))).select("a", "b").distinct()
     s = sets.select(*group, "id", "toks")
-    both = cand.join(s.select(*group, F.col("id").alias("a"), F.col("toks").alias("ta")), [*group, "a"]).join(s.select(*group, F.col("id").alias("b"), F.col("toks").alias("tb")), [*group, "b"])
-    return both.withColumn("similarity", jaccard("ta", "tb")).where(F.col("similarity") >= threshold).select(*group, "a", "b", "similarity")
+    both = cand.join(s.select(*group, F.col("id").alias("a"), F.col("toks").alias("ta")), "a").join(s.select(F.col("id").alias("b"), F.col("toks").alias("tb"), F.struct(*group).alias("gb")), "b")
+    shared = F.size(F.array_intersect("ta", "tb"))
+    similarity = shared / (F.size("ta") + F.size("tb") - shared)
+    return both.where(F.struct(*group) == F.col("gb")).withColumn("similarity", similarity).where(F.col("similarity") >= threshold).select(*group, "a", "b", "similarity")
 
 
 def similar_pairs(sets: DataFrame, group: list[str], threshold: float) -> DataFrame:
@@ -52,32 +58,38 @@ def similar_pairs(sets: DataFrame, group: list[str], threshold: float) -> DataFr
     return _exact_pairs(sets, group, threshold).withColumn("similarity", F.round("similarity", 6))
 
 
-def max_similarity(sets: DataFrame, group: list[str], bound: float = FIRST_BOUND) -> DataFrame:
+def max_similarity(sets: DataFrame, group: list[str], bound: float | None = None) -> DataFrame:
     """(group..., id, max_similarity): each set's greatest similarity to another record of its group.
 
-    A set held by several records has 1.0. Sets with a partner at `bound` or above are
-    settled by the prefix join, which finds all such partners. Only the others count their
-    overlaps with every set of the group through an inverted index, so its size is that of
-    the sets without a near partner; meant for scope-sized groups, the index is quadratic
-    in the sets of a group that share a token.
+    A set held by several records has 1.0. The others count their overlaps with every set of
+    the group through an inverted index of 64-bit token hashes, each pair once; meant for
+    scope-sized groups, since the index is quadratic in the sets of a group that share a
+    token. With `bound`, sets that have a partner at least that similar are settled by the
+    prefix join first, which finds all such partners, and leave the index: worth it where
+    many sets have one.
     """
     return _best_match(sets, group, bound).withColumn("max_similarity", F.round("max_similarity", 6))
 
 
-def _best_match(sets: DataFrame, group: list[str], bound: float = FIRST_BOUND) -> DataFrame:
+def _best_match(sets: DataFrame, group: list[str], bound: float | None = None) -> DataFrame:
     """(group..., id, copies, max_similarity) unrounded."""
     ensure_checkpoint_dir(sets.sparkSession)
     sets = sets.checkpoint()
-    near = _exact_pairs(sets, group, bound)
-    near = near.select(*group, F.col("a").alias("id"), "similarity").unionByName(near.select(*group, F.col("b").alias("id"), "similarity"))
-    near = near.groupBy(*group, "id").agg(F.max("similarity").alias("m")).checkpoint()
-    open_ = sets.where("copies = 1").join(near.select("id"), "id", "left_anti")
-    x = open_.select(*group, F.col("id").alias("a"), F.size("toks").alias("na"), F.explode("toks").alias("tok"))
-    y = sets.select(*group, F.col("id").alias("b"), F.size("toks").alias("nb"), F.explode("toks").alias("tok"))
-    over = x.join(y, [*group, "tok"]).where("a <> b").groupBy(*group, "a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    far = over.groupBy(*group, F.col("a").alias("id")).agg(F.max(F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("m"))
-    best = near.unionByName(far)
-    return sets.join(best, [*group, "id"], "left").select(*group, "id", "copies", F.when(F.col("copies") > 1, 1.0).otherwise(F.coalesce("m", F.lit(0.0))).alias("max_similarity"))
+    open_ = sets.select("id", F.when(F.col("copies") > 1, 1.0).alias("known"))
+    if bound is not None:
+        near = _exact_pairs(sets, group, bound)
+        near = near.select(F.col("a").alias("id"), "similarity").unionByName(near.select(F.col("b").alias("id"), "similarity")).groupBy("id").agg(F.max("similarity").alias("s"))
+        open_ = open_.join(near, "id", "left").select("id", F.coalesce("known", "s").alias("known")).checkpoint()
+    k = _keyed(sets, group)
+    if bound is not None:
+        k = k.join(open_, "id").withColumn("open", F.col("known").isNull())
+    else:
+        k = k.withColumn("open", F.lit(True))
+    side = lambda i: k.select(F.col("id").alias(i), F.col("size").alias(f"n{i}"), F.col("open").alias(f"o{i}"), F.explode("keys").alias("key"))
+    over = side("a").join(side("b"), "key").where("a < b AND (oa OR ob)").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    best = over.select(F.explode(F.array("a", "b")).alias("id"), (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("m")).groupBy("id").agg(F.max("m").alias("m"))
+    joined = sets.join(best, "id", "left").join(open_, "id")
+    return joined.select(*group, "id", "copies", F.coalesce("known", "m", F.lit(0.0)).alias("max_similarity"))
 
 
 def mean_max_similarity(sets: DataFrame, group: list[str]) -> DataFrame:

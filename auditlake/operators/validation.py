@@ -102,8 +102,10 @@ def record_issues(df: DataFrame, role: str, fields: dict[str, str], limit: int =
             parts.append(truncated(unknown, "VOCABULARY_REVIEW_TRUNCATED", c, limit))
     names = {"triggered": fields.get("TRIGGERED_AT") or fields.get("EVENT_TIMESTAMP"), "acknowledged": fields.get("ACKNOWLEDGED_AT"), "closed": fields.get("CLOSED_AT") or fields.get("RESOLUTION_TIME")}
     if used := [c for c in names.values() if c]:
-        bad = invalid_timestamps(df, used).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-        parts.append(_issue(bad, "INVALID_TIMESTAMP", WARNING, None))
+        texts = [c for c in used if not dict(df.dtypes)[c].startswith(("timestamp", "date"))]  # a typed time was read already
+        if texts:
+            bad = invalid_timestamps(df, texts).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+            parts.append(_issue(bad, "INVALID_TIMESTAMP", WARNING, None))
         parts.append(_issue(chronology_counts(_times(df, names), *names), "IMPOSSIBLE_CHRONOLOGY", ERROR, None, F.col("violation")))
     return reduce(DataFrame.unionByName, parts).where("n > 0") if parts else df.sparkSession.createDataFrame([], SCHEMA)
 

@@ -307,6 +307,8 @@ def test_signatures_and_index(spark):
     a, b = sets.orderBy("id").select(similarity.signature("toks").alias("s")).head(2)
     est = spark.createDataFrame([(a.s, b.s)], "a array<bigint>, b array<bigint>").select(similarity.estimated_jaccard("a", "b")).first()[0]
     assert abs(est - 20 / 22) < 0.1
+    plain = {r.id: r.max_similarity for r in similarity.max_similarity(sets, ["g"]).collect()}
+    assert plain == {r.id: r.max_similarity for r in similarity.max_similarity(sets, ["g"], 0.6).collect()} and len(plain) == 20
     assert similarity.mean_max_similarity(sets, ["g"]).first().mean_max_similarity == pytest.approx(20 / 22, abs=1e-6)
 
 

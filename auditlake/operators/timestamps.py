@@ -327,14 +327,18 @@ def _normalise(odd_only: bool):
 FORMATS = ["iso", "basic", "slash_dmy", "slash_mdy", "dotted", "named", "epoch_s", "epoch_ms", "digits14", "hours"]
 
 
-def format_set(value: Column) -> Column:
-    """Formats under which a trimmed value is valid, joined by `|`; NULL for none."""
-    v = value
-    a, b = (F.regexp_extract(v, r"^([0-9]{1,2})/([0-9]{1,2})/[0-9]{4}", i).try_cast("int") for i in (1, 2))
+def slash_set(value: Column) -> Column:
+    """Orders under which a slash date is valid, joined by `|`; NULL for none or no slash date."""
+    a, b = (F.regexp_extract(value, r"^([0-9]{1,2})/([0-9]{1,2})/[0-9]{4}", i).try_cast("int") for i in (1, 2))
     dmy, mdy = a.between(1, 31) & b.between(1, 12), b.between(1, 31) & a.between(1, 12)
+    return F.nullif(F.concat_ws("|", F.when(dmy, "slash_dmy"), F.when(mdy, "slash_mdy")), F.lit(""))
+
+
+def layout_format(layout: Column) -> Column:
+    """The one format of a layout without slashes; NULL for none."""
+    v = layout
     return (
         F.when(v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), "iso")
-        .when(a.isNotNull(), F.nullif(F.concat_ws("|", F.when(dmy, "slash_dmy"), F.when(mdy, "slash_mdy")), F.lit("")))
         .when(v.rlike(r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"), "dotted")
         .when(v.rlike(r"^[0-9]{8}[Tt][0-9]{4}"), "basic")
         .when(v.rlike(r"^[0-9]{10}\z"), "epoch_s")
@@ -345,6 +349,19 @@ def format_set(value: Column) -> Column:
     )
 
 
+def format_sets(values: DataFrame) -> DataFrame:
+    """(cse, formats, n): values per set of formats under which they are valid, from (cse, value).
+
+    Values are counted by layout first, so that the patterns run once per layout of a
+    source; only slash dates are read value by value.
+    """
+    v = F.btrim("value", F.lit(BLANKS))
+    slash = F.contains(v, F.lit("/"))
+    key = F.when(slash, slash_set(v)).otherwise(F.substring(F.translate(v, "012345678", "9" * 9), 1, 40))
+    seen = values.where("value IS NOT NULL").select("cse", slash.alias("slash"), key.alias("k")).where("k IS NOT NULL").groupBy("cse", "slash", "k").agg(F.count("*").alias("n"))
+    return seen.select("cse", F.when(F.col("slash"), F.col("k")).otherwise(layout_format(F.col("k"))).alias("formats"), "n").where("formats IS NOT NULL").groupBy("cse", "formats").agg(F.sum("n").alias("n"))
+
+
 def fit_mixture(counts: dict[str, int], declared: str | None = None, rounds: int = 200) -> tuple[dict[str, float], float | None]:
     """(weight of every format, posterior of day-first for a value both orders can read) of one source.
 
@@ -390,8 +407,7 @@ def source_orders(values: DataFrame, entities: DataFrame) -> DataFrame:
     a source has at most a dozen sets, so the model sees one short row per entity.
     """
     ship_package(values.sparkSession)
-    sets = values.select("cse", format_set(F.btrim("value", F.lit(BLANKS))).alias("formats")).where("formats IS NOT NULL").groupBy("cse", "formats").agg(F.count("*").alias("n"))
-    per = sets.groupBy("cse").agg(F.collect_list(F.struct("formats", "n")).alias("sets"))
+    per = format_sets(values).groupBy("cse").agg(F.collect_list(F.struct("formats", "n")).alias("sets"))
     e = entities.where("cse_id IS NOT NULL").groupBy(F.col("cse_id").alias("cse")).agg(F.max("time_zone").alias("tz"), F.max("date_order").alias("declared"))
     return e.join(per, "cse", "left").select("cse", "tz", "declared", "sets").mapInPandas(_fit, "cse string, tz string, date_order string, dmy_posterior double, weights array<double>")
 

@@ -233,4 +233,8 @@ _P4_TABLE = _P4_NAMES + """, rk AS (SELECT file_id, record_no, record, unnest(js
 vals AS (SELECT rv.file_id, record_no, rv.field, CASE WHEN json_type(v) = 'NULL' THEN 'null' WHEN union_type = 'string' AND json_type(v) <> 'VARCHAR' THEN '"' || replace(CAST(v AS VARCHAR), '"', '\\"') || '"' WHEN union_type = 'number' THEN CAST(CAST(v AS DOUBLE) AS VARCHAR) ELSE CAST(v AS VARCHAR) END AS x FROM rv JOIN us USING (family, field)),
 ev AS (SELECT s.file_id, s.record_no, us.field FROM submission_rows s JOIN submission_files f USING (file_id) JOIN us ON us.family = coalesce(f.family, ''))
 SELECT ev.file_id, ev.record_no, '{' || string_agg('"' || ev.field || '":' || coalesce(x, 'null'), ',' ORDER BY ev.field) || '}' AS fields FROM ev LEFT JOIN vals ON vals.file_id = ev.file_id AND vals.record_no = ev.record_no AND vals.field = ev.field GROUP BY ev.file_id, ev.record_no"""
-ORACLE = {"p4_found": _P4, "p4_schema": _P4_SCHEMA, "p4_table": _P4_TABLE, "p2_found": _P2, "p2_masks": _P2_MASKS, "p2_profile": _P2_PROFILE, "p2_rare": _P2_RARE, "p2_columns": _P2_COLUMNS, "p4_headers": _P4_HEADERS, "p3_found": _P3, "p3_outcomes": _P3_OUTCOMES, "p6_found": _P6, "p6_loaded": _P6_LOADED, "p7_found": _P7 + " SELECT table_name, row_id, reason FROM o WHERE reason IS NOT NULL", "p7_report": _P7_REPORT}
+_P3_MIXTURE = _P6_LOADED.replace("WITH b AS", "WITH w AS (WITH b AS", 1) + r"""), x AS (SELECT cse, regexp_replace(v, '^\s+|\s+$', '', 'g') AS t FROM (SELECT cse, created_time AS v FROM dataset_capability_rich UNION ALL SELECT cse, closed_time FROM dataset_capability_rich UNION ALL SELECT cse, created_time FROM w) WHERE v IS NOT NULL),
+y AS (SELECT cse, date_order, t, TRY_CAST(regexp_extract(t, '^(\d{1,2})/(\d{1,2})/\d{4}', 1) AS INTEGER) AS a, TRY_CAST(regexp_extract(t, '^(\d{1,2})/(\d{1,2})/\d{4}', 2) AS INTEGER) AS b FROM x JOIN cse_entities ON cse = cse_id),
+z AS (SELECT cse, date_order, CASE WHEN contains(t, '/') THEN CASE WHEN date_order = 'DMY' AND a BETWEEN 1 AND 31 AND b BETWEEN 1 AND 12 THEN 'slash_dmy' WHEN date_order = 'MDY' AND b BETWEEN 1 AND 31 AND a BETWEEN 1 AND 12 THEN 'slash_mdy' END WHEN t ~ '^\d{4}-\d{2}-\d{2}' THEN 'iso' WHEN t ~ '^\d{1,2}\.\d{1,2}\.\d{4}' THEN 'dotted' WHEN t ~ '^\d{8}[Tt]\d{4}' THEN 'basic' WHEN t ~ '^\d{10}$' THEN 'epoch_s' WHEN t ~ '^\d{13}$' THEN 'epoch_ms' WHEN t ~ '^\d{14}$' THEN 'digits14' WHEN t ~ '^\d{1,4}$' THEN 'hours' WHEN t ~ '[A-Za-z]{3,9}[ ,]+.*\d{4}' THEN 'named' END AS f FROM y)
+SELECT cse, f AS format, round(count(*) / sum(count(*)) OVER (PARTITION BY cse), 6) AS weight, date_order, CASE date_order WHEN 'DMY' THEN 1.0 WHEN 'MDY' THEN 0.0 END AS dmy_posterior FROM z WHERE f IS NOT NULL GROUP BY cse, f, date_order"""
+ORACLE = {"p3_mixture": _P3_MIXTURE, "p4_found": _P4, "p4_schema": _P4_SCHEMA, "p4_table": _P4_TABLE, "p2_found": _P2, "p2_masks": _P2_MASKS, "p2_profile": _P2_PROFILE, "p2_rare": _P2_RARE, "p2_columns": _P2_COLUMNS, "p4_headers": _P4_HEADERS, "p3_found": _P3, "p3_outcomes": _P3_OUTCOMES, "p6_found": _P6, "p6_loaded": _P6_LOADED, "p7_found": _P7 + " SELECT table_name, row_id, reason FROM o WHERE reason IS NOT NULL", "p7_report": _P7_REPORT}

@@ -25,9 +25,13 @@ def peers(metrics: DataFrame, on: list[str], key: str = "entity") -> DataFrame:
     return t.join(p, on).where(F.col(f"t.{key}") != F.col("p.peer"))
 
 
-def summaries(metrics: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """One row per target with all robust statistics; below 3 peers none, below 8 limited."""
-    return _summarise(peers(metrics, on or ["period"]).select("entity", "period", "rate", "peer_rate"))
+def summaries(metrics: DataFrame, on: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
+    """One row per target with all robust statistics; `baseline` says how far they carry: below 3 peers not at all, below 8 to a limited degree.
+
+    `keys` names what identifies a target beside the columns of its cohort `on`.
+    """
+    keys = keys or ["entity", "period"]
+    return _summarise(peers(metrics, on or ["period"]).select(*keys, "rate", "peer_rate"), keys)
 
 
 def tier_summaries(metrics: DataFrame, tiers: list[list[str]]) -> DataFrame:
@@ -38,7 +42,7 @@ def tier_summaries(metrics: DataFrame, tiers: list[list[str]]) -> DataFrame:
     members = metrics.where("rate IS NOT NULL").select(F.col("entity").alias("peer"), F.col("rate").alias("peer_rate"), F.explode(F.array_compact(F.array(*keys))).alias("c")).select("peer", "peer_rate", "c.*")
     targets = metrics.join(chosen, ["entity", "period"]).select("entity", "period", "rate", "tier", F.element_at(F.array(*keys), F.col("tier").cast("int"))["cohort"].alias("cohort"))
     frame = targets.join(members, ["tier", "cohort"]).where("entity <> peer").select("entity", "period", "rate", "peer_rate")
-    return _summarise(frame).join(chosen, ["entity", "period"])
+    return _summarise(frame, ["entity", "period"]).join(chosen, ["entity", "period"])
 
 
 def concept_evidence(index: DataFrame, declared: list[str]) -> DataFrame:
@@ -54,17 +58,17 @@ def with_attributes(metrics: DataFrame, attributes: DataFrame, names: list[str])
     return metrics.join(attributes.select("entity", *names), "entity", "left")
 
 
-def _summarise(frame: DataFrame) -> DataFrame:
-    g = frame.groupBy("entity", "period", "rate").agg(
+def _summarise(frame: DataFrame, keys: list[str]) -> DataFrame:
+    g = frame.groupBy(*keys, "rate").agg(
         F.count("*").alias("peers"), F.percentile("peer_rate", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min("peer_rate").alias("lo"), F.max("peer_rate").alias("hi"),
         F.count_if(F.col("peer_rate") < F.col("rate")).alias("below"), F.count_if(F.col("peer_rate") == F.col("rate")).alias("equal"),
     ).withColumns({"q1": r6(F.col("q")[0]), "median": r6(F.col("q")[1]), "q3": r6(F.col("q")[2])}).drop("q")
-    dev = frame.join(g.select("entity", "period", "median"), ["entity", "period"]).groupBy("entity", "period").agg(r6(F.percentile(F.abs(F.col("peer_rate") - F.col("median")), F.lit(0.5))).alias("mad"))
-    s = g.join(dev, ["entity", "period"])
+    dev = frame.join(g.select(*keys, "median"), keys).groupBy(*keys).agg(r6(F.percentile(F.abs(F.col("peer_rate") - F.col("median")), F.lit(0.5))).alias("mad"))
+    s = g.join(dev, keys)
     z = F.when(F.col("mad") > 0, r6(F.lit(0.6745) * (F.col("rate") - F.col("median")) / F.col("mad")))
     fence = lambda sign, q: F.when(F.col("peers") >= 4, r6(F.col(q) + sign * 1.5 * (F.col("q3") - F.col("q1"))))
     return s.select(
-        "entity", "period", "rate", "peers", F.when(F.col("peers") < 3, "UNAVAILABLE").when(F.col("peers") < 8, "LIMITED").otherwise("ROBUST").alias("baseline"),
+        *keys, "rate", "peers", F.when(F.col("peers") < 3, "UNAVAILABLE").when(F.col("peers") < 8, "LIMITED").otherwise("ROBUST").alias("baseline"),
         "lo", "q1", "median", "q3", "hi", "mad", z.alias("modified_z"), (F.col("below") + 1).alias("rank"),
         F.when(F.col("rate").isNotNull(), r6((F.col("below") + 0.5 * F.col("equal")) / F.col("peers"))).alias("percentile"), fence(-1, "q1").alias("lower_fence"), fence(1, "q3").alias("upper_fence"),
         F.when(F.abs(z) > 3.5, "STRONG").when(F.abs(z) > 1.5, "MODERATE").when(z.isNotNull(), "TYPICAL").alias("band"),

@@ -1,8 +1,8 @@
 """The whole assessment over one source: read, profile, map, scope, evaluate, benchmark.
 
 One driver round-trip decides the mapping (its size is that of the schema); everything
-after is a lazy plan over one concept frame. A layer that fails is reported with its
-reason and the others go on.
+after is a lazy plan over one concept frame. A layer that lacks its evidence or fails is
+reported as such with its reason and the others go on.
 """
 
 from __future__ import annotations
@@ -20,14 +20,7 @@ AXES = [  # fixed values: what names the entity and period columns go by
     mapping.Pattern("ENTITY", "entity_context.entity_id", ("cse", "entity", "organisation", "operating_unit", "business_unit"), ("asset", "host"), (), (), "identifier"),
     mapping.Pattern("PERIOD", "entity_context.period", ("period", "reporting_window", "quarter", "month"), (), (), (r"(?i)^period", r"^\d{4}-(Q\d|\d\d)$"), "text"),
 ]
-CAPABILITIES = [
-    capability.Capability("THREAT_DETECTION", ("SECURITY_SEVERITY", "THREAT_CATEGORY", "SECURITY_LABEL"), ("EVENT_TIMESTAMP", "ALERT_ID"), 2, 3),
-    capability.Capability("INVESTIGATION", ("INVESTIGATION_EVIDENCE",), ("USER_IDENTIFIER", "EVENT_TIMESTAMP"), 1, 2),
-    capability.Capability("ESCALATION", ("ESCALATION_STATUS",), ("SECURITY_SEVERITY",), 1, 1),
-    capability.Capability("INCIDENT_RESPONSE", ("RESOLUTION_TIME",), ("EVENT_TIMESTAMP",), 1, 1),
-    capability.Capability("SECURITY_OPERATIONS", ("ASSET_IDENTIFIER",), ("EXPECTED_TELEMETRY", "ASSET_CRITICALITY", "EVENT_TIMESTAMP"), 1, 3),
-    capability.Capability("OPERATIONAL_DISCIPLINE", ("RESOLUTION_TIME", "SECURITY_SEVERITY"), ("INVESTIGATION_EVIDENCE", "EVENT_TIMESTAMP", "ESCALATION_STATUS"), 1, 3),
-]
+CAPABILITIES = capability.REGISTRY
 
 
 def rules_from(config: dict[str, Any]) -> tuple[list[rules.GapRule], list[rules.AbsenceRule]]:
@@ -135,9 +128,7 @@ class Assessment:
 
     def benchmark(self) -> DataFrame:
         """Robust comparison of every scope and metric with the same period's other entities."""
-        m = self.metrics().select("entity", F.concat_ws("|", "period", "metric").alias("period"), "rate")
-        s = robust.summaries(m)
-        return s.withColumn("metric", F.element_at(F.split("period", r"\|"), -1)).withColumn("period", F.regexp_replace("period", r"\|[^|]*$", ""))
+        return robust.summaries(self.metrics().select("entity", "period", "metric", "rate"), ["period", "metric"], ["entity", "period", "metric"])
 
     def anomalies(self, trees: int = 100) -> DataFrame:
         """Verdict per scope; needs enough complete scopes to train on."""
@@ -155,12 +146,14 @@ class Assessment:
         return views.unified_findings(parts) if parts else None
 
     def run(self) -> dict[str, Any]:
-        """Every layer by name; a layer that cannot run gives its reason instead."""
+        """Every layer by name; a layer without its evidence is UNAVAILABLE with the reason, one with a defect FAILED with its error."""
         out: dict[str, Any] = {}
         layers = {"package": self.package, "scopes": lambda: self.scopes, "capabilities": self.capabilities, "findings": self.findings, "absences": self.absence_measures, "concentration": self.concentration, "repetition": self.repetition, "metrics": self.metrics, "benchmark": self.benchmark, "anomalies": self.anomalies}
         for name, f in layers.items():
             try:
                 out[name] = f()
-            except Exception as e:  # noqa: BLE001  one layer's failure must not hide the others
+            except ValueError as e:
                 out[name] = {"status": "UNAVAILABLE", "reason": str(e)[:300]}
+            except Exception as e:  # noqa: BLE001  one layer's failure must not hide the others
+                out[name] = {"status": "FAILED", "reason": f"{type(e).__name__}: {str(e)[:300]}"}
         return out

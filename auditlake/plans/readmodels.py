@@ -403,6 +403,11 @@ def assessment_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _assessment(spark, d).metrics().where("metric = 'execution_gap_incidence'").select("entity", "period", "metric", "rate")
 
 
+@query(ASSESS + ", r AS (SELECT entity, period, round(count(*) FILTER (WHERE ok AND sev = 'CRITICAL' AND esc = 'NOT_ESCALATED') / count(*), 6) AS rate FROM ar GROUP BY entity, period) SELECT t.entity, t.period, 'execution_gap_incidence' AS metric, count(*) AS peers, round(quantile_cont(p.rate, 0.5) + 1e-9, 6) AS median, count(*) FILTER (WHERE p.rate < t.rate) + 1 AS rank FROM r t JOIN r p ON t.period = p.period AND t.entity <> p.entity GROUP BY t.entity, t.period, t.rate")
+def assessment_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    return _assessment(spark, d).benchmark().where("metric = 'execution_gap_incidence'").select("entity", "period", "metric", "peers", "median", "rank")
+
+
 @query(ASSESS + " SELECT entity, period, count(*) AS records FROM ar GROUP BY ALL")
 def assessment_scopes(spark: SparkSession, d: str) -> DataFrame:
     return _assessment(spark, d).scopes
@@ -412,7 +417,7 @@ def assessment_scopes(spark: SparkSession, d: str) -> DataFrame:
 def assessment_layers(spark: SparkSession, d: str) -> DataFrame:
     """Names of the layers that ran; one that could not would be missing."""
     done = _assessment(spark, d).run()
-    return spark.createDataFrame([(k,) for k, v in done.items() if v is not None and not (isinstance(v, dict) and v.get("status") == "UNAVAILABLE")], "layer string")
+    return spark.createDataFrame([(k,) for k, v in done.items() if v is not None and not (isinstance(v, dict) and v.get("status") in ("UNAVAILABLE", "FAILED"))], "layer string")
 
 
 @query(REC + ", e AS (SELECT entity, count(*) AS n FROM rec GROUP BY 1) SELECT entity, CASE WHEN n >= 650 THEN 'HIGH' WHEN n >= 600 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM e WHERE n >= 600")

@@ -441,7 +441,45 @@ def capability_summary(spark: SparkSession, d: str) -> DataFrame:
     return capability.summary(capability.evaluate(*_capable(spark, d), CAPABILITIES))
 
 
-@query()
+# The mapping rules as the SQL side knows them: position, concept, place, name parts, parts against it, categories, value patterns, whether it is a time.
+_MAP_RULES = r"""(VALUES (1,'ALERT_ID','alert_context.alert_id',['alert_id','alert'],['time','name','level','urgency','severity','case'],['identifier'],['^[A-Z]{2,5}-\d+'],false),
+(2,'SECURITY_SEVERITY','alert_context.severity',['severity','priority','urgency','risk_rating','alert_level'],[],['categorical'],['(?i)^(critical|high|medium|low)$'],false),
+(3,'ASSET_IDENTIFIER','asset_context.asset_id',['host','asset','hostname','server','system'],['criticality','type','security','source'],['identifier'],['^[A-Z]{2,5}-\d+$'],false),
+(4,'ASSET_CRITICALITY','asset_context.criticality',['criticality','business_impact'],[],['categorical'],['(?i)^(critical|high|medium|low)$'],false),
+(5,'ESCALATION_STATUS','response_context.escalation_status',['escalation_status','escalated','referral'],[],['categorical'],['(?i)escalated'],false),
+(6,'THREAT_CATEGORY','alert_context.category',['threat','attack','category'],[],['categorical'],[],false),
+(7,'INVESTIGATION_EVIDENCE','investigation_context.notes',['notes','findings','remarks','investigation'],['time'],[],['\w+ \w+ \w+ \w+'],false),
+(8,'EVENT_TIMESTAMP','alert_context.timestamp',['created','timestamp','triggered','raised','_ts'],['closed','_by','load'],[],['^\d{4}-\d\d-\d\d','^\d\d/\d\d/\d{4}'],true),
+(9,'RESOLUTION_TIME','response_context.resolution_time',['closed_time','close_time','resolution','duration'],['_by'],[],['^\d+$'],true),
+(10,'USER_IDENTIFIER','entity_context.entity_name',['_by','user','actor'],[],[],['^[a-z]+\.[a-z]$'],false),
+(11,'EXPECTED_TELEMETRY','monitoring_context.expected_telemetry',['telemetry','monitoring'],[],[],['(?i)^(true|false|yes|no)$'],false),
+(12,'SECURITY_LABEL','classification_context.security_label',['label','classification'],[],['categorical'],[],false),
+(13,'EVENT_ID','alert_context.event_id',['event_id'],['case'],['identifier'],['^EV-\d+'],false),(14,'ALERT_NAME','alert_context.alert_name',['alert_name'],[],['categorical'],[],false),
+(15,'SOURCE_SYSTEM','alert_context.source_system',['source_system'],[],['categorical'],[],false),(16,'CASE_ID','case_context.case_id',['case_id','case_number'],[],['identifier'],['^CASE-\d+'],false),
+(17,'CASE_ALERT_ID','case_context.alert_id',['case_alert'],[],['identifier'],[],false),(18,'ACKNOWLEDGED_AT','case_context.acknowledged_at',['acknowledged','ack_time'],[],[],['^\d{4}-\d\d-\d\d'],true),
+(19,'CLOSED_AT','case_context.closed_at',['closed_at'],['_by'],[],['^\d{4}-\d\d-\d\d'],true),(20,'ANALYST_ID','case_context.analyst_id',['analyst_id'],[],['identifier'],['^ANL-\d+'],false),
+(21,'ESCALATION_LEVEL','case_context.escalation_level',['escalation_level','tier'],[],['categorical'],['^L\d$'],false),(22,'CLOSURE_DISPOSITION','case_context.closure_disposition',['disposition'],[],['categorical'],[],false),
+(23,'WORKFLOW_CASE_ID','workflow_context.case_id',['event_case'],[],['identifier'],[],false),(24,'WORKFLOW_EVENT_AT','workflow_context.event_at',['event_at'],[],[],['^\d{4}-\d\d-\d\d'],true),
+(25,'WORKFLOW_EVENT_TYPE','workflow_context.event_type',['event_type'],[],['categorical'],[],false),(26,'ASSET_TYPE','asset_context.asset_type',['asset_type'],[],['categorical'],[],false),
+(27,'NETWORK_ZONE','asset_context.network_zone',['network_zone','zone'],[],['categorical'],[],false)) AS t(pos, concept, path, yes, no, cats, vals, is_time)"""
+_MAP_COLUMNS = [("row_id", True), ("feed_id", True), ("load_no", True), ("root_cause_identified", True), *[(c, False) for c in ("cse", "period", "alert_id", "priority", "threat_type", "security_label", "host", "asset_criticality", "telemetry_available", "created_time", "closed_time", "closed_by", "escalation_status", "investigation_notes")]]
+_MAP_SQL = (
+    "WITH cells AS (" + " UNION ALL ".join(f"SELECT '{c}' AS c, {str(n).lower()} AS num, row_id AS r, CAST({c} AS VARCHAR) AS v FROM dataset_capability_rich" for c, n in _MAP_COLUMNS) + f"), d AS (SELECT c, num, v, min(r) AS f FROM cells WHERE v IS NOT NULL AND v NOT IN ({_NA}) GROUP BY ALL), "
+    "s AS (SELECT c, first(num) AS num, count(*) AS uniques, list(v ORDER BY f, v)[1:10] AS samples FROM d GROUP BY c), "
+    "k AS (SELECT c, samples, CASE WHEN num THEN 'numeric' WHEN len(list_filter(['id','host','hostname','asset','device','server','system','machine'], lambda h: contains(c, h))) > 0 THEN 'identifier' WHEN uniques / (SELECT count(*) FROM dataset_capability_rich) > 0.8 AND list_avg(list_transform(samples, lambda x: length(x))) >= 6 AND len(list_filter(samples, lambda x: lower(x) IN ('critical','high','medium','low','open','closed','pending','yes','no','true','false'))) = 0 THEN 'identifier' ELSE 'categorical' END AS cat FROM s), "
+    f"p AS (SELECT k.c, t.*, round(greatest(0, least(1, CASE WHEN len(list_filter(yes, lambda w: contains(c, w))) > 0 THEN least(0.5 + 0.1 * (len(list_filter(yes, lambda w: contains(c, w))) - 1), 0.7) ELSE 0 END - least(0.25 * len(list_filter(no, lambda w: contains(c, w))), 0.5) + CASE WHEN list_contains(cats, cat) THEN 0.25 ELSE 0 END + 0.25 * len(list_filter(vals, lambda w: len(list_filter(samples, lambda x: regexp_matches(x, w))) > 0)))), 2) AS score FROM k, {_MAP_RULES}), "
+    "q AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY score DESC, pos) AS rn FROM p WHERE score >= 0.45), b AS (SELECT * FROM q WHERE rn = 1), "
+    "v AS (SELECT b.*, (SELECT max(score) FROM q WHERE q.c = b.c AND q.path <> b.path) AS rival FROM b), "
+    "st AS (SELECT *, CASE WHEN is_time AND c LIKE '%\\_by' ESCAPE '\\' THEN 'names an actor, not a time' WHEN concept = 'RESOLUTION_TIME' AND (contains(c, 'closed_by') OR contains(c, 'created') OR contains(c, 'opened')) THEN 'is not a resolution time' END AS bad, CASE WHEN rival IS NOT NULL AND score - rival < 0.10 - 1e-9 THEN 'AMBIGUOUS' WHEN score >= 0.6 THEN 'MAPPED' ELSE 'LOW_CONFIDENCE' END AS s0 FROM v), "
+    "w AS (SELECT *, CASE WHEN bad IS NULL AND s0 <> 'AMBIGUOUS' THEN row_number() OVER (PARTITION BY path, bad IS NULL AND s0 <> 'AMBIGUOUS' ORDER BY score DESC, c) END AS place FROM st), "
+    "z AS (SELECT c, concept, path, score, CASE WHEN bad IS NOT NULL THEN 'INVALID' WHEN place > 1 THEN 'AMBIGUOUS' ELSE s0 END AS state, CASE WHEN bad IS NOT NULL THEN bad WHEN place > 1 THEN 'another column holds this place' WHEN s0 = 'AMBIGUOUS' THEN 'another concept is as likely' WHEN s0 = 'MAPPED' THEN 'clear' ELSE 'likely' END AS reason FROM w) "
+    "SELECT n.c AS column_name, concept, path, CAST(coalesce(score, 0) AS DOUBLE) AS confidence, coalesce(state, 'UNMAPPED') AS state, coalesce(reason, 'no concept reaches the least confidence') AS reason, coalesce(state IN ('MAPPED', 'LOW_CONFIDENCE'), false) AS applied FROM (VALUES "
+    + ", ".join(f"('{c}')" for c, _ in _MAP_COLUMNS)
+    + ") AS n(c) LEFT JOIN z USING (c)"
+)
+
+
+@query(_MAP_SQL)
 def mapping_decisions(spark: SparkSession, d: str) -> DataFrame:
     rows = profile.profile_rows(table(spark, d, "dataset_capability_rich").drop("received_at"), "row_id")
     ds = mapping.decide(rows)

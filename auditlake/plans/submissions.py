@@ -237,4 +237,8 @@ _P3_MIXTURE = _P6_LOADED.replace("WITH b AS", "WITH w AS (WITH b AS", 1) + r""")
 y AS (SELECT cse, date_order, t, TRY_CAST(regexp_extract(t, '^(\d{1,2})/(\d{1,2})/\d{4}', 1) AS INTEGER) AS a, TRY_CAST(regexp_extract(t, '^(\d{1,2})/(\d{1,2})/\d{4}', 2) AS INTEGER) AS b FROM x JOIN cse_entities ON cse = cse_id),
 z AS (SELECT cse, date_order, CASE WHEN contains(t, '/') THEN CASE WHEN date_order = 'DMY' AND a BETWEEN 1 AND 31 AND b BETWEEN 1 AND 12 THEN 'slash_dmy' WHEN date_order = 'MDY' AND b BETWEEN 1 AND 31 AND a BETWEEN 1 AND 12 THEN 'slash_mdy' END WHEN t ~ '^\d{4}-\d{2}-\d{2}' THEN 'iso' WHEN t ~ '^\d{1,2}\.\d{1,2}\.\d{4}' THEN 'dotted' WHEN t ~ '^\d{8}[Tt]\d{4}' THEN 'basic' WHEN t ~ '^\d{10}$' THEN 'epoch_s' WHEN t ~ '^\d{13}$' THEN 'epoch_ms' WHEN t ~ '^\d{14}$' THEN 'digits14' WHEN t ~ '^\d{1,4}$' THEN 'hours' WHEN t ~ '[A-Za-z]{3,9}[ ,]+.*\d{4}' THEN 'named' END AS f FROM y)
 SELECT cse, f AS format, round(count(*) / sum(count(*)) OVER (PARTITION BY cse), 6) AS weight, date_order, CASE date_order WHEN 'DMY' THEN 1.0 WHEN 'MDY' THEN 0.0 END AS dmy_posterior FROM z WHERE f IS NOT NULL GROUP BY cse, f, date_order"""
-ORACLE = {"p3_mixture": _P3_MIXTURE, "p4_found": _P4, "p4_schema": _P4_SCHEMA, "p4_table": _P4_TABLE, "p2_found": _P2, "p2_masks": _P2_MASKS, "p2_profile": _P2_PROFILE, "p2_rare": _P2_RARE, "p2_columns": _P2_COLUMNS, "p4_headers": _P4_HEADERS, "p3_found": _P3, "p3_outcomes": _P3_OUTCOMES, "p6_found": _P6, "p6_loaded": _P6_LOADED, "p7_found": _P7 + " SELECT table_name, row_id, reason FROM o WHERE reason IS NOT NULL", "p7_report": _P7_REPORT}
+_P4_LOG = (
+    _P4.replace("SELECT file_id, 'renamed' AS change", ", chg AS (SELECT file_id, 'renamed' AS change", 1)
+    + "), j AS (SELECT f.stream_id, f.seq_no, chg.*, o.t AS old_type, n.t AS new_type, CASE change WHEN 'renamed' THEN 1 WHEN 'retyped' THEN 2 WHEN 'removed' THEN 3 ELSE 4 END AS k FROM chg JOIN submission_files f USING (file_id) LEFT JOIN o ON o.file_id = chg.file_id AND o.name = chg.old_name LEFT JOIN n ON n.file_id = chg.file_id AND n.name = chg.new_name) SELECT stream_id, seq_no, file_id, row_number() OVER (PARTITION BY file_id ORDER BY k, old_name, new_name) AS change_no, change, old_name, new_name, old_type, new_type FROM j"
+)
+ORACLE = {"p4_log": _P4_LOG, "p3_mixture": _P3_MIXTURE, "p4_found": _P4, "p4_schema": _P4_SCHEMA, "p4_table": _P4_TABLE, "p2_found": _P2, "p2_masks": _P2_MASKS, "p2_profile": _P2_PROFILE, "p2_rare": _P2_RARE, "p2_columns": _P2_COLUMNS, "p4_headers": _P4_HEADERS, "p3_found": _P3, "p3_outcomes": _P3_OUTCOMES, "p6_found": _P6, "p6_loaded": _P6_LOADED, "p7_found": _P7 + " SELECT table_name, row_id, reason FROM o WHERE reason IS NOT NULL", "p7_report": _P7_REPORT}

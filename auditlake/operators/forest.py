@@ -59,6 +59,20 @@ def grow(x: np.ndarray, tree: int, seed: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
 
 
+def check_config(config: dict, columns: list[str]) -> list[str]:
+    """What is wrong with a model configuration: features unknown, repeated or missing, contamination outside (0, 0.5], too few trees or samples."""
+    wrong = []
+    names = config.get("features") or []
+    wrong += ["no features"] if not names else []
+    wrong += [f"unknown feature {n}" for n in names if n not in columns]
+    wrong += [f"repeated feature {n}" for n in sorted({n for n in names if names.count(n) > 1})]
+    c = config.get("contamination", 0.1)
+    if isinstance(c, bool) or not isinstance(c, (int, float)) or not 0 < c <= 0.5:
+        wrong.append("contamination must be a number in (0, 0.5]")
+    wrong += [f"{k} must be a whole number of at least {n}" for k, n in (("trees", 1), ("sample", 2)) if not isinstance(config.get(k, n), int) or config.get(k, n) < n]
+    return wrong
+
+
 def train(df: DataFrame, features: list[str], key: list[str], trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
     """Node table of a forest; rows with a missing or non-finite feature do not train."""
     ship_package(df.sparkSession)

@@ -685,5 +685,5 @@ def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
     run = uuid.uuid4().hex
     src = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
     place = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{run}"
-    out = counts.run_to_end(counts.windowed(src, "ts", ["event_type"]), f"window_counts_{run}", place)
+    out = counts.run_to_files(counts.windowed(src, "ts", ["event_type"]), f"{place}/out", f"{place}/state")
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")

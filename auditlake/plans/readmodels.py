@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import texts
-from auditlake.operators import agreement, capability, concepts, filters, flags, mapping, metrics, patterns, profile, relations, robust, rules, scopes, scoring, views
+from auditlake.operators import agreement, capability, concepts, features, filters, flags, forest, integrity, mapping, metrics, patterns, profile, relations, robust, rules, scopes, scoring, views
 from auditlake.plans import layers
 from auditlake.plans.layers import ABS_SQL, CAP, GAP, RATE_SQL, REC, STATE_SQL
 from auditlake.plans.pipeline import Assessment
@@ -424,3 +424,129 @@ def assessment_layers(spark: SparkSession, d: str) -> DataFrame:
 def entities_by_priority(spark: SparkSession, d: str) -> DataFrame:
     e = records(spark, d).groupBy("entity").agg(F.count("*").alias("n")).withColumn("band", scoring.banded(F.col("n"), [(650, "HIGH"), (600, "MEDIUM")], "LOW"))
     return views.by_priority(e, "n", "band", "LOW").select("entity", "band")
+
+
+# --- configuration, names, small pieces ----------------------------------------------------------
+
+
+def _listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+@query("SELECT * FROM (VALUES ('host', 'THREAT_CATEGORY', 'applied'), ('priority', 'ALERT_ID', 'another column holds this place'), ('nothing', 'ALERT_ID', 'no such column'), ('period', 'NO_CONCEPT', 'no such concept'), ('closed_by', 'RESOLUTION_TIME', 'names an actor, not a time')) AS t(column_name, concept, outcome)")
+def mapping_overrides(spark: SparkSession, d: str) -> DataFrame:
+    """Reviewer's choices: applied, or rejected with the reason."""
+    rows = profile.profile_rows(table(spark, d, "dataset_multi_cse").drop("received_at").withColumn("closed_by", F.lit("ann.a")), "row_id")
+    wanted = {"host": "THREAT_CATEGORY", "priority": "ALERT_ID", "nothing": "ALERT_ID", "period": "NO_CONCEPT", "closed_by": "RESOLUTION_TIME"}
+    done, rejected = mapping.override(mapping.decide(rows), wanted)
+    held = {x.column: x.concept for x in done if x.applied}
+    return _listed(spark, [(c, w, rejected.get(c, "applied" if held.get(c) == w else "lost")) for c, w in wanted.items()], "column_name string, concept string, outcome string")
+
+
+@query("SELECT * FROM (VALUES ('alert_context', 'ALERTS'), ('case_context', 'CASES'), ('region', 'UNKNOWN')) AS t(name, role)")
+def mapping_roles(spark: SparkSession, d: str) -> DataFrame:
+    rows = []
+    for name, key in (("alert_context", "row_id"), ("case_context", "row_id"), ("region", "r_regionkey")):
+        t = table(spark, d, name)
+        t = t.select(*[F.col(c).cast("string").alias(c) if k.startswith("timestamp") else F.col(c) for c, k in t.dtypes])
+        rows.append((name, mapping.role(mapping.decide(profile.profile_rows(t, key)))[0]))
+    return _listed(spark, rows, "name string, role string")
+
+
+@query("SELECT row_id, alert_id AS \"ALERT_ID\", priority AS \"SECURITY_SEVERITY\", host AS \"ASSET_IDENTIFIER\", created_time AS \"EVENT_TIMESTAMP\", investigation_notes AS \"INVESTIGATION_EVIDENCE\" FROM dataset_multi_cse")
+def mapping_projection(spark: SparkSession, d: str) -> DataFrame:
+    ds, t = _decisions(spark, d), table(spark, d, "dataset_multi_cse")
+    p = mapping.project(t.withColumn("_row", F.col("row_id")), ds).columns
+    return t.select("row_id", *[F.col(next(x.column for x in ds if x.applied and x.concept == c)).alias(c) for c in p])
+
+
+@query("SELECT p_partkey, 'P' AS period FROM part")
+def period_inherited(spark: SparkSession, d: str) -> DataFrame:
+    """One label in the whole table: rows without one inherit it."""
+    t = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") > 25, F.lit("P")).alias("label"))
+    return scopes.with_period(t, "label").select("p_partkey", "period")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'EVEN' ELSE 'UNKNOWN_PERIOD' END AS period FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'THIRD' FROM customer WHERE c_custkey % 2 = 1 AND c_custkey % 3 = 0")
+def period_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Several labels: rows without one have no known period."""
+    label = F.when(F.col("c_custkey") % 2 == 0, "EVEN").when(F.col("c_custkey") % 3 == 0, "THIRD")
+    return scopes.with_period(table(spark, d, "customer").select("c_custkey", label.alias("label")), "label").select("c_custkey", "period")
+
+
+@query("SELECT * FROM (VALUES ('plain.csv', 'plain.csv'), ('a b.csv', 'a_b.csv-' || left(sha256('a b.csv'), 8)), ('x/../y.csv', 'y.csv-' || left(sha256('x/../y.csv'), 8))) AS t(name, safe)")
+def safe_names(spark: SparkSession, d: str) -> DataFrame:
+    return _listed(spark, [(n, integrity.safe_name(n)) for n in ("plain.csv", "a b.csv", "x/../y.csv")], "name string, safe string")
+
+
+@query("SELECT 'EV-20260102T030405Z-' || left(sha256('x'), 12) AS evidence_id, sha256('{\"a\": 1, \"b\": [2]}') AS fingerprint")
+def evidence_names(spark: SparkSession, d: str) -> DataFrame:
+    import datetime as dt
+    import hashlib
+
+    at = dt.datetime(2026, 1, 2, 3, 4, 5, tzinfo=dt.UTC)
+    return _listed(spark, [(integrity.evidence_id("EV", hashlib.sha256(b"x").hexdigest(), at), texts.fingerprint({"b": [2], "a": 1}))], "evidence_id string, fingerprint string")
+
+
+@query("SELECT * FROM (VALUES ('alert_management', 0.5), ('investigation', 1.0), ('assets', 0.5), ('network', 0.0)) AS t(area, share)")
+def dataset_context(spark: SparkSession, d: str) -> DataFrame:
+    c = concepts.context(["SECURITY_SEVERITY", "INVESTIGATION_EVIDENCE", "ESCALATION_STATUS", "ASSET_IDENTIFIER"])
+    return _listed(spark, list(c.items()), "area string, share double")
+
+
+@query("SELECT * FROM (VALUES ('repeated ids'), ('unknown concept'), ('operator'), ('capability: T: unknown concept NO_SUCH'), ('capability: T: its least evidence cannot be met'), ('capability: T: repeated'), ('model: unknown feature z'), ('model: contamination must be a number in (0, 0.5]')) AS t(problem)")
+def configuration_errors(spark: SparkSession, d: str) -> DataFrame:
+    """What a faulty configuration is refused for."""
+    found = []
+    good = layers.GAP
+    for rules_, name in (([good, good], "repeated ids"), ([rules.GapRule("r", ("nothing",), (), ())], "unknown concept")):
+        try:
+            rules.validate(rules_, ["severity", "escalation"])
+        except ValueError:
+            found.append(name)
+    try:
+        rules.Condition("severity", "like", ("x",))
+    except ValueError:
+        found.append("operator")
+    bad = [capability.Capability("T", ("NO_SUCH",), (), 2, 2), capability.Capability("T", ("SECURITY_SEVERITY",), (), 1, 1)]
+    found += [f"capability: {x}" for x in capability.check_registry(bad, set(concepts.PATHS))]
+    found += [f"model: {x}" for x in forest.check_config({"features": ["z"], "contamination": "auto"}, ["a"])]
+    return _listed(spark, [(x,) for x in found], "problem string")
+
+
+@query("SELECT 'root_cause_identified' AS column_name, 'numeric' AS kind, count(DISTINCT root_cause_identified) AS unique_values, count(*) - count(root_cause_identified) AS null_values, count(*) AS total_rows, CAST(min(CAST(root_cause_identified AS INTEGER)) AS DOUBLE) AS min, CAST(max(CAST(root_cause_identified AS INTEGER)) AS DOUBLE) AS max, round(avg(CAST(root_cause_identified AS INTEGER)), 4) AS mean, round(coalesce(stddev_samp(CAST(root_cause_identified AS INTEGER)), 0), 4) AS std FROM dataset_capability_rich")
+def profile_boolean(spark: SparkSession, d: str) -> DataFrame:
+    return profile.inventory(table(spark, d, "dataset_capability_rich"), ["root_cause_identified"])
+
+
+@query(RATE_SQL + ", q AS (SELECT sector, quantile_cont(rate, 0.5) AS md, quantile_cont(rate, 0.1) AS a, quantile_cont(rate, 0.9) AS z FROM m GROUP BY 1) SELECT entity, period, round(CASE WHEN z > a THEN abs(rate - md) / (z - a) ELSE 0 END + 1e-9, 6) AS distance FROM m JOIN q USING (sector)")
+def robust_distances(spark: SparkSession, d: str) -> DataFrame:
+    m = layers._rates(spark, d)
+    q = m.groupBy("sector").agg(F.percentile("rate", F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9))).alias("q"))
+    return m.join(q, "sector").select("entity", "period", robust.r6(robust.robust_distance(F.col("rate"), F.col("q")[0], F.col("q")[1], F.col("q")[2])).alias("distance"))
+
+
+@query(layers.ORACLE["fx_features"].replace("SELECT * FROM b LEFT JOIN e", "SELECT entity, period, CAST(scope_record_count AS DOUBLE) AS scope_record_count, critical_share FROM b LEFT JOIN e") + " WHERE critical_share IS NOT NULL")
+def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return features.matrix(features.scope_features(records(spark, d)), ["scope_record_count", "critical_share"])
+
+
+@query("SELECT true AS same_nodes, true AS same_digest, true AS refuses_changes")
+def forest_saved(spark: SparkSession, d: str) -> DataFrame:
+    """A forest written and read again; a changed one is refused."""
+    import uuid
+
+    ensure_checkpoint_dir(spark)
+    f = features.scope_features(records(spark, d)).checkpoint()
+    nodes = forest.train(f, layers.FEATURES, ["entity", "period"], trees=5).checkpoint()
+    to = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/forest-{uuid.uuid4().hex}"
+    digest = forest.save(nodes, to, {"features": layers.FEATURES})
+    back, meta = forest.load(spark, to)
+    same = back.exceptAll(nodes).isEmpty() and nodes.exceptAll(back).isEmpty()
+    nodes.limit(0).write.mode("overwrite").parquet(f"{to}/nodes")
+    try:
+        forest.load(spark, to)
+        refused = False
+    except ValueError:
+        refused = True
+    return _listed(spark, [(same, meta["sha256"] == digest, refused)], "same_nodes boolean, same_digest boolean, refuses_changes boolean")

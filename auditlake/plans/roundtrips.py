@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from auditlake.operators import evidence, integrity
 from auditlake.session import ensure_checkpoint_dir, table
 from auditlake.sources import adapters, files, sinks, sqlite
-from auditlake.streaming import counts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -233,10 +232,38 @@ def evidence_register(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, original string, working string, opens boolean")
 
 
-@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
-def stream_to_files(spark: SparkSession, d: str) -> DataFrame:
-    """A stream in update mode, batches in files; nothing is kept on the driver."""
-    to = _folder(spark)
-    src = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
-    out = counts.run_to_files(counts.windowed(src, "ts", ["event_type"]), to + "/out", to + "/state")
-    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
+@query("SELECT * FROM (VALUES ('a.csv'), ('deep/b.json'), ('deep/c.db')) AS t(path)")
+def src_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Readable files below a folder; hidden, technical and other files are left out."""
+    at = _local(_folder(spark))
+    for name in ("a.csv", "deep/b.json", "deep/c.db", "deep/notes.md", ".git/x.csv", "__pycache__/y.csv"):
+        (at / name).parent.mkdir(parents=True, exist_ok=True)
+        (at / name).write_text("x")
+    return spark.createDataFrame([(p,) for p in files.datasets(str(at))], "path string")
+
+
+@query("SELECT CAST(10 AS BIGINT) AS kept, 'only the first 10 records are read' AS warning UNION ALL SELECT (SELECT count(*) FROM nation), NULL")
+def src_rowcap(spark: SparkSession, d: str) -> DataFrame:
+    """The cap is off unless it is asked for, and then says so."""
+    t = table(spark, d, "nation")
+    return spark.createDataFrame([(df.count(), w) for df, w in (files.row_cap(t, 10), files.row_cap(t))], "kept bigint, warning string")
+
+
+@query("SELECT 'header 2, record 3' AS refused")
+def src_malformed(spark: SparkSession, d: str) -> DataFrame:
+    at = _local(_folder(spark))
+    (at / "good.csv").write_text("a,b\n1,2\n")
+    (at / "bad.csv").write_text("a,b\n1,2,3\n")
+    files.check_fields(str(at / "good.csv"))
+    try:
+        files.check_fields(str(at / "bad.csv"))
+        said = "nothing"
+    except ValueError as e:
+        said = "header 2, record 3" if "2 fields" in str(e) and "record 3" in str(e) else str(e)
+    return spark.createDataFrame([(said,)], "refused string")
+
+
+@query("SELECT 0 AS line, 'Regions' AS text UNION ALL SELECT 1, 'r_regionkey  r_name' UNION ALL SELECT 2 + r_regionkey, rpad(CAST(r_regionkey AS VARCHAR), 11, ' ') || '  ' || r_name FROM region")
+def report_text(spark: SparkSession, d: str) -> DataFrame:
+    text = sinks.text_report("Regions", table(spark, d, "region").select("r_regionkey", "r_name").orderBy("r_regionkey"))
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "line int, text string")

@@ -53,6 +53,7 @@ def ship_package(spark: SparkSession) -> None:
     Python workers import the functions they run; on a cluster the package need not be
     installed there. The archive holds code only and travels through Spark's file server.
     """
+    import atexit
     import shutil
     from pathlib import Path
 
@@ -61,6 +62,7 @@ def ship_package(spark: SparkSession) -> None:
         return
     here = Path(__file__).resolve().parent
     to = tempfile.mkdtemp(prefix="auditlake-code-")
+    atexit.register(shutil.rmtree, to, True)
     stage = Path(to) / "stage"
     shutil.copytree(here, stage / here.name, ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
     sc.addPyFile(shutil.make_archive(str(Path(to) / "auditlake_code"), "zip", stage))

@@ -167,6 +167,16 @@ def load(spark: SparkSession, path: str, kind: str | None = None, **options) ->
     return normalise(_LOADERS[kind](spark, path, **options))
 
 
+SKIPPED = {"__pycache__", "node_modules", "venv", ".venv", ".git"}  # fixed values: folders that hold no submissions
+
+
+def datasets(root: str, suffixes: tuple[str, ...] = tuple(EXTENSIONS)) -> list[str]:
+    """Readable files below a folder by suffix, hidden and technical folders left out, as sorted relative paths."""
+    base = Path(root.removeprefix("file://").removeprefix("file:"))
+    found = (p for p in base.rglob("*") if p.is_file() and p.suffix.lower() in suffixes)
+    return sorted(str(p.relative_to(base)) for p in found if not any(x in SKIPPED or x.startswith(".") for x in p.relative_to(base).parts))
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     """All records under the union of the columns in first-seen order."""
     out = frames[0]

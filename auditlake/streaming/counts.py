@@ -13,13 +13,6 @@ def windowed(events: DataFrame, time: str, by: list[str], width: str = "1 hour",
     return e.groupBy(F.window("_t", width).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), *by, "n")
 
 
-def run_to_end(counts: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Process what is there, stop, and return the counts as a table."""
-    q = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return counts.sparkSession.table(name)
-
-
 def run_to_files(counts: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Process what is there in update mode, each batch into a folder of its own, and return the latest count of every window.
 

@@ -125,7 +125,7 @@ def test_integrity(spark, tmp_path):
 def test_stream_equals_batch(spark, tmp_path):
     batch = counts.windowed(table(spark, SF, "events"), "ts", ["event_type"])
     src = spark.readStream.schema(table(spark, SF, "events").schema).parquet(f"{SF}/events.parquet*")
-    got = counts.run_to_end(counts.windowed(src, "ts", ["event_type"]), "t_counts", str(tmp_path / "ck"))
+    got = counts.run_to_files(counts.windowed(src, "ts", ["event_type"]), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect())) and got.agg(F.sum("n")).first()[0] == table(spark, SF, "events").count()
 
 

@@ -1,17 +1,24 @@
 """Robust comparison of each target with its peers: quartiles, MAD, modified z, rank, percentile, fences.
 
-Targets meet their peers once, in a self equi-join on the period (and tier attributes);
-its size is the sum of squared cohort sizes of scopes, not of records. Statistics are
-one aggregation over that frame, plus a second for the deviation from the median.
+Peers are the other members of a cohort, so every target has a distribution of its own that
+lacks one value. No pairs are formed: members are ranked once per cohort, and leaving out
+the value at rank t only shifts the ranks from t on by one, so each order statistic of a
+target is a lookup by (cohort, rank). Leaving out one value moves a cohort's median among
+at most three values, so deviations are ranked once per cohort and median. The work is that
+of sorting; a cohort is one sorted run, which spills.
+
+An entity stands once in a cohort. Targets without a rate are compared with all members.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.session import ensure_checkpoint_dir
+
 NUDGE = 1e-9  # lifts interpolated values off exact rounding ties, the same on both sides of a comparison
 
 
@@ -19,30 +26,31 @@ def r6(c: Column) -> Column:
     return F.round(c + NUDGE, 6)
 
 
-def peers(metrics: DataFrame, on: list[str], key: str = "entity") -> DataFrame:
-    """(target columns..., peer_rate): every other member of the cohort with a rate."""
-    t, p = metrics.alias("t"), metrics.where("rate IS NOT NULL").select(*on, F.col(key).alias("peer"), F.col("rate").alias("peer_rate")).alias("p")
-    return t.join(p, on).where(F.col(f"t.{key}") != F.col("p.peer"))
-
-
 def summaries(metrics: DataFrame, on: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
     """One row per target with all robust statistics; `baseline` says how far they carry: below 3 peers not at all, below 8 to a limited degree.
 
     `keys` names what identifies a target beside the columns of its cohort `on`.
     """
-    keys = keys or ["entity", "period"]
-    return _summarise(peers(metrics, on or ["period"]).select(*keys, "rate", "peer_rate"), keys)
+    keys, on = keys or ["entity", "period"], on or ["period"]
+    metrics = _stored(metrics)
+    cohort = F.to_json(F.array(*[F.col(c).cast("string") for c in on])).alias("cohort")
+    known = metrics
+    for c in on:
+        known = known.where(F.col(c).isNotNull())
+    return _summarise(known.select(*keys, "rate", cohort), known.where("rate IS NOT NULL").select("entity", F.col("rate").alias("v"), cohort), keys)
 
 
 def tier_summaries(metrics: DataFrame, tiers: list[list[str]]) -> DataFrame:
     """As `summaries`, each target against the peers of its own cohort: the first tier in which it has any. Adds `tier`."""
+    metrics = _stored(metrics)
     chosen = cohort_tiers(metrics, tiers).select("entity", "period", "tier")
     keys = [F.when(reduce(lambda a, b: a & b, [F.col(a).isNotNull() for a in attrs]), F.struct(F.lit(i).cast("bigint").alias("tier"), F.to_json(F.array(*[F.col(a).cast("string") for a in attrs])).alias("cohort"))) for i, attrs in enumerate(tiers, 1)]
     # Every member stands in its cohort of each tier; a target looks only into that of its own tier.
     members = metrics.where("rate IS NOT NULL").select(F.col("entity").alias("peer"), F.col("rate").alias("peer_rate"), F.explode(F.array_compact(F.array(*keys))).alias("c")).select("peer", "peer_rate", "c.*")
     targets = metrics.join(chosen, ["entity", "period"]).select("entity", "period", "rate", "tier", F.element_at(F.array(*keys), F.col("tier").cast("int"))["cohort"].alias("cohort"))
-    frame = targets.join(members, ["tier", "cohort"]).where("entity <> peer").select("entity", "period", "rate", "peer_rate")
-    return _summarise(frame, ["entity", "period"]).join(chosen, ["entity", "period"])
+    own = F.concat_ws(":", "tier", "cohort").alias("cohort")
+    s = _summarise(targets.select("entity", "period", "rate", own), members.select(F.col("peer").alias("entity"), F.col("peer_rate").alias("v"), own), ["entity", "period"])
+    return s.join(chosen, ["entity", "period"])
 
 
 def concept_evidence(index: DataFrame, declared: list[str]) -> DataFrame:
@@ -58,12 +66,46 @@ def with_attributes(metrics: DataFrame, attributes: DataFrame, names: list[str])
     return metrics.join(attributes.select("entity", *names), "entity", "left")
 
 
-def _summarise(frame: DataFrame, keys: list[str]) -> DataFrame:
-    g = frame.groupBy(*keys, "rate").agg(
-        F.count("*").alias("peers"), F.percentile("peer_rate", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min("peer_rate").alias("lo"), F.max("peer_rate").alias("hi"),
-        F.count_if(F.col("peer_rate") < F.col("rate")).alias("below"), F.count_if(F.col("peer_rate") == F.col("rate")).alias("equal"),
-    ).withColumns({"q1": r6(F.col("q")[0]), "median": r6(F.col("q")[1]), "q3": r6(F.col("q")[2])}).drop("q")
-    dev = frame.join(g.select(*keys, "median"), keys).groupBy(*keys).agg(r6(F.percentile(F.abs(F.col("peer_rate") - F.col("median")), F.lit(0.5))).alias("mad"))
+def _stored(metrics: DataFrame) -> DataFrame:
+    """One row per target, read by every step below."""
+    ensure_checkpoint_dir(metrics.sparkSession)
+    return metrics.checkpoint()
+
+
+def _lookup(targets: DataFrame, ranked: DataFrame, on: list[str], keys: list[str], places: dict[str, Column]) -> DataFrame:
+    """(keys..., one column per place): the ranked values at each target's places, its own left out.
+
+    `targets` has `t`, the rank of its own value (NULL: none of them is its own).
+    """
+    shifted = lambda k: k + F.coalesce((k >= F.col("t")).cast("bigint"), F.lit(0))
+    cells = F.array(*[F.struct(F.lit(n).alias("place"), shifted(F.floor(k)).alias("r")) for n, k in places.items()])
+    want = targets.select(*keys, *on, F.explode(cells).alias("x")).select(*keys, *on, "x.place", "x.r")
+    return want.join(ranked, [*on, "r"]).groupBy(*keys).agg(*[F.max(F.when(F.col("place") == n, F.col("v"))).alias(n) for n in places])
+
+
+def _between(lo: str, hi: str, at: Column) -> Column:
+    """Linear interpolation between two neighbouring order statistics."""
+    part = at - F.floor(at)
+    return (1 - part) * F.col(lo) + part * F.col(hi)
+
+
+def _summarise(targets: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    by = Window.partitionBy("cohort").orderBy("v", "entity")
+    m = members.select("cohort", "entity", "v", (F.row_number().over(by) - 1).cast("bigint").alias("r"), (F.rank().over(Window.partitionBy("cohort").orderBy("v")) - 1).cast("bigint").alias("below"))
+    size = members.groupBy("cohort").agg(F.count("*").alias("n"))
+    ties = members.groupBy("cohort", "v").agg(F.count("*").alias("ties"))
+    own = m.join(ties, ["cohort", "v"]).select("cohort", "entity", F.col("r").alias("t"), "below", (F.col("ties") - 1).alias("equal"))
+    t = targets.join(size, "cohort").join(own, ["cohort", "entity"], "left")
+    t = t.withColumn("peers", F.col("n") - F.col("t").isNotNull().cast("bigint")).where("peers > 0").na.fill(0, ["below", "equal"])
+    at = {f: (F.col("peers") - 1) * f for f in (0.25, 0.5, 0.75)}
+    places = {"lo": F.lit(0).cast("double"), "hi": (F.col("peers") - 1).cast("double"), **{f"a{i}": a for i, a in enumerate(at.values())}, **{f"b{i}": F.ceil(a).cast("double") for i, a in enumerate(at.values())}}
+    g = t.join(_lookup(t, m.select("cohort", "r", "v"), ["cohort"], keys, places), keys)
+    g = g.withColumns({name: r6(_between(f"a{i}", f"b{i}", a)) for i, (name, a) in enumerate(zip(("q1", "median", "q3"), at.values()))}).select(*keys, "cohort", "rate", "peers", "below", "equal", "lo", "hi", "q1", "median", "q3").checkpoint()
+    spread = members.join(g.select("cohort", "median").distinct(), "cohort").select("cohort", "median", "entity", F.abs(F.col("v") - F.col("median")).alias("v"))
+    d = spread.withColumn("r", (F.row_number().over(Window.partitionBy("cohort", "median").orderBy("v", "entity")) - 1).cast("bigint"))
+    td = g.select(*keys, "cohort", "median", "peers").join(d.select("cohort", "median", "entity", F.col("r").alias("t")), ["cohort", "median", "entity"], "left")
+    half = (F.col("peers") - 1) * 0.5
+    dev = _lookup(td, d.select("cohort", "median", "r", "v"), ["cohort", "median"], keys, {"a": half, "b": F.ceil(half).cast("double")}).join(td.select(*keys, "peers"), keys).select(*keys, r6(_between("a", "b", half)).alias("mad"))
     s = g.join(dev, keys)
     z = F.when(F.col("mad") > 0, r6(F.lit(0.6745) * (F.col("rate") - F.col("median")) / F.col("mad")))
     fence = lambda sign, q: F.when(F.col("peers") >= 4, r6(F.col(q) + sign * 1.5 * (F.col("q3") - F.col("q1"))))

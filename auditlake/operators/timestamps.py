@@ -355,10 +355,12 @@ def format_sets(values: DataFrame) -> DataFrame:
     Values are counted by layout first, so that the patterns run once per layout of a
     source; only slash dates are read value by value.
     """
-    v = F.btrim("value", F.lit(BLANKS))
+    v = F.col("v")
     slash = F.contains(v, F.lit("/"))
-    key = F.when(slash, slash_set(v)).otherwise(F.substring(F.translate(v, "012345678", "9" * 9), 1, 40))
-    seen = values.where("value IS NOT NULL").select("cse", slash.alias("slash"), key.alias("k")).where("k IS NOT NULL").groupBy("cse", "slash", "k").agg(F.count("*").alias("n"))
+    key = F.when(slash, slash_set(v)).when(v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), "9999-99-99").otherwise(F.substring(F.translate(v, "012345678", "9" * 9), 1, 40))
+    # Through a one-row list, so that a value is trimmed once and not in every branch.
+    once = values.where("value IS NOT NULL").select("cse", F.explode(F.array(F.btrim("value", F.lit(BLANKS)))).alias("v"))
+    seen = once.select("cse", slash.alias("slash"), key.alias("k")).where("k IS NOT NULL").groupBy("cse", "slash", "k").agg(F.count("*").alias("n"))
     return seen.select("cse", F.when(F.col("slash"), F.col("k")).otherwise(layout_format(F.col("k"))).alias("formats"), "n").where("formats IS NOT NULL").groupBy("cse", "formats").agg(F.sum("n").alias("n"))
 
 

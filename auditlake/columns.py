@@ -84,7 +84,7 @@ def norm_value(c: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Sorted distinct runs of a-z and 0-9 after lower-casing; NULL when there is none."""
-    a = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(as_col(c)), F.lit("([a-z0-9]+)"), F.lit(1))))
+    a = F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower(as_col(c)), F.lit("([a-z0-9]+)"), F.lit(1))))
     return F.when(F.size(a) > 0, a)
 
 

@@ -11,19 +11,31 @@ tokens are in no set; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from itertools import pairwise
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from auditlake.columns import jaccard, tokens
 from auditlake.operators import graph
 from auditlake.session import ensure_checkpoint_dir
 
 PERMUTATIONS, BAND_ROWS = 256, 4
+# Best matches: sets in a block, sets compared at a time, additions at a time. A token is frequent if it meets in more than
+# this share of the pairs (there a column of a matrix costs less than its postings); so many at most.
+BLOCK, ROWS, PIECE = 32_768, 256, 1 << 20
+FREQUENT, COLUMNS = 0.006, 1024
 
 
 def token_sets(df: DataFrame, group: list[str], row_id: str, text: str) -> DataFrame:
     """(group..., id, toks, copies): one row per distinct token set of a group; id is its smallest row."""
-    t = df.select(*group, F.col(row_id).alias("id"), tokens(text).alias("toks")).where("toks IS NOT NULL")
+    t = df.where(F.lower(text).rlike("[a-z0-9]")).select(*group, F.col(row_id).alias("id"), tokens(text).alias("toks"))
     return t.groupBy(*group, "toks").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
 
 
@@ -58,38 +70,116 @@ def similar_pairs(sets: DataFrame, group: list[str], threshold: float) -> DataFr
     return _exact_pairs(sets, group, threshold).withColumn("similarity", F.round("similarity", 6))
 
 
-def max_similarity(sets: DataFrame, group: list[str], bound: float | None = None) -> DataFrame:
-    """(group..., id, max_similarity): each set's greatest similarity to another record of its group.
+def max_similarity(sets: DataFrame, group: list[str]) -> DataFrame:
+    """(group..., id, copies, max_similarity): each set's greatest similarity to another record of its group.
 
-    A set held by several records has 1.0. The others count their overlaps with every set of
-    the group through an inverted index of 64-bit token hashes, each pair once; meant for
-    scope-sized groups, since the index is quadratic in the sets of a group that share a
-    token. With `bound`, sets that have a partner at least that similar are settled by the
-    prefix join first, which finds all such partners, and leave the index: worth it where
-    many sets have one.
+    A set held by several records has 1.0. Every other set is compared with every set of its
+    group: the sets travel once, as 64-bit token hashes, and no pair leaves the worker it is
+    compared in. Time is quadratic in the sets of a group, disk and memory are not.
     """
-    return _best_match(sets, group, bound).withColumn("max_similarity", F.round("max_similarity", 6))
+    return _best_match(sets, group).withColumn("max_similarity", F.round("max_similarity", 6))
 
 
-def _best_match(sets: DataFrame, group: list[str], bound: float | None = None) -> DataFrame:
-    """(group..., id, copies, max_similarity) unrounded."""
-    ensure_checkpoint_dir(sets.sparkSession)
-    sets = sets.checkpoint()
-    open_ = sets.select("id", F.when(F.col("copies") > 1, 1.0).alias("known"))
-    if bound is not None:
-        near = _exact_pairs(sets, group, bound)
-        near = near.select(F.col("a").alias("id"), "similarity").unionByName(near.select(F.col("b").alias("id"), "similarity")).groupBy("id").agg(F.max("similarity").alias("s"))
-        open_ = open_.join(near, "id", "left").select("id", F.coalesce("known", "s").alias("known")).checkpoint()
-    k = _keyed(sets, group)
-    if bound is not None:
-        k = k.join(open_, "id").withColumn("open", F.col("known").isNull())
+def _best_match(sets: DataFrame, group: list[str]) -> DataFrame:
+    """(group..., id, copies, max_similarity) unrounded.
+
+    Groups of more than `BLOCK` sets are cut into blocks and each pair of blocks is a unit of
+    work of its own, so no worker holds more than two blocks.
+    """
+    large = sets.groupBy(*group).agg(F.count("id").alias("n"), F.max("copies").alias("c")).where((F.col("n") > BLOCK) & (F.col("c") > 0))  # reads copies so that both uses share one shuffle
+    large = F.broadcast(large.select(*[F.col(g).alias(f"_{g}") for g in group], F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))  # at most one row per BLOCK sets
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group])
+    k = sets.join(large, same, "left").select(*group, "id", "copies", F.transform("toks", lambda t: F.xxhash64(t)).alias("keys"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    k = k.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    units = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least("block", i).alias("a"), F.greatest("block", i).alias("b")))
+    k = k.withColumn("unit", F.explode(units)).select(*group, "unit.a", "unit.b", "block", "id", "copies", "keys")
+    schema = StructType([sets.schema[c] for c in (*group, "id", "copies")] + [StructField("m", DoubleType())])
+    found = k.groupBy(*group, "a", "b").applyInArrow(_unit([*group, "id", "copies"]), schema)
+    return found.groupBy(*group, "id").agg(F.max("copies").alias("copies"), F.max("m").alias("m")).select(*group, "id", "copies", F.when(F.col("copies") > 1, 1.0).otherwise(F.col("m")).alias("max_similarity"))
+
+
+def _unit(kept: list[str]) -> Callable[[pa.Table], pa.Table]:
+    """Best matches of a unit: of the sets of one block among themselves, or of two blocks with each other."""
+
+    def run(t: pa.Table) -> pa.Table:
+        keys = t.column("keys").combine_chunks()
+        first = t.column("block").to_numpy() == t.column("a")[0].as_py()
+        m = best_matches(keys.flatten().to_numpy(), keys.value_lengths().to_numpy(), None if first.all() and t.column("a")[0] == t.column("b")[0] else ~first)
+        return t.select(kept).append_column("m", pa.array(m))
+
+    return run
+
+
+def best_matches(keys: np.ndarray, sizes: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
+    """Each set's greatest similarity to another set, or, where `second` tells two blocks apart, to a set of the other block.
+
+    `keys` holds the tokens of all sets, one set after the other. Overlaps are counted for
+    `ROWS` sets at a time against all that follow: frequent tokens as a product of 0/1
+    matrices (sums in single precision, exact below 2^24), the others through their postings.
+    Sets lie in order of size, so the largest overlap with each size is enough.
+    """
+    n = len(sizes)
+    part = np.zeros(n, bool) if second is None else second
+    order = np.lexsort((sizes, part))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    row, size = np.repeat(rank, sizes), sizes[order].astype(np.int64)
+    rows_end = n if second is None else int(n - part.sum())
+    code = np.unique(keys, return_inverse=True)[1]
+    own = np.bincount(code[row < rows_end], minlength=code.max(initial=0) + 1)
+    if second is None:
+        other, useful = own, own > 1
     else:
-        k = k.withColumn("open", F.lit(True))
-    side = lambda i: k.select(F.col("id").alias(i), F.col("size").alias(f"n{i}"), F.col("open").alias(f"o{i}"), F.explode("keys").alias("key"))
-    over = side("a").join(side("b"), "key").where("a < b AND (oa OR ob)").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    best = over.select(F.explode(F.array("a", "b")).alias("id"), (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("m")).groupBy("id").agg(F.max("m").alias("m"))
-    joined = sets.join(best, "id", "left").join(open_, "id")
-    return joined.select(*group, "id", "copies", F.coalesce("known", "m", F.lit(0.0)).alias("max_similarity"))
+        other = np.bincount(code[row >= rows_end], minlength=len(own))
+        useful = (own > 0) & (other > 0)
+    meets = own.astype(float) * other
+    cols = n if second is None else n - rows_end
+    frequent = np.flatnonzero(useful & (meets > FREQUENT * rows_end * cols))
+    frequent = frequent[np.argsort(-meets[frequent], kind="stable")[:COLUMNS]]
+    place = np.full(len(own), -1)
+    place[frequent] = np.arange(len(frequent))
+    matrix = np.zeros((n, len(frequent)), np.float32)
+    at = place[code] >= 0
+    matrix[row[at], place[code[at]]] = 1
+
+    rare = useful[code] & ~at
+    r, c = row[rare], code[rare]
+    by_code = np.lexsort((r, c))
+    if second is not None:
+        by_code = by_code[r[by_code] >= rows_end]
+    posting, held = r[by_code], np.bincount(c[by_code], minlength=len(own))
+    end = np.cumsum(held)
+    start = end - held
+    by_row = np.argsort(r, kind="stable")
+    r, c = r[by_row], c[by_row]
+
+    best = np.zeros(n)
+    for p in range(0, rows_end, ROWS):
+        q = min(p + ROWS, rows_end)
+        lo = p if second is None else rows_end
+        overlap = matrix[p:q] @ matrix[lo:].T
+        flat, width = overlap.reshape(-1), n - lo
+        x, y = np.searchsorted(r, (p, q))
+        total = np.cumsum(end[c[x:y]] - start[c[x:y]])
+        i = 0
+        while i < y - x:  # whole entries, about `PIECE` additions at a time
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PIECE, "right")))
+            e = c[x + i : x + j]
+            many = end[e] - start[e]
+            to = np.arange(many.sum()) + np.repeat(start[e] - (np.cumsum(many) - many), many)
+            np.add.at(flat, np.repeat((r[x + i : x + j] - p) * width - lo, many) + posting[to], np.float32(1))
+            i = j
+        if second is None:
+            np.add.at(start, c[x:y], 1)  # these rows are done and lead their postings
+            overlap[np.arange(q - p), np.arange(q - p)] = 0
+        s = np.r_[0, np.flatnonzero(np.diff(size[lo:])) + 1]
+        o = np.maximum.reduceat(overlap, s, axis=1).astype(float)
+        best[p:q] = np.maximum(best[p:q], (o / (size[p:q, None] + size[lo:][s] - o)).max(axis=1))
+        s = np.r_[0, np.flatnonzero(np.diff(size[p:q])) + 1, q - p]
+        for i, j in pairwise(s):
+            o = overlap[i:j].max(axis=0).astype(float)
+            best[lo:] = np.maximum(best[lo:], o / (size[p + i] + size[lo:] - o))
+    return best[rank]
 
 
 def mean_max_similarity(sets: DataFrame, group: list[str]) -> DataFrame:

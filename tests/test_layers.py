@@ -4,6 +4,7 @@ import math
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,52 @@ def test_similar_pairs_against_brute_force(spark):
     assert similarity.similar_pairs(s.limit(0), ["g"], 0.6).count() == 0
 
 
+def written(spark):
+    """Shuffle bytes written so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def notes(n, groups=("g",)):
+    """Notes of one vocabulary, none twice, so that all pairs of a group share words."""
+    rng = random.Random(5)
+    return [(g, i, " ".join([f"own{i}", *(f"w{x}" for x in rng.sample(range(24), rng.randint(8, 14)))])) for i, g in zip(range(n), groups * n)]
+
+
+def test_best_matches_stay_in_their_worker(spark):
+    df = spark.createDataFrame(notes(1500), "g string, id int, text string")
+    before = written(spark)
+    assert len(similarity.max_similarity(similarity.token_sets(df, ["g"], "id", "text"), ["g"]).collect()) == 1500
+    assert written(spark) - before < 1_000_000  # a row for each of the 1.1 million pairs takes more
+
+
+@pytest.mark.parametrize("block", [4, 30, 1000])
+def test_best_matches_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    rows = notes(120, ("g", None, "h", "g")) + [("one", 500, "alone here"), ("two", 501, "same words"), ("two", 502, "words same"), ("none", 503, "!"), (None, 504, None)]
+    got = similarity.max_similarity(similarity.token_sets(spark.createDataFrame(rows, "g string, id int, text string"), ["g"], "id", "text"), ["g"]).collect()
+    assert sorted(r.id for r in got) == [*range(120), 500, 501]
+    assert {r.id: (r.copies, r.max_similarity) for r in got if r.id >= 500} == {500: (1, 0.0), 501: (2, 1.0)}
+    words = {i: (g, set(t.split())) for g, i, t in rows[:120]}
+    for r in got:
+        if r.id < 500:
+            g, s = words[r.id]
+            assert (r.g, r.max_similarity) == (g, pytest.approx(max(len(s & x) / len(s | x) for i, (h, x) in words.items() if h == g and i != r.id), abs=1e-6))
+
+
+@pytest.mark.parametrize(("rows", "piece", "frequent", "columns"), [(256, 1 << 20, 0.006, 1024), (7, 5, 0.006, 3), (16, 50, 2, 1024), (1, 1, 0.0, 8)])
+def test_best_matches_by_matrix_and_postings(monkeypatch, rows, piece, frequent, columns):
+    for k, v in (("ROWS", rows), ("PIECE", piece), ("FREQUENT", frequent), ("COLUMNS", columns)):
+        monkeypatch.setattr(similarity, k, v)
+    rng = random.Random(3)
+    sets = list({frozenset(int(rng.expovariate(1 / 15)) * 10**15 - 3 for _ in range(rng.randint(1, 25))) for _ in range(90)})
+    keys, sizes = np.array([k for x in sets for k in x]), np.array([len(x) for x in sets])
+    second = np.arange(len(sets)) % 3 == 1
+    for part in (None, second):
+        want = [max((len(a & b) / len(a | b) for j, b in enumerate(sets) if j != i and (part is None or part[i] != part[j])), default=0.0) for i, a in enumerate(sets)]
+        assert similarity.best_matches(keys, sizes, part).tolist() == want
+
+
 def test_robust_statistics(spark):
     df = spark.createDataFrame([(e, "P", float(r)) for e, r in zip("abcdef", (1, 2, 4, 9, 9, 50))] + [("x", "Q", 1.0), ("y", "Q", 1.0)], "entity string, period string, rate double")
     r = {(x.entity, x.period): x for x in robust.summaries(df).collect()}

@@ -139,6 +139,15 @@ def test_best_matches_stay_in_their_worker(spark):
     assert written(spark) - before < 1_000_000  # a row for each of the 1.1 million pairs takes more
 
 
+def test_mean_best_match_stays_in_its_worker(spark, monkeypatch):
+    df = spark.createDataFrame([(g, "P", i, t) for g, i, t in notes(1500)], "entity string, period string, row_ordinal int, text string")
+    before = written(spark)
+    (whole,) = features.mean_max_token_similarity(df, "text").collect()
+    assert written(spark) - before < 1_000_000
+    monkeypatch.setattr(similarity, "BLOCK", 400)
+    assert features.mean_max_token_similarity(df, "text").collect() == [whole]
+
+
 @pytest.mark.parametrize("block", [4, 30, 1000])
 def test_best_matches_in_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(similarity, "BLOCK", block)

@@ -137,12 +137,12 @@ class Loads:
         return a.join(d, KEYS, "left").join(top, KEYS, "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0))).checkpoint()
 
     def ranges(self) -> DataFrame:
-        """(feed, load, column, min_value, max_value): numeric where every present value of the load is a number, else of text (first `LONG` characters)."""
+        """(feed, load, column, min_value, max_value): numeric where every present value of the load is a number, else of text; texts whole."""
         aggs, cells = [], []
         for i, c in enumerate(self.columns):
             v = _value(c)
-            number, text = number_of(v), F.substring(v, 1, LONG)
-            aggs += [F.count(v).alias(f"p{i}"), F.count(number).alias(f"k{i}"), F.min(text).alias(f"a{i}"), F.max(text).alias(f"z{i}"), F.min_by(text, number).alias(f"x{i}"), F.max_by(text, number).alias(f"y{i}")]
+            number = number_of(v)
+            aggs += [F.count(v).alias(f"p{i}"), F.count(number).alias(f"k{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"z{i}"), F.min_by(v, number).alias(f"x{i}"), F.max_by(v, number).alias(f"y{i}")]
             numeric = F.col(f"k{i}") == F.col(f"p{i}")
             cells.append(F.struct(F.lit(i).alias("place"), F.when(numeric, F.col(f"x{i}")).otherwise(F.col(f"a{i}")).alias("min_value"), F.when(numeric, F.col(f"y{i}")).otherwise(F.col(f"z{i}")).alias("max_value")))
         wide = self.rows.groupBy(F.col("_feed").alias("feed_id"), F.col("_load").alias("load_no")).agg(*aggs)

@@ -63,6 +63,15 @@ def test_mask_report(spark):
     assert 0 < r[1].divergence < 1
 
 
+def test_ranges_and_masks_of_whole_texts(spark):
+    same = "seen again " * 9
+    df = loads(spark, [same + x for x in ("b", "a", "c7", "b")], [same + "B", same + "z"])
+    for r in (quality.mask_report(df, ["host"]), quality.wide_profile(df.select("feed_id", "load_no", "host"))):
+        first, second = sorted(r.collect(), key=lambda x: x.load_no)
+        assert (first.min_value, first.max_value, first.n_distinct) == (same + "a", same + "c7", 3)
+        assert (second.min_value, second.max_value, second.n_off_form) == (same + "B", same + "z", 1)
+
+
 def test_wide_profile_has_every_column(spark):
     df = loads(spark, ["AB-01"] * 3)
     assert {r.column_name for r in quality.wide_profile(df).collect()} == set(df.columns) - {"feed_id", "load_no"}

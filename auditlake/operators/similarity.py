@@ -70,12 +70,13 @@ def similar_pairs(sets: DataFrame, group: list[str], threshold: float) -> DataFr
     return _exact_pairs(sets, group, threshold).withColumn("similarity", F.round("similarity", 6))
 
 
-def max_similarity(sets: DataFrame, group: list[str]) -> DataFrame:
+def max_similarity(sets: DataFrame, group: list[str], bound: float | None = None) -> DataFrame:
     """(group..., id, copies, max_similarity): each set's greatest similarity to another record of its group.
 
     A set held by several records has 1.0. Every other set is compared with every set of its
     group: the sets travel once, as 64-bit token hashes, and no pair leaves the worker it is
-    compared in. Time is quadratic in the sets of a group, disk and memory are not.
+    compared in. Time is quadratic in the sets of a group, disk and memory are not. `bound`
+    once chose another way to the same result; it is taken and changes nothing.
     """
     return _best_match(sets, group).withColumn("max_similarity", F.round("max_similarity", 6))
 

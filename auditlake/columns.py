@@ -84,10 +84,15 @@ def norm_value(c: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Sorted distinct runs of a-z and 0-9 after lower-casing; NULL when there is none."""
-    a = F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower(as_col(c)), F.lit("([a-z0-9]+)"), F.lit(1))))
+    a = all_tokens(c)
     return F.when(F.size(a) > 0, a)
 
 
+def all_tokens(c: Column | str) -> Column:
+    """The same, empty when there is none; Spark takes the tokens once instead of twice."""
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower(as_col(c)), F.lit("([a-z0-9]+)"), F.lit(1))))
+
+
 def rate(num: Column, den: Column, places: int = 6) -> Column:
     """num / den, NULL (never zero) when the denominator is zero."""
     return F.when(den > 0, F.round(num / den, places))

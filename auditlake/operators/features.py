@@ -72,8 +72,8 @@ def max_group_share(df: DataFrame, concept: str) -> DataFrame:
 
 def mean_max_token_similarity(df: DataFrame, text: str, order: str = "row_ordinal") -> DataFrame:
     """Mean best-match token similarity of a text's values with evidence; scopes with fewer than two have 0, with none are missing."""
-    sets = similarity.token_sets(df.where(has_evidence(text)), KEYS, order, text)
-    return similarity.mean_max_similarity(sets, KEYS).withColumnRenamed("mean_max_similarity", "mean_max_token_similarity")
+    rows = similarity.token_rows(df.where(has_evidence(text)), KEYS, order, text)
+    return similarity.mean_max_similarity(rows, KEYS).withColumnRenamed("mean_max_similarity", "mean_max_token_similarity")
 
 
 def matrix(df: DataFrame, names: list[str]) -> DataFrame:

@@ -11,18 +11,19 @@ tokens are in no set; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import pairwise
 from operator import and_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from auditlake.columns import jaccard, tokens
+from auditlake.columns import all_tokens, jaccard, tokens
 from auditlake.operators import graph
 from auditlake.session import ensure_checkpoint_dir
 
@@ -30,9 +31,15 @@ PERMUTATIONS, BAND_ROWS = 256, 4
 # Best matches: sets in a block, sets compared at a time, additions at a time. A token is frequent if it meets in more than
 # this share of the pairs (there a column of a matrix costs less than its postings); so many at most.
 BLOCK, ROWS, PIECE = 32_768, 256, 1 << 20
+PACK = 64 << 20  # bytes that a task holds before it packs them
 FREQUENT, COLUMNS = 0.006, 1024
 
 
+def token_rows(df: DataFrame, group: list[str], row_id: str, text: str) -> DataFrame:
+    """(group..., id, toks, copies, _text): one row per row with tokens; best matches are taken of these as of token sets."""
+    return df.where(F.lower(text).rlike("[a-z0-9]")).select(*group, F.col(row_id).alias("id"), all_tokens(text).alias("toks"), F.lit(1).cast("bigint").alias("copies"), F.col(text).alias("_text"))
+
+
 def token_sets(df: DataFrame, group: list[str], row_id: str, text: str) -> DataFrame:
     """(group..., id, toks, copies): one row per distinct token set of a group; id is its smallest row."""
     t = df.where(F.lower(text).rlike("[a-z0-9]")).select(*group, F.col(row_id).alias("id"), tokens(text).alias("toks"))
@@ -74,39 +81,98 @@ def max_similarity(sets: DataFrame, group: list[str], bound: float | None = None
     """(group..., id, copies, max_similarity): each set's greatest similarity to another record of its group.
 
     A set held by several records has 1.0. Every other set is compared with every set of its
-    group: the sets travel once, as 64-bit token hashes, and no pair leaves the worker it is
-    compared in. Time is quadratic in the sets of a group, disk and memory are not. `bound`
+    group: the sets travel once, in compressed chunks, and no pair leaves the worker it is
+    compared in. Time is quadratic in the sets of a group, memory is not, disk only beyond `BLOCK` sets. `bound`
     once chose another way to the same result; it is taken and changes nothing.
     """
     return _best_match(sets, group).withColumn("max_similarity", F.round("max_similarity", 6))
 
 
 def _best_match(sets: DataFrame, group: list[str]) -> DataFrame:
-    """(group..., id, copies, max_similarity) unrounded.
+    """(group..., id, copies, max_similarity) unrounded, of `token_sets` or `token_rows`.
 
-    Groups of more than `BLOCK` sets are cut into blocks and each pair of blocks is a unit of
+    Each task packs its sets by group, equal ones as one. Groups of more than about `BLOCK`
+    sets are cut into blocks, equal sets into the same, and each pair of blocks is a unit of
     work of its own, so no worker holds more than two blocks.
     """
-    large = sets.groupBy(*group).agg(F.count("id").alias("n"), F.max("copies").alias("c")).where((F.col("n") > BLOCK) & (F.col("c") > 0))  # reads copies so that both uses share one shuffle
+    n = F.approx_count_distinct("_text") if "_text" in sets.columns else F.count("id")
+    large = sets.groupBy(*group).agg(n.alias("n"), F.max("copies").alias("c")).where((F.col("n") > BLOCK) & (F.col("c") > 0))  # reads copies so that both uses share one shuffle
     large = F.broadcast(large.select(*[F.col(g).alias(f"_{g}") for g in group], F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))  # at most one row per BLOCK sets
     same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group])
-    k = sets.join(large, same, "left").select(*group, "id", "copies", F.transform("toks", lambda t: F.xxhash64(t)).alias("keys"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    k = k.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    k = sets.join(large, same, "left").select(*group, F.coalesce("blocks", F.lit(1)).alias("blocks"), "id", "copies", F.array_join("toks", " ").alias("words"))
+    k = k.select(*group, "blocks", F.pmod(F.xxhash64("words"), F.col("blocks")).cast("int").alias("block"), "id", "copies", "words")
+    of = [sets.schema[c] for c in group]
+    packed = [StructField("blocks", IntegerType()), StructField("block", IntegerType()), StructField("ids", ArrayType(sets.schema["id"].dataType)), StructField("copies", ArrayType(LongType())), StructField("size", LongType()), StructField("words", BinaryType())]
+    k = k.mapInArrow(_pack([*group, "blocks", "block"]), StructType(of + packed))
     units = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least("block", i).alias("a"), F.greatest("block", i).alias("b")))
-    k = k.withColumn("unit", F.explode(units)).select(*group, "unit.a", "unit.b", "block", "id", "copies", "keys")
-    schema = StructType([sets.schema[c] for c in (*group, "id", "copies")] + [StructField("m", DoubleType())])
-    found = k.groupBy(*group, "a", "b").applyInArrow(_unit([*group, "id", "copies"]), schema)
+    k = k.withColumn("unit", F.explode(units)).select(*group, "unit.a", "unit.b", "block", "ids", "copies", "size", "words")
+    schema = StructType(of + [sets.schema["id"], StructField("copies", LongType()), StructField("m", DoubleType())])
+    found = k.groupBy(*group, "a", "b").applyInArrow(_unit(group), schema)
     return found.groupBy(*group, "id").agg(F.max("copies").alias("copies"), F.max("m").alias("m")).select(*group, "id", "copies", F.when(F.col("copies") > 1, 1.0).otherwise(F.col("m")).alias("max_similarity"))
 
 
-def _unit(kept: list[str]) -> Callable[[pa.Table], pa.Table]:
+def _merged(t: pa.Table, by: list[str]) -> pa.Table:
+    """Rows equal in `by` as one, with the smallest id and the sum of copies."""
+    t = t.take(pc.sort_indices(t, [("id", "ascending")]))
+    first, which = np.unique(_codes(t, by), return_index=True, return_inverse=True)[1:]
+    copies = np.zeros(len(first), np.int64)
+    np.add.at(copies, which, t.column("copies").to_numpy())
+    return t.take(pa.array(first)).set_column(t.column_names.index("copies"), "copies", pa.array(copies))
+
+
+def _codes(t: pa.Table, by: list[str]) -> np.ndarray:
+    """A number for each row, the same where all of `by` are, NULLs included."""
+    code = np.zeros(len(t), np.int64)
+    for c in by:
+        d = t.column(c).combine_chunks().dictionary_encode("encode")
+        code = np.unique(code * len(d.dictionary) + d.indices.to_numpy(), return_inverse=True)[1]
+    return code
+
+
+def _pack(by: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chunks of the sets that a task has of a block: their words, one set a line, as compressed bytes."""
+
+    def chunks(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _merged(pa.Table.from_batches(held), [*by, "words"])
+        code = _codes(t, by)
+        order = np.argsort(code, kind="stable")
+        ends = np.r_[0, np.flatnonzero(np.diff(code[order])) + 1, len(order)]
+        t = t.take(pa.array(order)).combine_chunks()
+        words = ["\n".join(t.column("words").slice(i, j - i).to_pylist()).encode() for i, j in pairwise(ends)]
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), t.column(c).combine_chunks()) for c in ("id", "copies")]
+        zstd = pa.Codec("zstd", 3)
+        columns = [*[c.combine_chunks() for c in t.select(by).take(pa.array(ends[:-1])).columns], *lists, pa.array([len(w) for w in words], pa.int64()), pa.array([zstd.compress(w, asbytes=True) for w in words], pa.binary())]
+        yield from pa.table(columns, [*by, "ids", "copies", "size", "words"]).to_batches(1024)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            if len(b):
+                held.append(b)
+                size += b.nbytes
+            if size > PACK:
+                yield from chunks(held)
+                held, size = [], 0
+        if held:
+            yield from chunks(held)
+
+    return run
+
+
+def _unit(group: list[str]) -> Callable[[pa.Table], pa.Table]:
     """Best matches of a unit: of the sets of one block among themselves, or of two blocks with each other."""
 
     def run(t: pa.Table) -> pa.Table:
-        keys = t.column("keys").combine_chunks()
-        first = t.column("block").to_numpy() == t.column("a")[0].as_py()
-        m = best_matches(keys.flatten().to_numpy(), keys.value_lengths().to_numpy(), None if first.all() and t.column("a")[0] == t.column("b")[0] else ~first)
-        return t.select(kept).append_column("m", pa.array(m))
+        zstd = pa.Codec("zstd")
+        lines = b"\n".join(zstd.decompress(w.as_buffer(), n.as_py(), asbytes=True) for w, n in zip(t.column("words"), t.column("size"), strict=True))
+        words = pc.split_pattern(pa.array([lines.decode()], pa.large_string()), "\n").flatten()
+        ids = t.column("ids").combine_chunks()
+        first = np.repeat(t.column("block").to_numpy() == t.column("a")[0].as_py(), ids.value_lengths().to_numpy())
+        s = _merged(pa.table([ids.flatten(), t.column("copies").combine_chunks().flatten(), words, pa.array(first)], ["id", "copies", "words", "first"]), ["words"])
+        toks = pc.split_pattern(s.column("words").combine_chunks(), " ")
+        second = None if t.column("a")[0] == t.column("b")[0] else ~s.column("first").to_numpy()
+        m = best_matches(toks.flatten().dictionary_encode().indices.to_numpy(), toks.value_lengths().to_numpy(), second)
+        return t.select(group).take(pa.array(np.zeros(len(s), np.int64))).append_column("id", s.column("id")).append_column("copies", s.column("copies")).append_column("m", pa.array(m))
 
     return run
 
@@ -184,7 +250,7 @@ def best_matches(keys: np.ndarray, sizes: np.ndarray, second: np.ndarray | None
 
 
 def mean_max_similarity(sets: DataFrame, group: list[str]) -> DataFrame:
-    """(group..., mean_max_similarity): mean over the records of their best match; 0 with fewer than two records."""
+    """(group..., mean_max_similarity): mean over the records of their best match; 0 with fewer than two records. Of `token_sets` or `token_rows`."""
     m = _best_match(sets, group).groupBy(*group).agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * F.col("max_similarity")).alias("s"))
     return m.select(*group, F.when(F.col("n") < 2, 0.0).otherwise(F.round(F.col("s") / F.col("n"), 6)).alias("mean_max_similarity"))
 

@@ -148,6 +148,36 @@ def test_mean_best_match_stays_in_its_worker(spark, monkeypatch):
     assert features.mean_max_token_similarity(df, "text").collect() == [whole]
 
 
+def test_mean_best_match_shuffles_less_than_its_texts(spark):
+    rows = [(f"E{i % 5}", "P", i, t) for _, i, t in notes(6000)]
+    before = written(spark)
+    df = spark.createDataFrame(rows, "entity string, period string, row_ordinal int, text string")
+    assert features.mean_max_token_similarity(df, "text").count() == 5
+    assert written(spark) - before < sum(len(r[3]) for r in rows)
+
+
+@pytest.mark.parametrize(("block", "pack"), [(32_768, 64 << 20), (7, 64 << 20), (32_768, 1), (7, 1)])
+def test_equal_sets_of_several_tasks_are_one(spark, monkeypatch, block, pack):
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    monkeypatch.setattr(similarity, "PACK", pack)
+    rng = random.Random(8)
+    rows = [(rng.choice(["g", None]), f"r{i:03}", " ".join(rng.sample(["Aa", "b", "c1", "d", "e", "f", "g"], rng.randint(1, 6)))) for i in range(300)] + [("h", "x", "?"), ("h", "y", None), ("k", "z", "one")]
+    df = spark.createDataFrame(rows, "g string, id string, text string").repartition(5)
+    want = {}
+    for g, i, t in rows:
+        if t and any(c.isalnum() for c in t):
+            want.setdefault((g, frozenset(t.lower().split())), []).append(i)
+    jac = lambda a, b: len(a & b) / len(a | b)
+    best = {(g, s): 1.0 if len(ids) > 1 else max((jac(s, x) for h, x in want if h == g and x != s), default=0.0) for (g, s), ids in want.items()}
+    for make in (similarity.token_rows, similarity.token_sets):
+        got = similarity.max_similarity(make(df, ["g"], "id", "text"), ["g"]).collect()
+        assert {(r.g, r.id): (r.copies, r.max_similarity) for r in got} == {(g, min(ids)): (len(ids), pytest.approx(best[g, s], abs=1e-6)) for (g, s), ids in want.items()}
+        assert len(got) == len(want)
+        mean = {r.g: r.mean_max_similarity for r in similarity.mean_max_similarity(make(df, ["g"], "id", "text"), ["g"]).collect()}
+        of = {g: [(len(ids), best[g, s]) for (h, s), ids in want.items() if h == g] for g, _ in want}
+        assert mean == {g: pytest.approx(sum(n * v for n, v in x) / sum(n for n, _ in x), abs=1e-6) if sum(n for n, _ in x) > 1 else 0.0 for g, x in of.items()}
+
+
 @pytest.mark.parametrize("block", [4, 30, 1000])
 def test_best_matches_in_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(similarity, "BLOCK", block)
